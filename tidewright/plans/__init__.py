@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.plans import (  # noqa: F401
     compare_queries,
+    field_queries,
     quality_queries,
     registry,
+    sample_queries,
     series_queries,
     verify_queries,
     views,

@@ -12,6 +12,7 @@ from tidewright.plans import views
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+HOME: dict[str, str] = {}  # query name -> module that registers it
 DIGITS = 6
 
 
@@ -37,6 +38,7 @@ def query(name: str, sql: str | None = None):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = run
+        HOME[name] = fn.__module__.rsplit(".", 1)[-1]
         if sql is not None:
             ORACLES[name] = views.with_views(sql)
         return fn
