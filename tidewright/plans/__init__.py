@@ -11,6 +11,7 @@ from tidewright.plans import (  # noqa: F401
     registry,
     sample_queries,
     series_queries,
+    snapshot_queries,
     verify_queries,
     views,
 )

@@ -33,7 +33,10 @@ def with_views(body: str) -> str:
     listed = ",\n".join(f"{name} AS ({SQL[name].strip()})" for name in ordered)
     stripped = body.lstrip()
     if stripped[:5].upper() == "WITH ":
-        return f"WITH {listed},\n{stripped[5:]}"
+        tail = stripped[5:].lstrip()
+        if tail[:10].upper() == "RECURSIVE ":
+            return f"WITH RECURSIVE {listed},\n{tail[10:]}"
+        return f"WITH {listed},\n{tail}"
     return f"WITH {listed}\n{stripped}"
 
 
