@@ -8,6 +8,7 @@ from tidewright.plans import (  # noqa: F401
     compare_queries,
     field_queries,
     quality_queries,
+    model_queries,
     registry,
     sample_queries,
     series_queries,
