@@ -69,19 +69,19 @@ def global_positions(
     ``block`` must not decrease along ``order``. Rows are numbered inside their block, then shifted by
     the number of rows in earlier blocks (one summary row per block).
     """
-    tagged = df.withColumn("_block", block)
-    inner = Window.partitionBy(*keys, "_block").orderBy(*order)
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    tagged = df.withColumn("_piece", block)
+    inner = Window.partitionBy(*keys, "_piece").orderBy(*order)
+    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        tagged.groupBy(*keys, "_block")
-        .agg(F.count("*").alias("_rows"))
-        .select(*keys, "_block", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
+        tagged.groupBy(*keys, "_piece")
+        .agg(F.count("*").alias("_piece_rows"))
+        .select(*keys, "_piece", F.coalesce(F.sum("_piece_rows").over(earlier), F.lit(0)).alias("_piece_offset"))
     )
     return (
-        tagged.withColumn("_row", F.row_number().over(inner))
-        .join(offsets, [*keys, "_block"])
-        .withColumn(name, F.col("_row") + F.col("_offset"))
-        .drop("_block", "_row", "_offset")
+        tagged.withColumn("_piece_row", F.row_number().over(inner))
+        .join(offsets, [*keys, "_piece"])
+        .withColumn(name, F.col("_piece_row") + F.col("_piece_offset"))
+        .drop("_piece", "_piece_row", "_piece_offset")
     )
 
 

@@ -13,6 +13,7 @@ from tidewright.plans import (  # noqa: F401
     sample_queries,
     series_queries,
     snapshot_queries,
+    source_queries,
     verify_queries,
     views,
 )
