@@ -14,6 +14,7 @@ from tidewright.plans import (  # noqa: F401
     series_queries,
     snapshot_queries,
     source_queries,
+    stream_queries,
     verify_queries,
     views,
 )

@@ -223,8 +223,12 @@ FROM events"""
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot_rows(table(spark, sf_dir, "events"))
+
+
+def snapshot_rows(events: DataFrame) -> DataFrame:
     u = F.col("user_id")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.concat(F.lit(" "), F.col("event_type")).alias("city"),
         F.concat(F.lit("c"), (u % 10).cast("string")).alias("city_county"),
         F.concat(F.lit("u"), u.cast("string"), F.lit(" ")).alias("station_name"),
