@@ -117,6 +117,14 @@ def _(spark, sf):
     return compare.wide_to_long(wide, views.LEADS, MODELS)
 
 
+@query("prune_columns", f"SELECT station_id, origin, {r('predicted_m', 'predicted_m')} FROM forecasts WHERE model = 'damped'")
+def _(spark, sf):
+    from tidewright.functions.columns import require_columns
+
+    rows = views.forecasts(spark, sf).where(F.col("model") == "damped")
+    return require_columns(rows, ["station_id", "origin", "predicted_m"])
+
+
 @query("station_union", """
 SELECT station_id, lead_hours, CASE model WHEN 'persistence' THEN 'Persistence' ELSE 'Mean' END AS model, model AS source_model, rmse_cm
 FROM metrics WHERE model IN ('persistence', 'mean3')""")

@@ -126,6 +126,16 @@ def _(spark, sf):
     return field.field_audit(views.field(spark, sf))
 
 
+@query("forcing_unit_audit", f"""SELECT variable, 'f' || min(day(ts)) || '.nc' AS source_file, lower(variable) AS name, CASE WHEN variable = 'MSL' THEN 'Pa' ELSE 'm/s' END AS units, {n('1', 'unit_spellings')} FROM field GROUP BY 1""")
+def _(spark, sf):
+    v = F.col("variable")
+    metadata = views.field(spark, sf).select(
+        v, F.concat(F.lit("f"), F.dayofmonth("ts").cast("string"), F.lit(".nc")).alias("source_file"), F.lower(v).alias("name"),
+        F.when(v == "MSL", F.lit("Pa")).otherwise(F.lit("m/s")).alias("units"),
+    )
+    return field.forcing_unit_audit(metadata)
+
+
 @query("inverse_barometer", f"SELECT ts, lat_idx, lon_idx, {r('-(value - 101325) / (1025.0 * 9.80665)', 'height_m')} FROM field WHERE variable = 'MSL'")
 def _(spark, sf):
     msl = views.field(spark, sf).where(F.col("variable") == "MSL")

@@ -193,6 +193,21 @@ def _(spark, sf):
     return snapshots.rain_rows(views.rain(spark, sf))
 
 
+@query("export_manifest", f"""
+WITH c AS (SELECT 'all_rows' AS category, count(*) AS k FROM typed_snapshots UNION ALL SELECT 'by_type', count(*) FROM typed_snapshots UNION ALL SELECT 'by_county', count(*) FROM typed_snapshots)
+SELECT category, {n('k', 'source_rows')}, {n('k', 'written_rows')}, true AS agrees FROM c""")
+def _(spark, sf):
+    from tidewright.functions.storage import shared_folder
+    from tidewright.operators import export
+
+    rows = typed(spark, sf)
+    layouts = {"by_type": ["station_type"], "by_county": ["city_county"]}
+    written = export.export_event(spark, rows, shared_folder(spark, "export"), layouts, form="parquet")
+    names = F.array(*[F.lit(c) for c in ("all_rows", *layouts)])
+    source = rows.agg(F.count("*").alias("source_rows")).select(F.explode(names).alias("category"), "source_rows")
+    return snapshots.manifest_reconcile(written, source).drop("files")
+
+
 # --- stations, paths and catalogues -------------------------------------------------------------------------
 
 _KM = """2 * 6371.0 * asin(least(1.0, sqrt(sin(radians(p.lat - s.lat) / 2) ** 2 + cos(radians(s.lat)) * cos(radians(p.lat)) * sin(radians(p.lon - s.lon) / 2) ** 2)))"""
