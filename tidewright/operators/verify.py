@@ -30,7 +30,8 @@ def correlation(x: Column, y: Column) -> Column:
     """Pearson r in [-1, 1]; null below two pairs or without variance (``corr`` would raise there)."""
     scale = F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
     r = F.covar_pop(x, y) / scale
-    return F.when(F.count(x) >= 2, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    held = F.when(r > 1, F.lit(1.0)).when(r < -1, F.lit(-1.0)).otherwise(r)
+    return F.when(F.count(x) >= 2, held)
 
 
 def scores(

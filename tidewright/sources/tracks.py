@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -219,8 +220,22 @@ def code_summary(df: DataFrame, code: str = "code", ts: str = "time", tide: str
     )
 
 
-def read_code_table(spark, path: str, encoding: str = "GBK") -> DataFrame:
-    """Headed four-column CSV (any, code, time, tide) in a legacy encoding; shorter rows have null fields."""
-    return spark.read.csv(path, header=True, encoding=encoding, schema="first string, code string, time string, tide string", enforceSchema=True).where(
-        F.col("tide").isNotNull()
-    )
+def read_code_table(spark: SparkSession, path: str, encoding: str = "gbk") -> DataFrame:
+    """Headed CSV (any, code, time, tide) in a legacy Chinese encoding; rows with fewer fields are left out.
+
+    Spark reads only a few charsets, so bytes come in one to one as Latin-1: separators and line ends never
+    occur inside a two-byte character. Only fields that are not ASCII are decoded again, in Arrow batches.
+    """
+    @F.pandas_udf(T.StringType())
+    def decode(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else v.encode("latin-1").decode(encoding, errors="replace"))
+
+    names = ("first", "code", "time", "tide")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    rows = spark.read.csv(path, header=True, encoding="ISO-8859-1", schema=schema, enforceSchema=True).where(F.col("tide").isNotNull())
+
+    def field(c: str) -> Column:
+        plain = F.col(c).rlike(r"^[\x00-\x7f]*$")
+        return F.when(plain, F.col(c)).otherwise(decode(F.when(~plain, F.col(c)))).alias(c)
+
+    return rows.select(*[field(c) for c in names])
