@@ -1,7 +1,8 @@
 """Storm tracks, agency forecasts, surge scenarios and sea-surface observations from landed JSON.
 
-Positional arrays of mixed types are read as VARIANT, so a short or malformed row gives nulls instead of
-failing its neighbours.
+Positional arrays of mixed types are read as arrays of text, one nesting level at a time, so a short or
+malformed row gives nulls instead of failing its neighbours. Each level is a generated row, which keeps
+Spark from parsing the same text once per column.
 """
 
 from __future__ import annotations
@@ -24,55 +25,59 @@ FORECAST_POSITIONS = {
 
 
 def strip_jsonp(c: str | Column) -> Column:
-    """JSON inside ``callback(( … ));``; plain JSON passes through."""
-    text = F.trim(F.col(c) if isinstance(c, str) else c)
-    inner = F.regexp_extract(text, r"(?s)^[\w.$]+\(+\s*(.*?)\s*\)+\s*;?\s*$", 1)
-    return F.when(inner != "", inner).otherwise(F.regexp_replace(text, r"(?s)^\(+\s*(.*?)\s*\)+$", "$1"))
+    """JSON inside ``callback(( … ));``: from the first to the last bracket; plain JSON passes through."""
+    text = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(F.nullif(F.regexp_extract(text, r"(?s)^[^{\[]*(.*[}\]])", 1), F.lit("")), text)
 
 
-def _text(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, path, "string")
+def _once(c: Column) -> Column:
+    """One generated row holding ``c``: its value is computed once however often it is used."""
+    return F.explode(F.array(c))
 
 
-def _documents(df: DataFrame, json: str) -> DataFrame:
-    return df.withColumn("_doc", F.try_parse_json(strip_jsonp(json)))
+def _items(c: str | Column) -> Column:
+    """JSON list as an array of texts; nested values stay JSON text."""
+    return F.from_json(c, "array<string>")
+
+
+def _at(c: str | Column, i: int) -> Column:
+    return F.get(c, F.lit(i))
 
 
 def _points(df: DataFrame, json: str) -> DataFrame:
-    """One row per track point with the storm id."""
-    storm = F.try_variant_get("_doc", "$.typhoon", "variant")
-    body = F.coalesce(storm, F.col("_doc"))
-    points = F.try_variant_get(body, "$[8]", "array<variant>")
-    return _documents(df, json).select(_text(body, "$[0]").alias("typhoon_id"), F.posexplode(points).alias("point_index", "_p"))
+    """One row per track point with the storm id; ``_p`` holds the point's positions as texts."""
+    text = strip_jsonp(json)
+    storm = F.coalesce(F.from_json(text, "struct<typhoon:array<string>>")["typhoon"], _items(text))
+    storms = df.select(_once(storm).alias("_storm")).select(_at("_storm", 0).alias("typhoon_id"), _at("_storm", 8).alias("_list"))
+    points = storms.select("typhoon_id", F.posexplode(_items("_list")).alias("point_index", "_point"))
+    return points.select("typhoon_id", "point_index", _once(_items("_point")).alias("_p"))
 
 
 def read_track(df: DataFrame, json: str = "value") -> DataFrame:
     """Observed points: ids, UTC and UTC+8 times, position, intensity, motion, wind radii (JSON), issue."""
-    p = F.col("_p")
-    rows = _points(df, json).withColumn("_time", _text(p, "$[1]"))
+    rows = _points(df, json).select(
+        "typhoon_id", "point_index", "_p", _at("_p", 1).alias("_time"), _once(_items(F.coalesce(_at("_p", 12), F.lit("[]")))).alias("_issue")
+    )
     return rows.select(
-        "typhoon_id", "point_index", _text(p, "$[0]").alias("point_id"), *[c.alias(k) for k, c in track_time("_time").items()],
-        *[_text(p, f"$[{i}]").alias(k) for k, i in POINT_POSITIONS.items()],
-        F.coalesce(F.to_json(F.try_variant_get(p, "$[10]", "variant")), F.lit("[]")).alias("wind_radii_json"),
-        _text(p, "$[12][0]").alias("issue_time"), _text(p, "$[12][1]").alias("issue_time_text"),
+        "typhoon_id", "point_index", _at("_p", 0).alias("point_id"), *[c.alias(k) for k, c in track_time("_time").items()],
+        *[_at("_p", i).alias(k) for k, i in POINT_POSITIONS.items()],
+        F.coalesce(_at("_p", 10), F.lit("[]")).alias("wind_radii_json"),
+        _at("_issue", 0).alias("issue_time"), _at("_issue", 1).alias("issue_time_text"),
     )
 
 
 def explode_agency_forecast(df: DataFrame, json: str = "value") -> DataFrame:
     """One row per (point, agency, forecast step)."""
-    p = F.col("_p")
-    agencies = F.try_variant_get(p, "$[11]", "map<string,variant>")
-    rows = _points(df, json).withColumn("_time", _text(p, "$[1]")).select(
-        "typhoon_id", "point_index", _text(p, "$[0]").alias("point_id"), "_time", F.explode(agencies).alias("org", "_list")
-    )
-    steps = rows.select(
-        "typhoon_id", "point_index", "point_id", "_time", "org",
-        F.posexplode(F.try_variant_get("_list", "$", "array<variant>")).alias("step", "_f"),
+    agencies = F.from_json(_at("_p", 11), "map<string,string>")
+    rows = _points(df, json).select(
+        "typhoon_id", "point_index", _at("_p", 0).alias("point_id"), _at("_p", 1).alias("_time"), F.explode(agencies).alias("org", "_list")
     )
+    steps = rows.select("typhoon_id", "point_index", "point_id", "_time", "org", F.posexplode(_items("_list")).alias("step", "_step"))
+    parts = steps.select("typhoon_id", "point_index", "point_id", "_time", "org", "step", _once(_items("_step")).alias("_f"))
     times = track_time("_time")
-    return steps.select(
+    return parts.select(
         "typhoon_id", "point_index", "point_id", times["time_utc"].alias("base_time_utc"), times["time_bj"].alias("base_time_bj"),
-        "org", "step", *[_text(F.col("_f"), f"$[{i}]").alias(k) for k, i in FORECAST_POSITIONS.items()],
+        "org", "step", *[_at("_f", i).alias(k) for k, i in FORECAST_POSITIONS.items()],
     )
 
 
@@ -90,9 +95,9 @@ def latest_agency_path(df: DataFrame, agency: str, json: str = "value") -> DataF
 
 def typhoon_list(df: DataFrame, json: str = "value") -> DataFrame:
     """Storm list rows as eight named columns; short rows are padded with null."""
-    rows = F.try_variant_get("_doc", "$.typhoonList", "array<variant>")
-    listed = _documents(df, json).select(F.explode(rows).alias("_r"))
-    return listed.select(*[_text(F.col("_r"), f"$[{i}]").alias(c) for i, c in enumerate(LIST_COLUMNS)])
+    rows = F.from_json(strip_jsonp(json), "struct<typhoonList:array<string>>")["typhoonList"]
+    listed = df.select(F.explode(rows).alias("_row")).select(_once(_items("_row")).alias("_r"))
+    return listed.select(*[_at("_r", i).alias(c) for i, c in enumerate(LIST_COLUMNS)])
 
 
 SITE_SCHEMA = T.ArrayType(
@@ -141,22 +146,27 @@ WEATHER_FIELDS = (
 WIND_FIELDS = ("WindSpeed", "WindScale", "WindDirection", "WindDirectionDescription", "MaximumWindSpeed", "MaximumWindScale")
 
 
+def _observation_schema(root: str) -> T.StructType:
+    def struct(fields: dict[str, T.DataType]) -> T.StructType:
+        return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+    wind = struct({c: T.StringType() for c in WIND_FIELDS})
+    weather = struct({**{c: T.StringType() for c in WEATHER_FIELDS}, "PrimaryAnemometer": wind})
+    times = struct({"StationObsTime": T.ArrayType(struct({"DateTime": T.StringType(), "WeatherElements": weather}))})
+    location = struct({"Station": struct({"StationID": T.StringType()}), "StationObsTimes": times})
+    return struct({root: struct({"SeaSurfaceObs": struct({"Location": T.ArrayType(location)})})})
+
+
 def sea_surface_obs(df: DataFrame, json: str = "value") -> DataFrame:
     """Location → station → times, one row per observation with 17 columns."""
-    doc = F.try_parse_json(F.col(json))
     locations = F.coalesce(
-        F.try_variant_get("_doc", "$.Records.SeaSurfaceObs.Location", "array<variant>"),
-        F.try_variant_get("_doc", "$.records.SeaSurfaceObs.Location", "array<variant>"),
-    )
-    places = df.select(doc.alias("_doc")).select(F.explode(locations).alias("_l"))
-    times = places.select(
-        _text(F.col("_l"), "$.Station.StationID").alias("StationID"),
-        F.explode(F.try_variant_get("_l", "$.StationObsTimes.StationObsTime", "array<variant>")).alias("_o"),
+        *[F.from_json(F.col(json), _observation_schema(root))[root]["SeaSurfaceObs"]["Location"] for root in ("Records", "records")]
     )
-    o = F.col("_o")
+    places = df.select(F.explode(locations).alias("l"))
+    times = places.select(F.col("l.Station.StationID").alias("StationID"), F.explode("l.StationObsTimes.StationObsTime").alias("o"))
     return times.select(
-        "StationID", _text(o, "$.DateTime").alias("DateTime"), *[_text(o, f"$.WeatherElements.{c}").alias(c) for c in WEATHER_FIELDS],
-        *[_text(o, f"$.WeatherElements.PrimaryAnemometer.{c}").alias(c) for c in WIND_FIELDS],
+        "StationID", F.col("o.DateTime").alias("DateTime"), *[F.col(f"o.WeatherElements.{c}").alias(c) for c in WEATHER_FIELDS],
+        *[F.col(f"o.WeatherElements.PrimaryAnemometer.{c}").alias(c) for c in WIND_FIELDS],
     )
 
 
