@@ -30,22 +30,19 @@ def select_events(
         .withColumn("_rank", F.row_number().over(ranked))
         .where(F.col("_rank") <= enough)
     )
-    rows = short.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_rank", hour_number(ts).alias("_h")))).alias("_rows")
-    )
+    entry = F.struct("_rank", hour_number(ts).alias("_h"), F.col(ts).alias("_t"), F.col(score).alias("_s"))
+    rows = short.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_rows"))
+    kind = f"array<struct<_rank:int,_h:bigint,_t:{df.schema[ts].dataType.simpleString()},_s:{df.schema[score].dataType.simpleString()}>>"
     picked = F.aggregate(
         "_rows",
-        F.array().cast("array<bigint>"),
+        F.array().cast(kind),
         lambda acc, x: F.when(
-            (F.size(acc) < count) & F.forall(acc, lambda h: F.abs(h - x["_h"]) >= separation_hours),
-            F.concat(acc, F.array(x["_h"])),
+            (F.size(acc) < count) & F.forall(acc, lambda p: F.abs(p["_h"] - x["_h"]) >= separation_hours),
+            F.concat(acc, F.array(x)),
         ).otherwise(acc),
     )
-    chosen = rows.select(*keys, F.posexplode(picked).alias("_place", "_hour"))
-    return (
-        short.withColumn("_hour", hour_number(ts)).join(chosen, [*keys, "_hour"])
-        .select(*keys, ts, score, (F.col("_place") + 1).alias("event"))
-    )
+    chosen = rows.select(*keys, F.posexplode(picked).alias("_place", "_pick"))
+    return chosen.select(*keys, F.col("_pick._t").alias(ts), F.col("_pick._s").alias(score), (F.col("_place") + 1).alias("event"))
 
 
 def window_search(peaks: DataFrame, series: DataFrame, hours: int = 12, ts: str = "ts", keys: Sequence[str] = STATION) -> DataFrame:

@@ -204,9 +204,11 @@ def restrict_years(df: DataFrame, first: int, last: int, ts: str = "ts") -> Data
 
 
 def time_slice(df: DataFrame, start: str, end: str, ts: str = "ts", end_inclusive: bool = True) -> DataFrame:
-    upper = F.lit(end).cast("timestamp")
+    """Rows in a time range; bounds take the column's own type, so Parquet and JDBC scans receive them."""
+    kind = df.schema[ts].dataType
+    upper = F.lit(end).cast(kind)
     stop = F.col(ts) <= upper if end_inclusive else F.col(ts) < upper
-    return df.where((F.col(ts) >= F.lit(start).cast("timestamp")) & stop)
+    return df.where((F.col(ts) >= F.lit(start).cast(kind)) & stop)
 
 
 def locked_year_guard(df: DataFrame, last_year: int, ts: str = "ts") -> DataFrame:

@@ -226,20 +226,21 @@ def acf(
     """Autocorrelation per lag over pairs ``(t, t - lag)`` where both values are known.
 
     ``trim_tail`` keeps the published definition, which also leaves out the last ``lag`` hours of the
-    axis. Pairs meet by an equi-join on the hour and collapse into per-lag sums on the map side.
+    axis. Rows are shuffled once, by block; each meets its past inside the block and the pairs fold into
+    per-lag sums before anything else is shuffled.
     """
-    hour = hour_number(ts)
-    clean = df.select(*keys, hour.alias("_h"), finite(value).alias("_v"))
-    span = clean.groupBy(*keys).agg(
-        F.max("_h").alias("_end"), F.avg("_v").alias("_mean")
-    )
+    clean = df.select(*keys, hour_number(ts).alias("_h"), finite(value).alias("_v"))
+    span = clean.groupBy(*keys).agg(F.max("_h").alias("_end"), F.avg("_v").alias("_mean"))
     # centring first keeps the sums of products numerically tame
     centred = clean.where(F.col("_v").isNotNull()).join(span, list(keys)).withColumn("_v", F.col("_v") - F.col("_mean"))
-    later = centred.select(*keys, "_h", F.col("_v").alias("_x"), "_end")
-    earlier = centred.select(
-        *keys, F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag_hours"), "_h", F.col("_v").alias("_y")
-    ).withColumn("_h", F.col("_h") + F.col("lag_hours"))
-    pairs = later.join(earlier, [*keys, "_h"])
+    past = halo_window(
+        centred, keys, "_h",
+        {"_past": lambda w: F.collect_list(F.struct("_h", "_v")).over(w.rangeBetween(-max_lag, 0))},
+        before=max_lag, block=max(BLOCK_HOURS, 4 * max_lag),
+    )
+    pairs = past.select(*keys, "_h", "_end", F.col("_v").alias("_x"), F.explode("_past").alias("_y")).select(
+        *keys, "_h", "_end", "_x", F.col("_y._v").alias("_y"), (F.col("_h") - F.col("_y._h")).alias("lag_hours")
+    )
     if trim_tail:
         pairs = pairs.where(F.col("_h") <= F.col("_end") - F.col("lag_hours"))
     x, y = F.col("_x"), F.col("_y")
@@ -248,7 +249,7 @@ def acf(
         F.covar_pop(x, y).alias("_cov"),
         (F.stddev_pop(x) * F.stddev_pop(y)).alias("_scale"),
     )
-    lags = span.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag_hours"))
+    lags = span.select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max_lag).cast("bigint"))).alias("lag_hours"))
     r = F.when(F.col("lag_hours") == 0, F.lit(1.0)).when(
         F.col("pair_count") >= 2, F.col("_cov") / F.nullif(F.col("_scale"), F.lit(0.0))
     )
