@@ -81,3 +81,15 @@ def test_future_extremes_take_the_first_of_equal_values(hours):
     df = hours({"a": [5, 1, 3, 1, 9, 9, 0]}, value="v")
     first = sorted(series.future_extremes(df, 5, "v", "v").collect(), key=lambda r: r.ts)[0]
     assert (first.future_min, first.future_min_offset_h, first.future_max, first.future_max_offset_h) == (1, 1, 9, 4)
+
+
+def test_a_hot_station_is_spread_over_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        hot = spark.range(40_000).select(F.lit("hot").alias("k"), F.col("id").alias("i"), F.lit(1.0).alias("v"))
+        out = blocks.halo_window(hot, ["k"], "i", {"n": lambda w: F.count("v").over(w.rangeBetween(-23, 0))}, before=23)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == 40_000 and len(sizes) == 8 and max(sizes) < 12_000
+        assert out.where(F.col("n") == 24).count() == 40_000 - 23
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

@@ -50,10 +50,13 @@ def matched_by_year(aligned: DataFrame, field_column: str) -> DataFrame:
 
 
 def exact_grid_align(field: DataFrame, variables: Sequence[str] = ("U10", "V10", "MSL")) -> DataFrame:
-    """One row per (time, cell) with a column per variable; a cell that lacks a variable fails the job."""
+    """One row per (time, cell) with a column per variable; a cell that lacks a variable fails the job.
+
+    Rows are placed by time, which serves this grouping and the gradients that follow with one shuffle.
+    """
     present = [F.count_if(F.col("variable") == v).alias(f"_n{i}") for i, v in enumerate(variables)]
     values = [F.max(F.when(F.col("variable") == v, F.col("value"))).alias(v.lower()) for v in variables]
-    wide = field.groupBy("ts", "lat_idx", "lon_idx", "latitude", "longitude").agg(*values, *present)
+    wide = field.repartition("ts").groupBy("ts", "lat_idx", "lon_idx", "latitude", "longitude").agg(*values, *present)
     whole = F.lit(True)
     for i in range(len(variables)):
         whole = whole & (F.col(f"_n{i}") == 1)

@@ -54,6 +54,7 @@ def block_bootstrap(
     draws = (
         totals.select(*keys, "n", "calendar_block_count", "_least")
         .withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(repetitions))))
+        .repartition(*keys, "_rep")
         .withColumn("_draw", F.explode(F.sequence(F.lit(1).cast("bigint"), F.ceil(F.col("n") / F.col("_least")))))
         .withColumn("_number", draw(seed, F.col("_rep"), F.col("_draw"), F.col("calendar_block_count")))
     )

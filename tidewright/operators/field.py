@@ -136,12 +136,13 @@ def field_audit(field: DataFrame, pressure: str = "MSL") -> DataFrame:
     )
 
 
-def pressure_gradient(wide: DataFrame, pressure: str = "msl", keys: Sequence[str] = ("ts",)) -> DataFrame:
+def pressure_gradient(wide: DataFrame, pressure: str = "msl", keys: Sequence[str] = ("ts",), placed: bool = False) -> DataFrame:
     """East and north pressure gradients in Pa/m on an uneven grid.
 
     Second-order central differences inside and one-sided at the edges, along index order; longitude steps
     are taken the short way round. Repeated coordinates and poles fail the job. Both directions run on one
-    shuffle by ``keys``: a single field is bounded by the grid.
+    shuffle by ``keys``: a single field is bounded by the grid. ``placed`` says the rows already lie by
+    ``keys``, as :func:`tidewright.operators.align.exact_grid_align` leaves them.
     """
     east_axis = Window.partitionBy(*keys, "lat_idx").orderBy("lon_idx")
     north_axis = Window.partitionBy(*keys, "lon_idx").orderBy("lat_idx")
@@ -161,7 +162,8 @@ def pressure_gradient(wide: DataFrame, pressure: str = "msl", keys: Sequence[str
     cosine = F.cos(F.radians("latitude"))
     pole = F.raise_error(F.lit("longitude gradient is unstable at the poles")).cast("double")
     safe = F.when(F.abs(cosine) < 1e-6, pole).otherwise(cosine)
-    return wide.repartition(*keys).withColumns(
+    rows = wide if placed else wide.repartition(*keys)
+    return rows.withColumns(
         {
             "gradient_east": slope(east_axis, lon_back, lon_ahead) / (EARTH_RADIUS_M * safe),
             "gradient_north": slope(north_axis, lat_back, lat_ahead) / EARTH_RADIUS_M,

@@ -70,7 +70,7 @@ def _site_cells(spark, sf):
 def hourly(spark, sf):
     return physics.hourly_physics(
         align.exact_grid_align(views.field(spark, sf)), _site_cells(spark, sf), F.dayofmonth("ts") <= 20,
-        {"station": 0.0, "near": 1.0}, bearing_deg=30.0,
+        {"station": 0.0, "near": 1.0}, bearing_deg=30.0, placed=True,
     )
 
 
@@ -171,7 +171,7 @@ def _(spark, sf):
 
 @query("pressure_gradient", f"SELECT ts, lat_idx, lon_idx, {r('ge * 1000', 'east_pa_per_km')}, {r('gn * 1000', 'north_pa_per_km')} FROM gradient_field")
 def _(spark, sf):
-    out = field.pressure_gradient(align.exact_grid_align(views.field(spark, sf)))
+    out = field.pressure_gradient(align.exact_grid_align(views.field(spark, sf)), placed=True)
     return out.select("ts", "lat_idx", "lon_idx", (F.col("gradient_east") * 1000).alias("east_pa_per_km"), (F.col("gradient_north") * 1000).alias("north_pa_per_km"))
 
 
@@ -181,7 +181,7 @@ def _(spark, sf):
     station = field.station_cells(_site_cells(spark, sf)).select(
         "station_id", F.col("station_lat_idx").alias("lat_idx"), F.col("station_lon_idx").alias("lon_idx")
     )
-    out = field.pressure_gradient(align.exact_grid_align(views.field(spark, sf))).join(station, ["lat_idx", "lon_idx"])
+    out = field.pressure_gradient(align.exact_grid_align(views.field(spark, sf)), placed=True).join(station, ["lat_idx", "lon_idx"])
     return out.select("station_id", "ts", (F.col("gradient_east") * 1000).alias("east_pa_per_km"), (F.col("gradient_north") * 1000).alias("north_pa_per_km"))
 
 

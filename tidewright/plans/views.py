@@ -10,7 +10,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.functions.blocks import hour_number
+from tidewright.functions.blocks import global_positions, hour_number
 from tidewright.operators import series
 
 SQL: dict[str, str] = {}
@@ -193,13 +193,12 @@ FROM orders"""
 
 
 def track_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     k = F.col("o_orderkey")
-    storm = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, sf_dir, "orders").select(
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    placed = global_positions(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], F.year("o_orderdate"), "place")
+    return placed.select(
         F.concat(F.lit("ty"), F.col("o_custkey").cast("string")).alias("storm_id"),
-        (6 * F.row_number().over(storm)).cast("bigint").alias("lead_hour"),
+        (6 * F.col("place")).alias("lead_hour"),
         (9 + (k % 61) / 10.0).alias("lat"),
         (-66 + (k % 53) / 10.0).alias("lon"),
         F.when(k % 17 == 0, F.lit("n/a")).otherwise((940 + k % 67).cast("string")).alias("pressure_hpa"),

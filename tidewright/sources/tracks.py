@@ -44,12 +44,17 @@ def _at(c: str | Column, i: int) -> Column:
     return F.get(c, F.lit(i))
 
 
-def _points(df: DataFrame, json: str) -> DataFrame:
-    """One row per track point with the storm id; ``_p`` holds the point's positions as texts."""
+def _storms(df: DataFrame, json: str) -> DataFrame:
+    """One row per document: storm id and its list of point texts."""
     text = strip_jsonp(json)
     storm = F.coalesce(F.from_json(text, "struct<typhoon:array<string>>")["typhoon"], _items(text))
-    storms = df.select(_once(storm).alias("_storm")).select(_at("_storm", 0).alias("typhoon_id"), _at("_storm", 8).alias("_list"))
-    points = storms.select("typhoon_id", F.posexplode(_items("_list")).alias("point_index", "_point"))
+    storms = df.select(_once(storm).alias("_storm"))
+    return storms.select(_at("_storm", 0).alias("typhoon_id"), _once(_items(_at("_storm", 8))).alias("_list"))
+
+
+def _points(df: DataFrame, json: str) -> DataFrame:
+    """One row per track point with the storm id; ``_p`` holds the point's positions as texts."""
+    points = _storms(df, json).select("typhoon_id", F.posexplode("_list").alias("point_index", "_point"))
     return points.select("typhoon_id", "point_index", _once(_items("_point")).alias("_p"))
 
 
@@ -68,8 +73,14 @@ def read_track(df: DataFrame, json: str = "value") -> DataFrame:
 
 def explode_agency_forecast(df: DataFrame, json: str = "value") -> DataFrame:
     """One row per (point, agency, forecast step)."""
+    return _agency_steps(_points(df, json))
+
+
+def _agency_steps(points: DataFrame, agency: str | None = None) -> DataFrame:
     agencies = F.from_json(_at("_p", 11), "map<string,string>")
-    rows = _points(df, json).select(
+    if agency is not None:
+        agencies = F.map_filter(agencies, lambda org, _: org == agency)
+    rows = points.select(
         "typhoon_id", "point_index", _at("_p", 0).alias("point_id"), _at("_p", 1).alias("_time"), F.explode(agencies).alias("org", "_list")
     )
     steps = rows.select("typhoon_id", "point_index", "point_id", "_time", "org", F.posexplode(_items("_list")).alias("step", "_step"))
@@ -82,10 +93,12 @@ def explode_agency_forecast(df: DataFrame, json: str = "value") -> DataFrame:
 
 
 def latest_agency_path(df: DataFrame, agency: str, json: str = "value") -> DataFrame:
-    """Forecast path of one agency from each storm's last observed point."""
-    forecasts = explode_agency_forecast(df, json).where(F.col("org") == agency)
-    last = _points(df, json).groupBy("typhoon_id").agg(F.max("point_index").alias("point_index"))
-    return forecasts.join(last, ["typhoon_id", "point_index"]).select(
+    """Forecast path of one agency from the last observed point of each document; nothing is shuffled."""
+    storms = _storms(df, json).where(F.size("_list") > 0)
+    last = storms.select(
+        "typhoon_id", (F.size("_list") - 1).alias("point_index"), _once(_items(F.element_at("_list", -1))).alias("_p")
+    )
+    return _agency_steps(last, agency).select(
         "typhoon_id", "base_time_bj", "step", F.col("lead_hour").try_cast("int").alias("lead_hour"),
         F.col("forecast_lon").try_cast("double").alias("lon"), F.col("forecast_lat").try_cast("double").alias("lat"),
         F.col("forecast_pressure_hpa").alias("pressure_hpa"), F.col("forecast_max_wind_ms").alias("max_wind_ms"),
