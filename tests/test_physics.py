@@ -83,6 +83,10 @@ def test_crop_meets_across_the_date_line(spark):
     for half in (1.0, 0.7, 50.0):
         got = sorted(r.lon_idx for r in field.crop_region(cells, st, half).collect())
         assert got == ([0, 1, 2] if half == 50.0 else [0, 1])
+    assert field.crop_region(cells, st, 1.0, strict=True).count() == 2
+    far = st.unionByName(spark.createDataFrame([("far", 60.0, 0.0)], st.schema))
+    with pytest.raises(Exception, match="no field cell near station far"):
+        field.crop_region(cells, far, 1.0, strict=True).collect()
 
 
 def hourly_from(spark, pressure, training_hours):

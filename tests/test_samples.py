@@ -78,6 +78,9 @@ def test_year_splits(spark):
     assert got == {"train": 96, "validation": 48, "test": 48}
     with pytest.raises(ValueError):
         samples.split_years(df, (2011, 2013), 2013, 2014)
+    assert samples.require_splits(samples.split_years(df, (2011, 2012), 2013, 2014)).count() == 192
+    with pytest.raises(Exception, match="empty split"):
+        samples.require_splits(samples.split_years(df, (2011, 2012), 2013, 2015)).collect()
     few = samples.split_first_years(df, 4).groupBy("split").count().collect()
     assert {r.split: r["count"] for r in few} == {"train": 153, "validation": 39}
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions.blocks import hour_number
+from tidewright.functions.blocks import halo_window, hour_number
 
 STATION = ("station_id",)
 
@@ -45,6 +45,18 @@ def select_events(
     return chosen.select(*keys, F.col("_pick._t").alias(ts), F.col("_pick._s").alias(score), (F.col("_place") + 1).alias("event"))
 
 
+def forecast_window_scores(
+    df: DataFrame, hours: int, value: str = "surge_m", ts: str = "ts", keys: Sequence[str] = STATION
+) -> DataFrame:
+    """``score`` of each rolling origin: the largest absolute level of its ``hours`` long window, if complete."""
+    def largest(w):
+        frame = w.rangeBetween(0, hours - 1)
+        return F.when(F.count(value).over(frame) == hours, F.max(F.abs(value)).over(frame))
+
+    scored = halo_window(df.withColumn("_h", hour_number(ts)), keys, "_h", {"score": largest}, after=hours - 1)
+    return scored.where(F.col("score").isNotNull()).drop("_h")
+
+
 def window_search(peaks: DataFrame, series: DataFrame, hours: int = 12, ts: str = "ts", keys: Sequence[str] = STATION) -> DataFrame:
     """Hourly rows within ``hours`` of each peak; the window is listed hour by hour and equi-joined.
 

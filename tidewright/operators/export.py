@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,10 +67,14 @@ def manifest(df: DataFrame, category: str) -> DataFrame:
 
 
 def refuse_overwrite(spark: SparkSession, path: str) -> None:
-    """Stop when the target holds anything."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if system.exists(target) and len(system.listStatus(target)) > 0:
+    """Stop when the target holds any file."""
+    try:
+        listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return
+        raise
+    if listing.select("path").head(1):
         raise FileExistsError(f"target is not empty: {path}")
 
 

@@ -12,9 +12,11 @@ from tidewright.functions.columns import EARTH_RADIUS_M, lon_distance, normalise
 VARIABLES = ("U10", "V10", "MSL")
 
 
-def crop_region(df: DataFrame, stations: DataFrame, half: float) -> DataFrame:
+def crop_region(df: DataFrame, stations: DataFrame, half: float, strict: bool = False) -> DataFrame:
     """Cells within ``half`` degrees of each station (lat, circular lon); ``stations``: station_id, lat, lon.
 
+    A station without any cell is absent, or fails the job when ``strict``.
+
     Stations are copied to the degree bins their box touches, so cells and stations meet in an equi-join.
     """
     around = int(360 // half) if half < 180 else 1
@@ -36,7 +38,15 @@ def crop_region(df: DataFrame, stations: DataFrame, half: float) -> DataFrame:
     inside = (F.abs(F.col("latitude") - F.col("station_lat")) <= half) & (
         lon_distance("longitude", "station_lon") <= half
     )
-    return joined.where(inside).drop("_lat_bin", "_lon_bin")
+    cropped = joined.where(inside).drop("_lat_bin", "_lon_bin")
+    if not strict:
+        return cropped
+    found = cropped.select("station_id", F.lit(1).alias("_found")).distinct()
+    outside = F.raise_error(F.concat(F.lit("no field cell near station "), F.col("station_id").cast("string"))).cast("boolean")
+    checked = stations.select("station_id").join(found, "station_id", "left").where(
+        F.when(F.col("_found") == 1, F.lit(True)).otherwise(outside)
+    )
+    return cropped.join(checked.select("station_id"), "station_id")
 
 
 def grid_coordinates(field: DataFrame) -> DataFrame:

@@ -39,16 +39,14 @@ def gram(df: DataFrame, keys: Sequence[str], features: str = "features", targets
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, np.ndarray] = {}
 
-        def flush() -> pd.DataFrame:
-            parts = []
+        def flush() -> Iterator[pd.DataFrame]:
             for key, matrix in held.items():
                 i, j = np.triu_indices(len(matrix))
                 part = pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "v": matrix[i, j]})
                 for at, (name, value) in enumerate(zip(names, key, strict=True)):
                     part.insert(at, name, value)
-                parts.append(part)
+                yield part
             held.clear()
-            return pd.concat(parts, ignore_index=True)
 
         for batch in batches:
             for key, rows in batch.groupby(names, sort=False, dropna=False):
@@ -60,9 +58,8 @@ def gram(df: DataFrame, keys: Sequence[str], features: str = "features", targets
                 key = key if isinstance(key, tuple) else (key,)
                 held[key] = held[key] + product if key in held else product
             if len(held) >= _FLUSH:
-                yield flush()
-        if held:
-            yield flush()
+                yield from flush()
+        yield from flush()
 
     return chosen.mapInPandas(partial, schema).groupBy(*keys, "i", "j").agg(F.sum("v").alias("v"))
 

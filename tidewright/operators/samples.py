@@ -259,6 +259,19 @@ def split_years(
     ).where(F.col("split").isNotNull())
 
 
+def require_splits(
+    df: DataFrame, splits: Sequence[str] = ("train", "validation", "test"), keys: Sequence[str] = STATION
+) -> DataFrame:
+    """Pass rows through, failing the job when a key lacks one of the splits."""
+    counts = [F.count_if(F.col("split") == s).alias(f"_n{i}") for i, s in enumerate(splits)]
+    whole = F.lit(True)
+    for i in range(len(splits)):
+        whole = whole & (F.col(f"_n{i}") > 0)
+    empty = F.raise_error(F.lit(f"empty split among {list(splits)}")).cast("boolean")
+    kept = df.groupBy(*keys).agg(*counts).where(F.when(whole, F.lit(True)).otherwise(empty)).select(*keys)
+    return df.join(kept, list(keys))
+
+
 def split_first_years(
     df: DataFrame, k: int, keys: Sequence[str] = STATION, ts: str = "ts", fallback_ratio: float = 0.8
 ) -> DataFrame:

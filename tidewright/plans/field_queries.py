@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewright.functions.storage import stored
 from tidewright.operators import align, field, physics
 from tidewright.plans import views
 from tidewright.plans.registry import n, query, r
@@ -68,8 +69,9 @@ def _site_cells(spark, sf):
 
 
 def hourly(spark, sf):
+    cells = stored(_site_cells(spark, sf), "site-cells")  # a few cells per site, used in several joins
     return physics.hourly_physics(
-        align.exact_grid_align(views.field(spark, sf)), _site_cells(spark, sf), F.dayofmonth("ts") <= 20,
+        align.exact_grid_align(views.field(spark, sf)), cells, F.dayofmonth("ts") <= 20,
         {"station": 0.0, "near": 1.0}, bearing_deg=30.0, placed=True,
     )
 

@@ -271,6 +271,18 @@ def _(spark, sf):
     return events.select_events(scored, "score", 5, 24)
 
 
+views.SQL["window_scores"] = """SELECT station_id, ts, score FROM (SELECT station_id, ts, CASE WHEN count(surge_m) OVER w = 6 THEN max(abs(surge_m)) OVER w END AS score FROM surge_dense
+WINDOW w AS (PARTITION BY station_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)) WHERE score IS NOT NULL"""
+_STRONG = _PICKS.replace("abs(surge_m)", "score").replace("abs(s.surge_m) AS score", "s.score").replace("FROM surge ", "FROM window_scores ").replace("JOIN surge s", "JOIN window_scores s").replace("p.i < 5", "p.i < 3").replace("< 86400", "< 259200")
+
+
+@query("strong_forecast_windows", f"""
+WITH RECURSIVE {_STRONG}, x AS (SELECT station_id, i AS event, hours[i] AS ts FROM picks)
+SELECT x.station_id, CAST(x.event AS BIGINT) AS event, x.ts, {r('s.score', 'score')} FROM x JOIN window_scores s ON s.station_id = x.station_id AND s.ts = x.ts""")
+def _(spark, sf):
+    return events.select_events(events.forecast_window_scores(views.surge(spark, sf), 6), "score", 3, 72)
+
+
 def _peak_series(spark, sf):
     one = views.forecasts(spark, sf).where((F.col("lead_hours") == 3) & (F.col("model") == "mean3"))
     return one.select("station_id", F.col("valid_time").alias("ts"), "observed_m", "predicted_m")
