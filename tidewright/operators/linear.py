@@ -97,6 +97,12 @@ def _sse(matrix: np.ndarray, p: int, columns: Sequence[int], coefficients: np.nd
     return float(matrix[t, t] - 2 * w @ matrix[index, t] + w @ matrix[np.ix_(index, index)] @ w)
 
 
+def _first_best(errors: Sequence[float]) -> int:
+    """Position of the least error; errors equal but for rounding go to the first."""
+    values = np.asarray(errors)
+    return int(np.argmax(values <= values.min() + 1e-12 * abs(values.min())))
+
+
 def _model_schema(df: DataFrame, keys: Sequence[str], extra: str = "") -> T.StructType:
     fields = [df.schema[k] for k in keys]
     tail = T.StructType(
@@ -157,7 +163,7 @@ def ridge_select(
                     for candidate in penalties:
                         w, b = _ridge(parts[0], p, candidate, index, t)
                         errors.append(_sse(parts[1], p, index, w, b, t) / parts[1][p, p])
-                    alpha = penalties[int(np.argmin(errors))]
+                    alpha = penalties[_first_best(errors)]
                     best = float(np.sqrt(max(min(errors), 0.0)))
                 w, b = _ridge(both, p, alpha, index, t)
                 full = np.zeros(p)
@@ -203,7 +209,7 @@ def expanding_oof(
                     for candidate in penalties:
                         w, b = _ridge(first, p, candidate, range(p), t)
                         errors.append(_sse(second, p, range(p), w, b, t) / second[p, p])
-                    alpha = penalties[int(np.argmin(errors))]
+                    alpha = penalties[_first_best(errors)]
                     best = float(np.sqrt(max(min(errors), 0.0)))
                 w, b = _ridge(both, p, alpha, range(p), t)
                 out.append((*key, fold, lead, alpha, b, w.tolist(), best, int(both[p, p])))

@@ -47,7 +47,7 @@ _ALPHA_LIST = "(VALUES " + ", ".join(f"({a}::DOUBLE, {i})" for i, a in enumerate
 WITH e AS (SELECT station_id, lead_hours, count(*) AS k, covar_pop(x, y) AS c, var_pop(x) AS v, avg(x) AS mx, avg(y) AS my FROM ar_samples WHERE day(origin) <= 10 GROUP BY 1, 2),
 s AS (SELECT t.station_id, t.lead_hours, a.alpha, a.place, avg((my + k * c / v / (k + alpha) * (x - mx) - y) ** 2) AS mse
       FROM ar_samples t JOIN e ON e.station_id = t.station_id AND e.lead_hours = t.lead_hours, {_ALPHA_LIST} WHERE day(origin) BETWEEN 11 AND 20 GROUP BY ALL),
-b AS (SELECT station_id, lead_hours, arg_min(alpha, mse) AS alpha, min(mse) AS mse FROM s GROUP BY 1, 2),
+b AS (SELECT station_id, lead_hours, arg_min(alpha, (round(mse, 12), alpha)) AS alpha, min(mse) AS mse FROM s GROUP BY 1, 2),
 f AS (SELECT station_id, lead_hours, count(*) AS k, covar_pop(x, y) AS c, var_pop(x) AS v, avg(x) AS mx, avg(y) AS my FROM ar_samples WHERE day(origin) <= 20 GROUP BY 1, 2)
 SELECT f.station_id, f.lead_hours, {r('alpha', 'alpha')}, {r('k * c / v / (k + alpha)', 'slope')}, {r('my - k * c / v / (k + alpha) * mx', 'intercept')}, {r('sqrt(mse)', 'tuning_rmse')}, {n('k', 'train_rows')}
 FROM f JOIN b ON b.station_id = f.station_id AND b.lead_hours = f.lead_hours""")
@@ -85,7 +85,7 @@ WITH folds AS (SELECT unnest([1997, 1998, 1999, 2000]) AS py),
 t AS (SELECT d.*, py, year(origin) < py - 1 AS early FROM {_DAILY} d, folds WHERE year(origin) < py AND origin <= make_timestamp(py, 1, 1, 0, 0, 0) - INTERVAL 72 HOUR),
 e AS (SELECT station_id, py, count(*) AS k, covar_pop(x, y) AS c, var_pop(x) AS v, avg(x) AS mx, avg(y) AS my FROM t WHERE early GROUP BY 1, 2),
 s AS (SELECT t.station_id, t.py, a.alpha, avg((my + coalesce(k * c / nullif(v, 0), 0) / (k + alpha) * (x - mx) - y) ** 2) AS mse FROM t JOIN e ON e.station_id = t.station_id AND e.py = t.py, {_ALPHA_LIST} WHERE NOT early GROUP BY ALL),
-b AS (SELECT station_id, py, arg_min(alpha, mse) AS alpha FROM s GROUP BY 1, 2),
+b AS (SELECT station_id, py, arg_min(alpha, (round(mse, 12), alpha)) AS alpha FROM s GROUP BY 1, 2),
 f AS (SELECT station_id, py, count(*) AS k, covar_pop(x, y) AS c, var_pop(x) AS v, avg(x) AS mx, avg(y) AS my FROM t GROUP BY 1, 2)
 SELECT d.station_id, d.origin, {n('f.py', 'prediction_year')}, CAST(1 AS BIGINT) AS lead_hours, {r('my + coalesce(k * c / nullif(v, 0), 0) / (k + coalesce(alpha, 10)) * (x - mx)', 'predicted_m')}
 FROM {_DAILY} d JOIN f ON f.station_id = d.station_id AND f.py = year(d.origin) LEFT JOIN b ON b.station_id = f.station_id AND b.py = f.py""")
