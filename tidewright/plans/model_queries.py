@@ -66,6 +66,31 @@ def _(spark, sf):
     return models.select("station_id", "family", "lead_hours", "alpha", *coefficients, "intercept", "tuning_rmse")
 
 
+_ONE = "(SELECT station_id, origin, lead_hours, observed_m AS y, {x} AS x, '{f}' AS family FROM roll_samples)"
+views.SQL["roll_samples"] = """
+SELECT f.station_id, f.origin, f.lead_hours, f.observed_m, d.b0, d.b1 FROM forecasts f
+JOIN (SELECT station_id, ts, surge_m AS b0, lag(surge_m, 1) OVER (PARTITION BY station_id ORDER BY ts) AS b1 FROM surge_dense) d ON d.station_id = f.station_id AND d.ts = f.origin
+WHERE f.model = 'persistence'"""
+_FAMILIES = "(" + _ONE.format(x="b0", f="last") + " UNION ALL " + _ONE.format(x="b1", f="before") + ")"
+_MOMENTS = "count(*) AS k, covar_pop(x, y) AS c, var_pop(x) AS v, avg(x) AS mx, avg(y) AS my"
+
+
+@query("ridge_family_single", f"""
+WITH a AS (SELECT * FROM {_FAMILIES}),
+e AS (SELECT station_id, lead_hours, family, {_MOMENTS} FROM a WHERE day(origin) <= 10 GROUP BY 1, 2, 3),
+s AS (SELECT t.station_id, t.lead_hours, t.family, p.alpha, avg((my + k * c / v / (k + alpha) * (x - mx) - y) ** 2) AS mse
+      FROM a t JOIN e ON e.station_id = t.station_id AND e.lead_hours = t.lead_hours AND e.family = t.family, {_ALPHA_LIST.replace(' a(', ' p(')} WHERE day(origin) BETWEEN 11 AND 20 GROUP BY ALL),
+b AS (SELECT station_id, lead_hours, family, arg_min(alpha, (round(mse, 12), alpha)) AS alpha FROM s GROUP BY 1, 2, 3),
+f AS (SELECT station_id, lead_hours, family, {_MOMENTS} FROM a WHERE day(origin) <= 20 GROUP BY 1, 2, 3)
+SELECT f.station_id, f.lead_hours, f.family, {r('alpha', 'alpha')}, {r('k * c / v / (k + alpha)', 'slope')}, {r('my - k * c / v / (k + alpha) * mx', 'intercept')}
+FROM f JOIN b ON b.station_id = f.station_id AND b.lead_hours = f.lead_hours AND b.family = f.family""")
+def _(spark, sf):
+    day = F.dayofmonth("origin")
+    models = linear.ridge_select(_samples(spark, sf), ["station_id"], LEADS, day <= 10, day.between(11, 20), groups={"last": [2], "before": [1]})
+    slope = F.when(F.col("family") == "last", F.get("coefficients", F.lit(2))).otherwise(F.get("coefficients", F.lit(1)))
+    return models.select("station_id", "lead_hours", "family", "alpha", slope.alias("slope"), "intercept")
+
+
 def _yearly(spark, sf):
     """Daily order series: level yesterday and the day before, today's level as the target."""
     daily = views.surge_daily(spark, sf)

@@ -136,7 +136,7 @@ def _(spark, sf):
     return tracks.typhoon_list(views.table(spark, sf, "customer").select(F.concat(F.lit('{"typhoonList":['), row, F.lit("]}")).alias("value")))
 
 
-@query("flatten_site_tree", """SELECT 'p' || s_nationkey AS province, s_name AS "siteName", 'c' || s_suppkey || '-' || i AS "siteCode", NULL AS "siteArea", '10.5' AS lat, '120' AS lon, '1' AS blue, '2' AS yellow, '3' AS orange, NULL AS red
+@query("flatten_site_tree", """SELECT 'p' || s_nationkey AS province, s_name AS "siteName", 'c' || s_suppkey || '-' || i AS "siteCode", CAST(NULL AS VARCHAR) AS "siteArea", '10.5' AS lat, '120' AS lon, '1' AS blue, '2' AS yellow, '3' AS orange, CAST(NULL AS VARCHAR) AS red
 FROM supplier, (VALUES (0), (1)) v(i)""")
 def _(spark, sf):
     site = '{"province":"p%d","siteName":"%s","siteCode":"c%d-%d","lat":"10.5","lon":"120","blue":"1","yellow":"2","orange":"3"}'
@@ -171,7 +171,7 @@ def _(spark, sf):
 
 
 _SEA = ", ".join(f"'{i}' AS \"{c}\"" for i, c in enumerate(tracks.WEATHER_FIELDS))
-_WIND = ", ".join(f"NULL AS \"{c}\"" for c in tracks.WIND_FIELDS[2:])
+_WIND = ", ".join(f"CAST(NULL AS VARCHAR) AS \"{c}\"" for c in tracks.WIND_FIELDS[2:])
 
 
 @query("sea_surface_obs", f"""SELECT 'S' || user_id AS "StationID", strftime(ts, '%Y-%m-%dT%H:%M') AS "DateTime", {_SEA}, CAST(event_id % 30 AS VARCHAR) AS "WindSpeed", '3' AS "WindScale", {_WIND} FROM events""")

@@ -124,7 +124,7 @@ def surge_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["field"] = """
 WITH hours AS (SELECT DISTINCT date_trunc('hour', ts) AS ts FROM events),
-     base AS (SELECT ts, CAST(epoch(ts) / 3600 AS BIGINT) AS h, n_nationkey // 5 AS i, n_nationkey % 5 AS j
+     base AS (SELECT ts, CAST(epoch(ts) / 3600 AS BIGINT) AS h, CAST(n_nationkey // 5 AS BIGINT) AS i, CAST(n_nationkey % 5 AS BIGINT) AS j
               FROM hours, nation WHERE n_nationkey < 25),
      wide AS (SELECT ts, i, j, 10.0 + i AS latitude, -64.0 + j AS longitude,
                      ((h * 7 + i * 3 + j * 5) % 41 - 20) / 4.0 AS u10,
@@ -217,7 +217,7 @@ SELECT ' ' || event_type AS city, 'c' || CAST(user_id % 10 AS VARCHAR) AS city_c
             ELSE 'other' END AS station_type,
        ts AS reported_at,
        CASE WHEN event_id % 89 = 0 THEN 'n/a' ELSE CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) END AS water_level,
-       to_timestamp(CAST(floor(epoch(ts) / 600) AS BIGINT) * 600) AT TIME ZONE 'UTC' AS crawl_time, event_id AS seq
+       time_bucket(INTERVAL 10 MINUTE, ts) AS crawl_time, event_id AS seq
 FROM events"""
 
 
