@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import chat, decontaminate, jaccard_join, language_id, packing, quality, secret_scan
+from tidewright.llm import chat, decontaminate, embedding_join, jaccard_join, language_id, packing, quality, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
     told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.round_trip(told.unionByName(spark.createDataFrame(odd, "conv_id long, turn long, role string, text string")))
+
+
+@query("op10_embedding_join")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates of all embeddings at cosine 0.95."""
+    return embedding_join.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
