@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import chat, decontaminate, embedding_join, jaccard_join, language_id, packing, quality, secret_scan
+from tidewright.llm import chat, decontaminate, embedding_join, html_wrappers, jaccard_join, language_id, packing, quality, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+@query("op2_html_extraction")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by wrappers inferred from all pages of its host."""
+    return html_wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
 @query("op3_language_id")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the labelled ones that are not held out."""
