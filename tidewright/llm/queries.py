@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import chat, decontaminate, embedding_join, html_wrappers, jaccard_join, language_id, packing, quality, secret_scan
+from tidewright.llm import chat, decontaminate, embedding_join, html_wrappers, jaccard_join, language_id, license_scan, packing, quality, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,6 +59,28 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def license_files(docs: DataFrame) -> DataFrame:
+    """Documents as files of a tree: source, thousands and hundreds of the id; short ones that name a licence are licence files."""
+    a, b = (F.floor(F.col("doc_id") / n) for n in (1000, 100))
+    high, low = F.concat_ws("/", "source", a.cast("string")), F.concat_ws("/", "source", a.cast("string"), (b % 10).cast("string"))
+    names = (F.length("text") < 1000) & F.col("text").contains("icense")
+    at = F.when(F.col("doc_id") % 3 == 0, F.col("source")).when(F.col("doc_id") % 3 == 1, high).otherwise(low)
+    name = F.col("doc_id").cast("string")
+    path = F.when(names, F.concat(at, F.lit("/LICENSE-"), name)).otherwise(F.concat(low, F.lit("/"), name))
+    return docs.select("doc_id", "text", path.alias("path"))
+
+
+LICENSE_FILES = """SELECT doc_id, text, CASE WHEN length(text) < 1000 AND contains(text, 'icense') THEN
+    CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN source || '/' || (doc_id // 1000) ELSE source || '/' || (doc_id // 1000) || '/' || (doc_id // 100 % 10) END
+    || '/LICENSE-' || doc_id ELSE source || '/' || (doc_id // 1000) || '/' || (doc_id // 100 % 10) || '/' || doc_id END AS path FROM documents"""
+
+
+@query("op5_license_scan", license_scan.oracle(LICENSE_FILES))
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents, laid out as a tree of files."""
+    return license_scan.scan(license_files(table(spark, sf_dir, "documents")))
+
+
 @query("op6_quality")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of every document."""
