@@ -149,7 +149,7 @@ def test_tide_recovers_known_amplitudes(spark):
         assert found[name] == pytest.approx(want, abs=0.02)
     out = tide.separate_tide(df, fitted).collect()
     assert len(out) == 60 * 24 and sum(not r.qc_valid for r in out) == 3
-    assert max(abs(r.storm_surge_m) for r in out if r.qc_valid) < 1e-4
+    assert max(abs(r.surge_m) for r in out if r.qc_valid) < 1e-4
 
 
 def test_tide_cutoff_hides_later_levels(spark):

@@ -70,11 +70,11 @@ def test_jsonp_and_short_rows(spark):
     assert sorted((r.typhoon_id or "", r.en_name, r.cn_name) for r in got) == [("", None, None), ("1", "A", None), ("2", "B", "乙")]
 
 
-def test_flatten_refuses_lists_it_would_cut(spark):
-    df = spark.createDataFrame([([{"a": 1}, {"a": 2}, {"a": 3}],)], "rows array<struct<a:int>>")
-    assert tracks.flatten_json(df, 3).columns == ["rows.0.a", "rows.1.a", "rows.2.a"]
-    with pytest.raises(Exception, match="longer than 2"):
-        tracks.flatten_json(df, 2).collect()
+def test_flatten_takes_the_longest_list(spark):
+    df = spark.createDataFrame([([{"a": 1, "b": []}, {"a": 2, "b": [{"c": 5}]}],), ([{"a": 3, "b": None}] * 11,), (None,)], "rows array<struct<a:int,b:array<struct<c:int>>>>")
+    flat = tracks.flatten_json(df)
+    assert flat.columns[:3] == ["rows.0.a", "rows.1.a", "rows.1.b.0.c"] and flat.columns[-1] == "rows.10.a" and flat.count() == 3
+    assert tracks.flatten_json(df.limit(0)).columns == []
 
 
 def test_find_records(spark):

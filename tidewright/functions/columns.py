@@ -47,7 +47,7 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 @F.pandas_udf(StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).strip())
+    return values.str.normalize("NFKC").str.strip()
 
 
 def clean_text(c: str | Column) -> Column:
@@ -64,7 +64,7 @@ def clean_text(c: str | Column) -> Column:
 
 def safe_key(c: str | Column, length: int = 100, default: str = "unnamed") -> Column:
     """File-safe form of a text: unsafe characters to ``_``, outer blanks and dots cut, then shortened."""
-    text = F.coalesce(F.nullif(F.trim(col(c)), F.lit("")), F.lit(default))
+    text = F.coalesce(F.nullif(clean_text(c), F.lit("")), F.lit(default))
     text = F.trim(F.regexp_replace(text, r'[<>:"/\\|?*\x00-\x1f]', "_"), F.lit(" ."))
     return F.coalesce(F.nullif(F.substring(text, 1, length), F.lit("")), F.lit(default))
 

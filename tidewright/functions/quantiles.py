@@ -7,7 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_INF = float("inf")
+from tidewright.functions.columns import finite
+from tidewright.functions.storage import stored
+
+COARSE = 64
+SPLITS = 999
 
 
 def exact_quantiles(
@@ -15,73 +19,88 @@ def exact_quantiles(
     keys: Sequence[str],
     wanted: dict[str, tuple[str | Column, float]],
     accuracy: int = 10_000,
+    most: int = 100_000,
 ) -> DataFrame:
     """One row per key with the linearly interpolated quantile ``name = (value, p)`` for each entry.
 
-    Built-in ``percentile`` holds every distinct value of a group in one task. Here a bounded sketch
-    brackets each quantile; only the values inside the bracket (a share of about ``8 / accuracy``) are
-    ranked, after equal values were counted together. Groups up to ``accuracy`` rows skip the bracket.
-    Nulls do not count; a quantile over no values is null.
+    Built-in ``percentile`` holds every distinct value of a group in one task. Here ``df`` is evaluated once, to
+    a narrow stored table of keys and values. One aggregate over it takes counts and sketched marks of every
+    value; of the marks the two that surely enclose a wanted rank, given the group's size, bracket it. Equal
+    values inside a bracket are counted together, and as long as a bracket holds more than ``most`` distinct
+    values it is cut at sketched split points and only the slices around the rank stay, so the final ranking
+    has a bounded slice per quantile whatever the size of a group. Missing, NaN and infinite values do not
+    count; a quantile over no values is null.
     """
     group = list(keys) or ["_all"]
-    items = F.array(
-        *[
-            F.struct(F.lit(name).alias("q"), (F.col(v) if isinstance(v, str) else v).cast("double").alias("v"))
-            for name, (v, _) in wanted.items()
-        ]
-    )
+    places: dict[str | int, int] = {}
+    at = {name: places.setdefault(v if isinstance(v, str) else id(v), len(places)) for name, (v, _) in wanted.items()}
+    values = [finite(next(v for n, (v, _) in wanted.items() if at[n] == i)).alias(f"_v{i}") for i in range(len(places))]
     source = df if keys else df.withColumn("_all", F.lit(0))
-    data = source.select(*group, F.inline(items)).where(F.col("v").isNotNull())
+    data = stored(source.select(*group, *values), "quantile-values")
 
-    share = F.create_map(*[x for name, (_, p) in wanted.items() for x in (F.lit(name), F.lit(float(p)))])
-    grid = sorted({q for _, p in wanted.values() for q in (max(p - 4 / accuracy, 0.0), min(p + 4 / accuracy, 1.0))})
-    marks = data.groupBy(*group, "q").agg(
-        F.count("*").alias("_n"), F.percentile_approx("v", grid, accuracy).alias("_marks")
-    )
-    low, high = F.lit(-_INF), F.lit(_INF)
+    fine = 6 / accuracy
+    grids = [sorted({k / COARSE for k in range(COARSE + 1)} | {min(1.0, max(0.0, p + s * fine)) for n, (_, p) in wanted.items() if at[n] == i for s in (-1, 1)})
+             for i in range(len(values))]
+    marks = stored(data.groupBy(*group).agg(
+        *(F.count(f"_v{i}").alias(f"_n{i}") for i in range(len(values))),
+        *(F.percentile_approx(f"_v{i}", grid, accuracy).alias(f"_m{i}") for i, grid in enumerate(grids))), "quantile-marks")
+
+    brackets = []
     for name, (_, p) in wanted.items():
-        left = F.get("_marks", F.lit(grid.index(max(p - 4 / accuracy, 0.0))))
-        right = F.get("_marks", F.lit(grid.index(min(p + 4 / accuracy, 1.0))))
-        mine = (F.col("q") == name) & (F.col("_n") > accuracy)
-        low, high = F.when(mine, left).otherwise(low), F.when(mine, right).otherwise(high)
-    rank = share[F.col("q")] * (F.col("_n") - 1)
-    targets = marks.select(*group, "q", "_n", low.alias("_low"), high.alias("_high"), rank.alias("_rank"))
-
-    # values below the bracket collapse into one null-valued row that only carries their count
-    counted = (
-        data.join(targets, [*group, "q"])
-        .where(F.col("v") <= F.col("_high"))
-        .withColumn("_s", F.when(F.col("v") >= F.col("_low"), F.col("v")))
-        .groupBy(*group, "q", "_rank", "_s")
-        .agg(F.count("*").alias("_c"))
-    )
-    ordered = Window.partitionBy(*group, "q").orderBy(F.asc_nulls_first("_s"))
-    cumulative = counted.withColumn(
-        "_cum", F.sum("_c").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    floor, ceil = F.floor("_rank"), F.ceil("_rank")
-    picked = cumulative.groupBy(*group, "q", "_rank").agg(
-        F.min(F.when(F.col("_cum") > floor, F.col("_s"))).alias("_a"),
-        F.min(F.when(F.col("_cum") > ceil, F.col("_s"))).alias("_b"),
-        F.max("_cum").alias("_seen"),
-        F.coalesce(F.max(F.when(F.col("_s").isNull(), F.col("_c"))), F.lit(0)).alias("_below"),
+        i = at[name]
+        n, grid = F.col(f"_n{i}"), F.array(*(F.lit(float(q)) for q in grids[i]))
+        rank = F.lit(float(p)) * (n - 1)
+        pairs = F.arrays_zip(grid.alias("q"), F.col(f"_m{i}").alias("m"))
+        low = F.try_element_at(F.filter(pairs, lambda x: x["q"] * n <= F.floor(rank) + 1 - 4 * n / accuracy), F.lit(-1))["m"]
+        high = F.get(F.filter(pairs, lambda x: x["q"] * n >= F.ceil(rank) + 1 + 4 * n / accuracy), F.lit(0))["m"]
+        brackets.append(F.struct(F.lit(name).alias("q"), F.lit(i).alias("i"), F.coalesce(low, F.lit(-float("inf"))).alias("low"),
+                                 F.coalesce(high, F.lit(float("inf"))).alias("high"), rank.alias("rank")))
+    targets = marks.select(*group, F.array(*brackets).alias("_b"))
+
+    # values below a bracket collapse into one null-valued row that only carries their count
+    every = F.array(*(F.col(f"_v{i}") for i in range(len(values))))
+    inside = F.filter(F.col("_b"), lambda b: F.get(every, b["i"]) <= b["high"])
+    picked = F.transform(inside, lambda b: F.struct(b["q"].alias("q"), b["rank"].alias("rank"), F.when(F.get(every, b["i"]) >= b["low"], F.get(every, b["i"])).alias("s")))
+    counted = data.join(targets, group).select(*group, F.inline(picked)).groupBy(*group, "q", "rank", "s").agg(F.count("*").alias("c"))
+    slices = stored(counted, "quantile-slices")
+    by = [*group, "q"]
+    while (slices.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) > most:
+        slices = stored(_narrowed(slices, by), "quantile-slices")
+
+    ordered = Window.partitionBy(*by).orderBy(F.asc_nulls_first("s"))
+    cumulative = slices.withColumn("cum", F.sum("c").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    floor, ceil = F.floor("rank"), F.ceil("rank")
+    found = cumulative.groupBy(*by, "rank").agg(
+        F.min(F.when(F.col("cum") > floor, F.col("s"))).alias("a"),
+        F.min(F.when(F.col("cum") > ceil, F.col("s"))).alias("b"),
+        F.max("cum").alias("seen"),
+        F.coalesce(F.max(F.when(F.col("s").isNull(), F.col("c"))), F.lit(0)).alias("below"),
     )
     settled = F.when(
-        (F.col("_below") <= floor) & (F.col("_seen") > ceil),
-        F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_rank") - floor),
+        (F.col("below") <= floor) & (F.col("seen") > ceil), F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - floor)
     ).otherwise(F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-    values = picked.select(*group, "q", settled.alias("_value"))
-    wide = values.groupBy(*group).agg(
-        *[F.max(F.when(F.col("q") == name, F.col("_value"))).alias(name) for name in wanted]
-    )
+    wide = found.select(*by, settled.alias("value")).groupBy(*group).agg(*[F.max(F.when(F.col("q") == name, F.col("value"))).alias(name) for name in wanted])
     return wide if keys else wide.drop("_all")
 
 
+def _narrowed(slices: DataFrame, by: list[str]) -> DataFrame:
+    """The slices around each rank only; what lies below joins the row of counts below."""
+    grid = [k / (SPLITS + 1) for k in range(1, SPLITS + 1)]
+    splits = slices.groupBy(*by).agg(F.percentile_approx("s", grid, 4 * (SPLITS + 1)).alias("cuts"))
+    binned = slices.join(splits, by).withColumn("bin", F.when(F.col("s").isNull(), F.lit(-1)).otherwise(F.size(F.filter("cuts", lambda x: x < F.col("s"))))).drop("cuts")
+    order = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = binned.groupBy(*by, "rank", "bin").agg(F.sum("c").alias("k")).withColumn("hi", F.sum("k").over(order)).withColumn("lo", F.col("hi") - F.col("k"))
+    kept = bins.where("hi > floor(rank) and lo <= ceil(rank) and bin >= 0")
+    low = kept.groupBy(*by).agg(F.min("lo").alias("below"), F.collect_set("bin").alias("bins"))
+    rows = binned.where("s is not null").join(low, by).where(F.array_contains("bins", F.col("bin")))
+    under = bins.select(*by, "rank").distinct().join(low, by).select(*by, "rank", F.lit(None).cast("double").alias("s"), F.col("below").alias("c")).where("c > 0")
+    return rows.select(*by, "rank", "s", "c").unionByName(under)
+
+
 def with_quantiles(
     df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str | Column, float]], accuracy: int = 10_000
 ) -> DataFrame:
     """``df`` with the quantile columns attached to every row of its group."""
     if keys:
         return df.join(exact_quantiles(df, keys, wanted, accuracy), list(keys), "left")
-    one = exact_quantiles(df.withColumn("_one", F.lit(1)), ["_one"], wanted, accuracy)
-    return df.withColumn("_one", F.lit(1)).join(one, "_one", "left").drop("_one")
+    return df.join(F.broadcast(exact_quantiles(df, [], wanted, accuracy)), F.lit(True), "left")  # one row at most

@@ -7,22 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.functions.columns import finite
+from tidewright.operators.quality import dedupe_first
 from tidewright.operators.series import contiguous_segments
 
 
-def align_hourly(field_hours: DataFrame, surge: DataFrame, value: str = "surge_m") -> DataFrame:
-    """Inner join on the exact hour where the level is known; repeated hours count once on either side."""
-    known = surge.where(F.col(value).isNotNull()).dropDuplicates(["station_id", "ts"])
-    return known.join(field_hours.dropDuplicates(["ts"]), "ts")
+def _first_known(surge: DataFrame, value: str, order: Sequence[str]) -> DataFrame:
+    """The first row of every station and hour in ``order`` (else in reading order), where its level is known."""
+    numbered = surge if order else surge.withColumn("_read", F.monotonically_increasing_id())
+    first = dedupe_first(numbered, ["station_id", "ts"], list(order) or ["_read"]).drop("copies", "_read")
+    return first.where(finite(value).isNotNull()).select(*surge.columns)
 
 
-def alignment_report(field_hours: DataFrame, surge: DataFrame, value: str = "surge_m") -> DataFrame:
-    """Per station: matched hours, hours missing on each side, common range and contiguous segments."""
+def align_hourly(field_hours: DataFrame, surge: DataFrame, value: str = "surge_m", order: Sequence[str] = ()) -> DataFrame:
+    """Inner join on the exact hour; of repeated hours the first counts, and an hour whose first level is missing is out."""
+    return _first_known(surge, value, order).join(field_hours.dropDuplicates(["ts"]), "ts")
+
+
+def alignment_report(field_hours: DataFrame, surge: DataFrame, value: str = "surge_m", order: Sequence[str] = ()) -> DataFrame:
+    """Per station: range of either side, matched hours, hours missing on each side, common range and contiguous segments."""
     hours = field_hours.select("ts").distinct()
-    known = surge.where(F.col(value).isNotNull()).select("station_id", "ts").distinct()
+    known = _first_known(surge, value, order).select("station_id", "ts")
     tagged = known.join(hours.withColumn("_in_field", F.lit(1)), "ts", "left")
-    total = hours.agg(F.count("*").alias("_hours")).withColumn("_one", F.lit(1))
+    total = hours.agg(F.count("*").alias("_hours"), F.min("ts").alias("field_start"), F.max("ts").alias("field_end"))
     base = tagged.groupBy("station_id").agg(
+        F.min("ts").alias("surge_start"), F.max("ts").alias("surge_end"),
         F.count("_in_field").alias("matched_times"),
         F.count_if(F.col("_in_field").isNull()).alias("missing_field_times"),
         F.min(F.when(F.col("_in_field") == 1, F.col("ts"))).alias("common_start"),
@@ -31,9 +40,9 @@ def alignment_report(field_hours: DataFrame, surge: DataFrame, value: str = "sur
     matched = tagged.where(F.col("_in_field") == 1).select("station_id", "ts")
     runs = contiguous_segments(matched).groupBy("station_id").agg(F.max("segment").alias("continuous_segments"))
     return (
-        base.withColumn("_one", F.lit(1)).join(total, "_one")
+        base.crossJoin(F.broadcast(total))  # one row
         .withColumn("missing_surge_times", F.col("_hours") - F.col("matched_times"))
-        .drop("_one", "_hours").join(runs, "station_id", "left").fillna(0, ["continuous_segments"])
+        .drop("_hours").join(runs, "station_id", "left").fillna(0, ["continuous_segments"])
     )
 
 

@@ -19,14 +19,18 @@ def select_events(
 
     Rows are hourly and unique per key; equal scores go to the later hour. An accepted event rules out at
     most ``2 * separation - 1`` hours, so event number i lies among the ``(i - 1)(2 * separation - 1) + 1``
-    highest scores: only that many rows per key are kept (the limit is applied before the shuffle), and the
-    pick runs over this short list. Nothing that could be chosen is dropped.
+    highest scores: only that many rows per key are kept, first of every block of hours and then of the key, and
+    the pick runs over this short list. Nothing that could be chosen is dropped.
     """
     enough = (count - 1) * (2 * separation_hours - 1) + 1
-    ranked = Window.partitionBy(*keys).orderBy(F.col(score).desc(), F.col(ts).desc())
+    best = [F.col(score).desc(), F.col(ts).desc()]
+    ranked = Window.partitionBy(*keys).orderBy(*best)
+    block = Window.partitionBy(*keys, F.floor(hour_number(ts) / (8 * enough))).orderBy(*best)
     short = (
         df.where(F.col(score).isNotNull())
         .select(*keys, ts, score)
+        .withColumn("_rank", F.row_number().over(block))
+        .where(F.col("_rank") <= enough)
         .withColumn("_rank", F.row_number().over(ranked))
         .where(F.col("_rank") <= enough)
     )

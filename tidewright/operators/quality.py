@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.functions.columns import col
+from tidewright.functions.columns import col, finite
 from tidewright.functions.quantiles import exact_quantiles, with_quantiles
+from tidewright.functions.storage import stored
 from tidewright.operators.series import _previous_interval
 
 # Missing-value sentinels, and quality and use flags that reject a record. The strict profile
@@ -68,14 +69,14 @@ def range_filter(df: DataFrame, value: str, limit: float = 20.0) -> DataFrame:
 
 def mad_filter(df: DataFrame, value: str, keys: Sequence[str] = ("station_id",), threshold: float = 15.0) -> DataFrame:
     """Keep rows whose robust z-score (0.6745 x deviation / MAD) stays within ``threshold``; MAD 0 keeps all."""
-    centred = with_quantiles(df, keys, {"_median": (value, 0.5)}).withColumn(
-        "_deviation", F.abs(F.col(value) - F.col("_median"))
-    )
-    judged = with_quantiles(centred, keys, {"_mad": ("_deviation", 0.5)})
+    levels = stored(df.select(*keys, finite(value).alias("_level")), "mad-levels")
+    median = exact_quantiles(levels, keys, {"_median": ("_level", 0.5)})
+    spread = exact_quantiles(levels.join(median, list(keys)), keys, {"_mad": (F.abs(F.col("_level") - F.col("_median")), 0.5)})
+    judged = df.join(median.join(spread, list(keys)), list(keys), "left")
     keep = F.col("_mad").isNull() | (F.col("_mad") == 0) | (
-        0.6745 * F.col("_deviation") / F.nullif(F.col("_mad"), F.lit(0.0)) <= threshold
+        0.6745 * F.abs(F.col(value) - F.col("_median")) / F.nullif(F.col("_mad"), F.lit(0.0)) <= threshold
     )
-    return judged.where(keep & F.col(value).isNotNull()).drop("_median", "_deviation", "_mad")
+    return judged.where(keep & F.col(value).isNotNull()).drop("_median", "_mad")
 
 
 def iqr_mask(df: DataFrame, value: str, keys: Sequence[str] = ("station_id",), k: float = 5.0) -> DataFrame:
@@ -135,8 +136,10 @@ def tag_rejects(
     return first.withColumn("reject_reason", reason)
 
 
-def sensor_scores(df: DataFrame, value: str = "water_level", keys: Sequence[str] = ("station_id", "sensor")) -> DataFrame:
-    """Completeness, continuity and score of every channel of clean records."""
+def sensor_scores(
+    df: DataFrame, value: str = "water_level", keys: Sequence[str] = ("station_id", "sensor"), medians: bool = True
+) -> DataFrame:
+    """Completeness, continuity and score of every channel of clean records; their medians cost further passes."""
     stepped = _previous_interval(df.select(*keys, "ts", value), keys, "ts")
     gap = F.col("gap_hours")
     span = F.greatest(
@@ -152,9 +155,8 @@ def sensor_scores(df: DataFrame, value: str = "water_level", keys: Sequence[str]
         F.min(value).alias("minimum_m"),
         F.max(value).alias("maximum_m"),
     )
-    middle = exact_quantiles(df, keys, {"median_m": (value, 0.5)})
-    score = F.round(0.7 * F.col("completeness") + 0.3 * F.col("hourly_continuity"), 6)
-    return table.join(middle, list(keys)).withColumn("score", score)
+    table = table.withColumn("score", F.round(0.7 * F.col("completeness") + 0.3 * F.col("hourly_continuity"), 6))
+    return table.join(exact_quantiles(df, keys, {"median_m": (value, 0.5)}), list(keys)) if medians else table
 
 
 def select_channel(scored: DataFrame, station: Sequence[str] = ("station_id",)) -> DataFrame:
@@ -171,7 +173,7 @@ def quality_control(df: DataFrame, order: Sequence[str] = ("seq",), limit: float
     """
     tagged = tag_rejects(df, order, limit, bad_qc)
     good = tagged.where(F.col("reject_reason").isNull()).drop("reject_reason", "copies")
-    chosen = select_channel(sensor_scores(good))
+    chosen = select_channel(sensor_scores(good, medians=False))
     clean = good.join(chosen, ["station_id", "sensor"])
     reason = F.col("reject_reason")
     removed = tagged.groupBy("station_id").agg(

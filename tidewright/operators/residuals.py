@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewright.functions.blocks import global_positions
 from tidewright.functions.columns import finite, inverse_normal
 from tidewright.functions.quantiles import exact_quantiles
+from tidewright.functions.storage import stored
 from tidewright.operators.series import full_denominator_acf, lagged_correlation
 
 
@@ -100,10 +101,10 @@ def qq_points(df: DataFrame, keys: Sequence[str], tie: Sequence[str], value: str
     """
     v = finite(value)
     known = df.where(v.isNotNull()).select(*keys, *tie, v.alias("sample"))
-    shape = known.groupBy(*keys).agg(
+    shape = stored(known.groupBy(*keys).agg(
         F.count("*").alias("n"), F.avg("sample").alias("_mean"), F.stddev_pop("sample").alias("_std"),
         F.percentile_approx("sample", [0.25, 0.5, 0.75], 1000).alias("_q"),
-    )
+    ), "residual-marks")  # sketched once: ranks and rows must see the same blocks
     joined = known.join(shape, list(keys))
     spread = F.coalesce(
         F.nullif(F.get("_q", F.lit(2)) - F.get("_q", F.lit(0)), F.lit(0.0)), F.nullif("_std", F.lit(0.0)), F.lit(1.0)

@@ -19,6 +19,7 @@ from tidewright.functions.blocks import (
     halo_window,
     hour_number,
 )
+from tidewright.functions.columns import finite
 
 STATION = ("station_id",)
 
@@ -38,7 +39,7 @@ def _flagged(df: DataFrame, value: str, valid: str | None) -> DataFrame:
     return df.withColumns(
         {
             "_h": hour_number("ts"),
-            "_v": F.when(F.col(value).isNotNull() & ~F.isnan(F.col(value)), F.lit(1)),
+            "_v": F.when(finite(value).isNotNull(), F.lit(1)),
             "_f": F.lit(1) if valid is None else F.when(F.col(valid), F.lit(1)),
         }
     )
@@ -357,21 +358,22 @@ def available_years(df: DataFrame, variables: Sequence[str], ts: str = "ts") ->
 
 
 def daily_windows(
-    df: DataFrame, steps: int = 16, step_hours: int = 3, variables: int = 3, keys: Sequence[str] = ()
+    df: DataFrame, cells: int, steps: int = 16, step_hours: int = 3, variables: int = 3, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Status of each day's sample: 3-hourly steps from the day before 00:00 through the day's last step.
 
-    A day is usable when all ``variables`` have exactly ``steps`` finite steps; otherwise ``skip_reason``.
+    A day is usable when all ``variables`` are finite in each of ``cells`` cells at each of ``steps`` steps; otherwise
+    ``skip_reason``. Rows are unique per time, variable and cell.
     """
     on_step = df.where((F.hour("ts") % step_hours == 0) & (F.minute("ts") == 0))
     days = on_step.withColumn(
         "day", F.explode(F.array(F.to_date("ts"), F.date_add(F.to_date("ts"), 1)))
     )
     counts = days.groupBy(*keys, "day", "variable").agg(
-        F.count_distinct(F.when(F.col("value").isNotNull(), F.col("ts"))).alias("_steps")
+        F.count(finite("value")).alias("_values")
     )
     return counts.groupBy(*keys, "day").agg(
-        F.count_if(F.col("_steps") == steps).alias("complete_variables"), F.min("_steps").alias("fewest_steps")
+        F.count_if(F.col("_values") == steps * cells).alias("complete_variables"), F.min("_values").alias("fewest_values")
     ).withColumn(
         "skip_reason",
         F.when(F.col("complete_variables") < variables, F.lit("incomplete_steps")),

@@ -50,12 +50,23 @@ def rain_rows(df: DataFrame) -> DataFrame:
 
 
 def normalise_keys(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: clean_text(c) for c in STATION_KEY})
+    """Station keys in normal form, worked out once per distinct key."""
+    raw = df.select(*(F.col(c).alias(f"_raw_{c}") for c in STATION_KEY)).distinct()
+    clean = raw.withColumns({f"_{c}": clean_text(f"_raw_{c}") for c in STATION_KEY})
+    same = [F.col(c).eqNullSafe(F.col(f"_raw_{c}")) for c in STATION_KEY]
+    return df.join(clean, same).select(*(F.col(f"_{c}").alias(c) if c in STATION_KEY else c for c in df.columns))
+
+
+def english_type(c: str) -> Column:
+    """The type in normal form, translated where it has its source spelling."""
+    names = F.create_map(*(F.lit(x) for pair in TYPE_NAMES.items() for x in pair))
+    text = F.when(F.col(c).isin(*TYPE_NAMES, *TYPE_NAMES.values()), F.col(c)).otherwise(clean_text(c))
+    return F.coalesce(F.try_element_at(names, text), text)
 
 
 def station_types(mapping: DataFrame, order: str | None = None, valid: Sequence[str] = VALID_TYPES) -> DataFrame:
     """One valid type per normalised station; among repeats the last in ``order`` wins."""
-    clean = normalise_keys(mapping).withColumn("station_type", clean_text("station_type"))
+    clean = normalise_keys(mapping).withColumn("station_type", english_type("station_type"))
     kept = clean.where(F.col("station_type").isin(list(valid)))
     last = F.max_by("station_type", order) if order else F.max("station_type")
     return kept.groupBy(*STATION_KEY).agg(last.alias("_mapped"))
@@ -65,7 +76,7 @@ def type_lookup(
     df: DataFrame, types: DataFrame, keep_stored: bool = True, valid: Sequence[str] = VALID_TYPES, default: str = "unknown"
 ) -> DataFrame:
     """Station type from the mapping; else the stored type when valid (``keep_stored``); else ``default``."""
-    stored = clean_text("station_type")
+    stored = english_type("station_type")
     fallback = F.when(stored.isin(list(valid)), stored) if keep_stored else F.lit(None).cast("string")
     return (
         normalise_keys(df).join(types, list(STATION_KEY), "left")

@@ -48,8 +48,8 @@ def fit_tide(
 ) -> DataFrame:
     """Mean and harmonic coefficients per key from observations up to ``cutoff``.
 
-    Repeated times, or fewer than ``minimum_days`` of at least 20 observations a day, fail the job: no pseudo
-    result is produced. Nearly collinear constituents of short records get the least-norm solution.
+    Repeated times, or fewer than ``minimum_days`` of at least 20 observations a day, fail the
+    job. Nearly collinear constituents of short records get the least-norm solution.
     """
     known = df.where(F.col(value).isNotNull())
     times = known.groupBy(*keys, ts).agg(F.count("*").alias("_copies"), F.first(value).alias(value))
@@ -99,7 +99,7 @@ def separate_tide(
     tide = F.col("mean_level") + dot(F.col("harmonics"), _waves(hours, constituents))
     return dense.select(
         *keys, ts, F.col(value).alias("observed_water_level_m"), tide.alias("predicted_tide_m"), "qc_valid"
-    ).withColumn("storm_surge_m", F.col("observed_water_level_m") - F.col("predicted_tide_m"))
+    ).withColumn("surge_m", F.col("observed_water_level_m") - F.col("predicted_tide_m"))
 
 
 def amplitudes(coefficients: DataFrame, keys: Sequence[str] = STATION) -> DataFrame:
@@ -109,7 +109,7 @@ def amplitudes(coefficients: DataFrame, keys: Sequence[str] = STATION) -> DataFr
     return rows.select(*keys, "constituent", F.hypot(a, b).alias("amplitude"), F.pmod(F.degrees(F.atan2(b, a)), F.lit(360.0)).alias("phase_deg"))
 
 
-def tide_record_audit(series: DataFrame, last_year: int, value: str = "storm_surge_m", keys: Sequence[str] = STATION, ts: str = "ts") -> DataFrame:
+def tide_record_audit(series: DataFrame, last_year: int, value: str = "surge_m", keys: Sequence[str] = STATION, ts: str = "ts") -> DataFrame:
     """Records, finite records and time range through the last allowed year."""
     return series.where(F.col(ts) < F.lit(f"{last_year + 1:04d}-01-01").cast("timestamp")).groupBy(*keys).agg(
         F.count("*").alias("records"), F.count(value).alias("finite_records"), F.min(ts).alias("start"), F.max(ts).alias("end")

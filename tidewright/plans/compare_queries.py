@@ -174,28 +174,39 @@ def _(spark, sf):
 
 # --- alignment ------------------------------------------------------------------------------------------------
 
-# the field view holds every hour seen by any type; dropping some hours makes both sides have holes
-HOURS = "(SELECT DISTINCT ts FROM field WHERE day(ts) <> 7)"
+# the field view holds every hour seen by any type, so each type lacks some of its hours
+HOURS = "(SELECT DISTINCT ts FROM field)"
 
 
 def _field_hours(spark, sf):
-    return views.field(spark, sf).where(F.dayofmonth("ts") != 7).select("ts").distinct()
+    return views.field(spark, sf).select("ts").distinct()
 
 
-@query("align_hourly", f"SELECT s.station_id, s.ts, {r('surge_m', 'surge_m')} FROM surge s JOIN {HOURS} h ON h.ts = s.ts")
+def _repeated(spark, sf):
+    """The levels with a missing first row at 5 o'clock and a second row at 6 o'clock."""
+    rows = views.surge(spark, sf).withColumn("seq", F.lit(1))
+    missing = rows.where(F.hour("ts") == 5).withColumns({"seq": F.lit(0), "surge_m": F.lit(None).cast("double")})
+    second = rows.where(F.hour("ts") == 6).withColumns({"seq": F.lit(2), "surge_m": F.col("surge_m") + 1})
+    return rows.unionByName(missing).unionByName(second)
+
+
+KNOWN = "(SELECT * FROM surge WHERE hour(ts) <> 5)"
+
+
+@query("align_hourly", f"SELECT s.station_id, s.ts, {r('surge_m', 'surge_m')} FROM {KNOWN} s JOIN {HOURS} h ON h.ts = s.ts")
 def _(spark, sf):
-    return align.align_hourly(_field_hours(spark, sf), views.surge(spark, sf))
+    return align.align_hourly(_field_hours(spark, sf), _repeated(spark, sf), order=["seq"]).drop("seq")
 
 
 @query("alignment_report", f"""
-WITH t AS (SELECT s.station_id, s.ts, h.ts AS hit FROM surge s LEFT JOIN {HOURS} h ON h.ts = s.ts),
+WITH t AS (SELECT s.station_id, s.ts, h.ts AS hit FROM {KNOWN} s LEFT JOIN {HOURS} h ON h.ts = s.ts),
 g AS (SELECT station_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY station_id ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS opens FROM t WHERE hit IS NOT NULL),
 c AS (SELECT station_id, sum(opens) AS segs FROM g GROUP BY 1)
-SELECT t.station_id, {n('count(hit)', 'matched_times')}, {n('count(*) - count(hit)', 'missing_field_times')},
+SELECT t.station_id, min(t.ts) AS surge_start, max(t.ts) AS surge_end, (SELECT min(ts) FROM {HOURS}) AS field_start, (SELECT max(ts) FROM {HOURS}) AS field_end, {n('count(hit)', 'matched_times')}, {n('count(*) - count(hit)', 'missing_field_times')},
        {n(f'(SELECT count(*) FROM {HOURS}) - count(hit)', 'missing_surge_times')}, min(hit) AS common_start, max(hit) AS common_end,
        {n('max(c.segs)', 'continuous_segments')} FROM t JOIN c ON c.station_id = t.station_id GROUP BY 1""")
 def _(spark, sf):
-    return align.alignment_report(_field_hours(spark, sf), views.surge(spark, sf))
+    return align.alignment_report(_field_hours(spark, sf), _repeated(spark, sf), order=["seq"])
 
 
 @query("left_fill_align", f"""
@@ -215,21 +226,22 @@ def _(spark, sf):
 
 
 @query("join_predictions", f"""
-SELECT a.station_id, a.origin, {r('a.predicted_m', 'mean3_m')}, {r('b.predicted_m', 'damped_m')} FROM forecasts a JOIN forecasts b
-ON b.station_id = a.station_id AND b.origin = a.origin AND b.lead_hours = a.lead_hours WHERE a.lead_hours = 1 AND a.model = 'mean3' AND b.model = 'damped'""")
+SELECT a.station_id, a.lead_hours, a.origin, {r('a.predicted_m', 'mean3_m')}, {r('b.predicted_m', 'damped_m')} FROM forecasts a JOIN forecasts b
+ON b.station_id = a.station_id AND b.origin = a.origin AND b.lead_hours = a.lead_hours WHERE a.model = 'mean3' AND b.model = 'damped'""")
 def _(spark, sf):
-    one = views.forecasts(spark, sf).where(F.col("lead_hours") == 1)
-    left = one.where(F.col("model") == "mean3").select("station_id", "origin", F.col("predicted_m").alias("mean3_m"))
-    right = one.where(F.col("model") == "damped").select("station_id", "origin", F.col("predicted_m").alias("damped_m"))
-    return align.join_predictions(left, right, ["station_id", "origin"])
+    one = views.forecasts(spark, sf)
+    left = one.where(F.col("model") == "mean3").select("station_id", "lead_hours", "origin", F.col("predicted_m").alias("mean3_m"))
+    right = one.where(F.col("model") == "damped").select("station_id", "lead_hours", "origin", F.col("predicted_m").alias("damped_m"))
+    return align.join_predictions(left, right, ["station_id", "lead_hours", "origin"])
 
 
-@query("reindex_strict", f"SELECT station_id, origin, {r('predicted_m', 'predicted_m')} FROM forecasts WHERE lead_hours = 3 AND model = 'mean3'")
+@query("reindex_strict", f"SELECT station_id, lead_hours, origin, model, {r('predicted_m', 'predicted_m')} FROM forecasts WHERE model <> 'persistence'")
 def _(spark, sf):
-    table = views.forecasts(spark, sf).where(F.col("lead_hours") == 3)
-    expected = table.where(F.col("model") == "persistence")
-    mean = table.where(F.col("model") == "mean3").select("station_id", "origin", "predicted_m")
-    return align.reindex_strict(expected, mean, ["station_id", "origin"], "predicted_m")
+    table = views.forecasts(spark, sf)
+    others = F.explode(F.array(F.lit("mean3"), F.lit("damped"))).alias("model")
+    expected = table.where(F.col("model") == "persistence").select("station_id", "lead_hours", "origin", others)
+    keys = ["station_id", "lead_hours", "origin", "model"]
+    return align.reindex_strict(expected, table.where(F.col("model") != "persistence").select(*keys, "predicted_m"), keys, "predicted_m")
 
 
 @query("direct_vs_recursive", f"""
@@ -245,9 +257,13 @@ def _(spark, sf):
     return align.direct_vs_recursive(direct, rolling)
 
 
-@query("hours_only_in", f"SELECT DISTINCT s.ts FROM surge s WHERE s.ts NOT IN (SELECT ts FROM {HOURS})")
+@query("hours_only_in", f"""
+SELECT DISTINCT 'levels' AS side, s.ts FROM surge_daily s WHERE s.ts NOT IN (SELECT ts FROM {HOURS})
+UNION ALL SELECT DISTINCT 'field', h.ts FROM {HOURS} h WHERE h.ts NOT IN (SELECT ts FROM surge_daily)""")
 def _(spark, sf):
-    return align.hours_only_in(views.surge(spark, sf), _field_hours(spark, sf))
+    levels, hours = views.surge_daily(spark, sf), _field_hours(spark, sf)
+    return align.hours_only_in(levels, hours).select(F.lit("levels").alias("side"), "ts").unionByName(
+        align.hours_only_in(hours, levels).select(F.lit("field").alias("side"), "ts"))
 
 
 @query("common_hours", f"SELECT DISTINCT s.ts FROM surge s JOIN {HOURS} h ON h.ts = s.ts")

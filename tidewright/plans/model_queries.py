@@ -229,7 +229,7 @@ f AS (SELECT *, (cy * ss - sy * cs) / (cc * ss - cs * cs) AS a, (sy * cc - cy *
 x AS (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts, min(ts) AS t0 FROM tide_levels),
 p AS (SELECT f.station_id, x.ts, l.water_level AS o, my - a * mc - b * ms + a * cos(radians(epoch(x.ts - t0) / 3600 * {_K1})) + b * sin(radians(epoch(x.ts - t0) / 3600 * {_K1})) AS tide
       FROM x CROSS JOIN f LEFT JOIN tide_levels l ON l.ts = x.ts)
-SELECT station_id, ts, {r('o', 'observed_water_level_m')}, {r('tide', 'predicted_tide_m')}, {r('o - tide', 'storm_surge_m')}, o IS NOT NULL AS qc_valid FROM p""")
+SELECT station_id, ts, {r('o', 'observed_water_level_m')}, {r('tide', 'predicted_tide_m')}, {r('o - tide', 'surge_m')}, o IS NOT NULL AS qc_valid FROM p""")
 def _(spark, sf):
     levels = _tide_input(spark, sf)
     return tide.separate_tide(levels, tide.fit_tide(levels, minimum_days=20, constituents=("K1",)), constituents=("K1",))

@@ -197,19 +197,22 @@ def _(spark, sf):
 
 
 @query("daily_windows", f"""
-WITH p AS (SELECT ts, variable, avg(value) AS value FROM field WHERE hour(ts) % 3 = 0 GROUP BY 1, 2),
+WITH p AS (SELECT ts, variable, value FROM field WHERE hour(ts) % 3 = 0),
 d AS (SELECT CAST(ts AS DATE) AS day, * FROM p UNION ALL SELECT CAST(ts AS DATE) + 1, * FROM p),
 c AS (SELECT day, variable, count(value) AS k FROM d GROUP BY 1, 2)
-SELECT CAST(day AS DATE) AS day, {n('count(*) FILTER (WHERE k = 16)', 'complete_variables')}, {n('min(k)', 'fewest_steps')},
-       CASE WHEN count(*) FILTER (WHERE k = 16) < 3 THEN 'incomplete_steps' END AS skip_reason FROM c GROUP BY 1""")
+SELECT CAST(day AS DATE) AS day, {n('count(*) FILTER (WHERE k = 16 * 25)', 'complete_variables')}, {n('min(k)', 'fewest_values')},
+       CASE WHEN count(*) FILTER (WHERE k = 16 * 25) < 3 THEN 'incomplete_steps' END AS skip_reason FROM c GROUP BY 1""")
 def _(spark, sf):
-    hourly = views.field(spark, sf).groupBy("ts", "variable").agg(F.avg("value").alias("value"))
-    return samples.daily_windows(hourly)
+    return samples.daily_windows(views.field(spark, sf), cells=25)
 
 
-@query("tile", f"""SELECT day, variable, "row", "column", {r('avg(value)', 'value')} FROM (
-SELECT CAST(ts AS DATE) AS day, variable, hour(ts) // 4 * 5 + lat_idx AS "row", hour(ts) % 4 * 5 + lon_idx AS "column", value FROM field WHERE hour(ts) < 16) GROUP BY 1, 2, 3, 4""")
+@query("tile", f"""
+WITH f AS (SELECT CAST(ts AS DATE) AS day, hour(ts) // 3 + 8 AS step, variable, lat_idx, lon_idx, value FROM field WHERE hour(ts) % 3 = 0
+           UNION ALL SELECT CAST(ts AS DATE) + 1, hour(ts) // 3, variable, lat_idx, lon_idx, value FROM field WHERE hour(ts) % 3 = 0)
+SELECT CAST(day AS DATE) AS day, variable, {n('step // 4 * 5 + lat_idx', 'row')}, {n('step % 4 * 5 + lon_idx', 'column')}, {r('avg(value)', 'value')} FROM f GROUP BY 1, 2, 3, 4""")
 def _(spark, sf):
-    slices = views.field(spark, sf).withColumn("step", F.hour("ts").cast("bigint")).where(F.col("step") < 16)
-    tiled = samples.tile(slices, size=5)
-    return tiled.groupBy(F.to_date("ts").alias("day"), "variable", "row", "column").agg(F.avg("value").alias("value"))
+    third = F.floor(F.hour("ts") / 3)
+    day = F.to_date("ts")
+    places = F.array(F.struct(day.alias("day"), (third + 8).alias("step")), F.struct(F.date_add(day, 1).alias("day"), third.alias("step")))
+    slices = views.field(spark, sf).where(F.hour("ts") % 3 == 0).select("variable", "lat_idx", "lon_idx", "value", F.inline(places))
+    return samples.tile(slices, size=5).groupBy("day", "variable", "row", "column").agg(F.avg("value").alias("value"))

@@ -168,15 +168,15 @@ def _(spark, sf):
     return series.daily_max(views.surge_daily(spark, sf))
 
 
-# --- residual diagnostics of the damped one-hour forecast -----------------------------------------------
+# --- residual diagnostics of every model and lead -----------------------------------------------
 
-RES = """(SELECT station_id, origin AS ts, (predicted_m - observed_m) * 100 AS e, observed_m, predicted_m
-FROM forecasts WHERE model = 'damped' AND lead_hours = 1)"""
+RES = """(SELECT station_id || '-' || model || '-' || lead_hours AS station_id, origin AS ts, (predicted_m - observed_m) * 100 AS e, observed_m, predicted_m
+FROM forecasts)"""
 
 
 def _residuals(spark, sf):
-    one = views.forecasts(spark, sf).where((F.col("model") == "damped") & (F.col("lead_hours") == 1))
-    return residuals.residuals(one.withColumnRenamed("origin", "ts"))
+    series = F.concat_ws("-", "station_id", "model", F.col("lead_hours").cast("string"))
+    return residuals.residuals(views.forecasts(spark, sf).withColumn("station_id", series).withColumnRenamed("origin", "ts"))
 
 
 @query("residual_acf", f"""

@@ -53,21 +53,19 @@ def _(spark, sf):
     return snapshots.crawl_segments(views.snapshots(spark, sf), 1200)
 
 
-@query("assign_segment", """SELECT s.seq, w.segment FROM snapshots s LEFT JOIN (SELECT * FROM water_segments WHERE segment % 2 = 1) w
+@query("assign_segment", """SELECT s.seq, w.segment FROM snapshots s LEFT JOIN water_segments w
 ON s.crawl_time BETWEEN w.seg_start AND w.seg_end""")
 def _(spark, sf):
     water = views.snapshots(spark, sf)
-    odd = snapshots.crawl_segments(water, 1200).where(F.col("segment") % 2 == 1)
-    return snapshots.assign_segment(water, odd).select("seq", "segment")
+    return snapshots.assign_segment(water, snapshots.crawl_segments(water, 1200)).select("seq", "segment")
 
 
 @query("segment_summary", f"""
 SELECT segment, seg_start AS "start", seg_end AS "end", {n('(SELECT count(*) FROM snapshots s WHERE s.crawl_time BETWEEN seg_start AND seg_end)', 'water_rows')},
-       {n('(SELECT count(*) FROM events e WHERE e.event_id % 3 = 0 AND e.ts BETWEEN seg_start AND seg_end)', 'rain_rows')} FROM water_segments""")
+       {n('(SELECT count(*) FROM rain e WHERE e.crawl_time BETWEEN seg_start AND seg_end)', 'rain_rows')} FROM water_segments""")
 def _(spark, sf):
     water = views.snapshots(spark, sf)
-    other = views.table(spark, sf, "events").where(F.col("event_id") % 3 == 0).withColumnRenamed("ts", "crawl_time")
-    return snapshots.segment_summary(water, other, snapshots.crawl_segments(water, 1200))
+    return snapshots.segment_summary(water, views.rain(spark, sf), snapshots.crawl_segments(water, 1200))
 
 
 @query("snapshot_overview_water", f"""SELECT {n('count(*)', 'record_count')}, {n(KEY3, 'station_count')}, min(reported_at) AS min_reported_at, max(reported_at) AS max_reported_at,
@@ -168,16 +166,16 @@ def _(spark, sf):
     return snapshots.latest_n(views.snapshots(spark, sf).select("seq", "crawl_time"), 5000, ties=["seq"])
 
 
-@query("top_n_events", f"""SELECT station_id, origin, {r('observed_m', 'observed_m')} FROM forecasts WHERE lead_hours = 1 AND model = 'persistence'
-ORDER BY observed_m DESC, station_id, origin LIMIT 10""")
+@query("top_n_events", f"""SELECT station_id, origin, lead_hours, model, {r('observed_m', 'observed_m')} FROM forecasts
+ORDER BY observed_m DESC, station_id, origin, lead_hours, model LIMIT 10""")
 def _(spark, sf):
-    one = views.forecasts(spark, sf).where((F.col("lead_hours") == 1) & (F.col("model") == "persistence"))
-    return snapshots.top_n(one.select("station_id", "origin", "observed_m"), 10, ties=["station_id", "origin"])
+    rows = views.forecasts(spark, sf).select("station_id", "origin", "lead_hours", "model", "observed_m")
+    return snapshots.top_n(rows, 10, ties=["station_id", "origin", "lead_hours", "model"])
 
 
-@query("most_common", f"""SELECT station_name, {n('count(*)', 'count')} FROM snapshots GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50""")
+@query("most_common", f"""SELECT station_name, {n('count(*)', 'count')} FROM snapshots GROUP BY 1""")
 def _(spark, sf):
-    return snapshots.most_common(views.snapshots(spark, sf), "station_name", 50)
+    return snapshots.most_common(views.snapshots(spark, sf), "station_name")
 
 
 @query("row_maps_water", "SELECT trim(city) AS city, trim(city_county) AS city_county, trim(station_name) AS station_name, trim(station_type) AS station_type, reported_at, water_level, crawl_time FROM snapshots")
@@ -284,11 +282,11 @@ def _(spark, sf):
 
 
 def _peak_series(spark, sf):
-    one = views.forecasts(spark, sf).where((F.col("lead_hours") == 3) & (F.col("model") == "mean3"))
-    return one.select("station_id", F.col("valid_time").alias("ts"), "observed_m", "predicted_m")
+    series = F.concat_ws("-", "station_id", "model", F.col("lead_hours").cast("string")).alias("station_id")
+    return views.forecasts(spark, sf).select(series, F.col("valid_time").alias("ts"), "observed_m", "predicted_m")
 
 
-views.SQL["peak_series"] = "SELECT station_id, valid_time AS ts, observed_m, predicted_m FROM forecasts WHERE lead_hours = 3 AND model = 'mean3'"
+views.SQL["peak_series"] = "SELECT station_id || '-' || model || '-' || lead_hours AS station_id, valid_time AS ts, observed_m, predicted_m FROM forecasts"
 _PEAKS = _PICKS.replace("surge_m", "observed_m").replace("FROM surge ", "FROM peak_series ").replace("JOIN surge s", "JOIN peak_series s")
 _TABLE = f"""
 WITH RECURSIVE {_PEAKS}, x AS (SELECT station_id, i AS event, hours[i] AS peak_ts FROM picks),

@@ -75,7 +75,7 @@ def _(spark, sf):
 
 @query("file_inventory", f"""SELECT suffix, possible_source, possible_station, possible_year, {n('count(*)', 'files')}, {r('sum(round(p_size * 10000 / 1048576, 4))', 'size_mb')} FROM (
 SELECT CASE p_partkey % 5 WHEN 0 THEN '.nc' WHEN 1 THEN '.grb' ELSE '.txt' END AS suffix,
-CASE p_partkey % 5 WHEN 0 THEN 'field NetCDF' WHEN 1 THEN 'field GRIB' WHEN 2 THEN 'GESLA station file' WHEN 3 THEN 'PSMSL/NOC station file' ELSE 'unclassified' END AS possible_source,
+CASE p_partkey % 5 WHEN 0 THEN 'ERA5 NetCDF' WHEN 1 THEN 'ERA5 GRIB' WHEN 2 THEN 'GESLA station file' WHEN 3 THEN 'PSMSL/NOC station file' ELSE 'unclassified' END AS possible_source,
 CASE WHEN p_partkey % 5 = 3 THEN 'North Pier' ELSE '' END AS possible_station, CASE WHEN p_partkey % 2 = 0 THEN CAST(1990 + p_size AS VARCHAR) ELSE '' END AS possible_year, p_size
 FROM part WHERE p_partkey % 11 <> 0) GROUP BY 1, 2, 3, 4""")
 def _(spark, sf):
@@ -194,7 +194,7 @@ def _(spark, sf):
         F.struct(F.col("event_type").alias("name"), F.struct(F.col("user_id").alias("main")).alias("code"), F.array(F.col(_E) % 3, F.lit(7)).alias("flags")).alias("station"),
         F.when(F.col(_E) % 2 == 0, F.array(F.struct(v.alias("v")), second)).otherwise(F.array(F.struct(v.alias("v")))).alias("items"),
     )
-    flat = tracks.flatten_json(nested, items=2)
+    flat = tracks.flatten_json(nested)
     return flat.withColumnsRenamed({c: c.replace(".", "_") for c in flat.columns})
 
 

@@ -102,16 +102,16 @@ def _(spark, sf):
 
 
 @query("rapid_rise_verify", f"""
-WITH o AS (SELECT station_id, model, valid_time AS ts, observed_m, predicted_m FROM forecasts WHERE lead_hours = 1),
+WITH o AS (SELECT station_id, model, lead_hours, valid_time AS ts, observed_m, predicted_m FROM forecasts),
 x AS (SELECT a.*, a.observed_m - b.observed_m AS rise FROM o a LEFT JOIN o b
-      ON b.station_id = a.station_id AND b.model = a.model AND b.ts = a.ts - INTERVAL 1 HOUR),
-t AS (SELECT station_id, model, quantile_cont(rise, 0.9) FILTER (WHERE rise > 0) AS lim FROM x GROUP BY 1, 2),
-j AS (SELECT x.*, t.lim FROM x JOIN t ON t.station_id = x.station_id AND t.model = x.model)
-SELECT station_id, model, {score_sql(where='rise >= lim')}, {r('max(lim) * 100', 'threshold_cm')}
-FROM j GROUP BY station_id, model""")
+      ON b.station_id = a.station_id AND b.model = a.model AND b.lead_hours = a.lead_hours AND b.ts = a.ts - INTERVAL 1 HOUR),
+t AS (SELECT station_id, model, lead_hours, quantile_cont(rise, 0.9) FILTER (WHERE rise > 0) AS lim FROM x GROUP BY 1, 2, 3),
+j AS (SELECT x.*, t.lim FROM x JOIN t ON t.station_id = x.station_id AND t.model = x.model AND t.lead_hours = x.lead_hours)
+SELECT station_id, model, lead_hours, {score_sql(where='rise >= lim')}, {r('max(lim) * 100', 'threshold_cm')}
+FROM j GROUP BY station_id, model, lead_hours""")
 def _(spark, sf):
-    one = views.forecasts(spark, sf).where(F.col("lead_hours") == 1).withColumnRenamed("valid_time", "ts")
-    return verify.rapid_rise_verify(one, ["station_id", "model"])
+    one = views.forecasts(spark, sf).withColumnRenamed("valid_time", "ts")
+    return verify.rapid_rise_verify(one, ["station_id", "model", "lead_hours"])
 
 
 def _thresholds_sql(cut: str) -> str:
@@ -165,13 +165,12 @@ def _(spark, sf):
 
 
 @query("event_verify", f"""
-SELECT station_id || '-' || strftime(valid_time, '%Y%m%d') AS event_id, {n('count(*)', 'n')},
+SELECT station_id || '-' || model || '-' || lead_hours || '-' || strftime(valid_time, '%Y%m%d') AS event_id, {n('count(*)', 'n')},
        {r('sqrt(avg((predicted_m - observed_m) ** 2)) * 100', 'rmse_cm')}, {r('avg(abs(predicted_m - observed_m)) * 100', 'mae_cm')},
-       {r('avg(predicted_m - observed_m) * 100', 'bias_cm')} FROM forecasts WHERE model = 'mean3' GROUP BY 1""")
+       {r('avg(predicted_m - observed_m) * 100', 'bias_cm')} FROM forecasts GROUP BY 1""")
 def _(spark, sf):
-    one = views.forecasts(spark, sf).where(F.col("model") == "mean3")
-    event = F.concat_ws("-", "station_id", F.date_format("valid_time", "yyyyMMdd"))
-    return verify.event_verify(one.withColumn("event_id", event))
+    event = F.concat_ws("-", "station_id", "model", F.col("lead_hours").cast("string"), F.date_format("valid_time", "yyyyMMdd"))
+    return verify.event_verify(views.forecasts(spark, sf).withColumn("event_id", event))
 
 
 @query("series_scale", f"""

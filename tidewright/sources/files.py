@@ -47,28 +47,31 @@ def _suffix() -> Column:
     return F.lower(F.regexp_extract("file_name", r"(\.[^.]*)$", 1))
 
 
+# Labels of a file listing, by suffix and by words of the path, in order.
+SUFFIX_LABELS = ((NETCDF_SUFFIXES, "ERA5 NetCDF"), (GRIB_SUFFIXES, "ERA5 GRIB"))
+WORD_LABELS = ((("metadata", "gesla"), "GESLA metadata"), (("gesla",), "GESLA station file"), (("psmsl",), "PSMSL/NOC station file"), (("noc",), "PSMSL/NOC station file"))
+STATION_LABEL, OTHER_LABEL = "PSMSL/NOC station file", "unclassified"
+
+
+def _rules(stations: dict[str, str]) -> Column:
+    """Rule table of a listing: (suffixes or null, words that must all occur, label)."""
+    rows = [(list(s), [], label) for s, label in SUFFIX_LABELS] + [(None, list(w), label) for w, label in WORD_LABELS]
+    rows += [(None, [t], STATION_LABEL) for t in stations]
+    return F.array(*(
+        F.struct((F.array(*map(F.lit, s)) if s else F.lit(None).cast("array<string>")).alias("suffixes"),
+                 (F.array(*map(F.lit, w)) if w else F.array().cast("array<string>")).alias("words"), F.lit(label).alias("label")) for s, w, label in rows))
+
+
 def file_inventory(files: DataFrame, stations: dict[str, str]) -> DataFrame:
     """Suffix, size in MB, guessed source, station and year per file; ``._`` entries at any depth are left out.
 
     ``stations`` maps a token of the path to a station name; the first token found wins.
     """
     text = F.lower("path")
-    station = F.coalesce(*[F.when(F.contains(text, F.lit(t)), F.lit(s)) for t, s in stations.items()], F.lit(""))
-
-    def has(word: str) -> Column:
-        return F.contains(text, F.lit(word))
-
-    gauge = has("psmsl") | has("noc")
-    for token in stations:
-        gauge = gauge | has(token)
-    source = (
-        F.when(_suffix().isin(list(NETCDF_SUFFIXES)), F.lit("field NetCDF"))
-        .when(_suffix().isin(list(GRIB_SUFFIXES)), F.lit("field GRIB"))
-        .when(has("metadata") & has("gesla"), F.lit("GESLA metadata"))
-        .when(has("gesla"), F.lit("GESLA station file"))
-        .when(gauge, F.lit("PSMSL/NOC station file"))
-        .otherwise(F.lit("unclassified"))
-    )
+    tokens = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(s).alias("s")) for t, s in stations.items())) if stations else F.array().cast("array<struct<t:string,s:string>>")
+    station = F.coalesce(F.get(F.filter(tokens, lambda x: F.contains(text, x["t"])), F.lit(0))["s"], F.lit(""))
+    fits = F.filter(_rules(stations), lambda r: (r["suffixes"].isNull() | F.array_contains(r["suffixes"], _suffix())) & F.forall(r["words"], lambda w: F.contains(text, w)))
+    source = F.coalesce(F.get(fits, F.lit(0))["label"], F.lit(OTHER_LABEL))
     return files.where(~F.col("path").rlike(r"(^|/)\._")).select(
         F.col("path").alias("file_path"), "file_name", _suffix().alias("suffix"),
         F.round(F.col("size_bytes") / (1024 * 1024), 4).alias("size_mb"), source.alias("possible_source"),

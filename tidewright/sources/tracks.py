@@ -188,49 +188,42 @@ RECORD_KEYS = ("SeaSurfaceObs", "Station", "location", "locations", "records")
 
 
 def find_records(df: DataFrame, root: str = "records") -> DataFrame:
-    """One row per record: the first known list under ``root``, else its first list, else ``root`` itself."""
+    """One row per record: of the lists under ``root`` the one whose name ranks first in RECORD_KEYS, unnamed ones last."""
     kind = df.schema[root].dataType
-    if isinstance(kind, T.ArrayType):
-        return df.select(F.explode(root).alias("record"))
-    if isinstance(kind, T.StructType):
-        lists = [f.name for f in kind.fields if isinstance(f.dataType, T.ArrayType)]
-        name = next((k for k in RECORD_KEYS if k in lists), lists[0] if lists else None)
-        if name:
-            return df.select(F.explode(F.col(f"{root}.`{name}`")).alias("record"))
-    raise ValueError(f"no record list under {root}")
+    fields = kind.fields if isinstance(kind, T.StructType) else [T.StructField("", kind)]
+    rank = dict(zip(RECORD_KEYS, range(len(RECORD_KEYS))))
+    lists = sorted((f.name for f in fields if isinstance(f.dataType, T.ArrayType)), key=lambda n: rank.get(n, len(rank)))
+    if not lists:
+        raise ValueError(f"no record list under {root}")
+    return df.select(F.explode(F.col(root if lists[0] == "" else f"{root}.`{lists[0]}`")).alias("record"))
 
 
-def flatten_json(df: DataFrame, items: int = 8) -> DataFrame:
+def flatten_json(df: DataFrame) -> DataFrame:
     """Nested columns to dotted names, walked once over the schema.
 
-    Lists of scalars stay JSON text. Lists of objects get index keys ``0 … items-1``; a longer list fails the
-    job rather than losing entries.
+    Lists of scalars stay JSON text. Lists of objects get index keys from 0 to the longest of that list in the table,
+    which one aggregate finds for the lists of each nesting level.
     """
-    columns: list[Column] = []
-    longest: list[Column] = []
-
-    def walk(c: Column, kind: T.DataType, name: str) -> None:
+    def lists(c: Column, kind: T.DataType, name: str, widths: dict[str, int], found: dict[str, Column]) -> list[Column]:
         if isinstance(kind, T.StructType):
-            for f in kind.fields:
-                walk(c.getField(f.name), f.dataType, f"{name}.{f.name}" if name else f.name)
-        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.ArrayType)):
-            longest.append(F.coalesce(F.size(c), F.lit(0)))
-            for i in range(items):
-                walk(F.get(c, F.lit(i)), kind.elementType, f"{name}.{i}")
-        elif isinstance(kind, T.ArrayType):
-            columns.append(F.to_json(c).alias(name))
-        else:
-            columns.append(c.alias(name))
-
-    for f in df.schema.fields:
-        walk(F.col(f"`{f.name}`"), f.dataType, f.name)
-    source = df
-    if longest:
-        fits = F.lit(True)
-        for size in longest:
-            fits = fits & (size <= items)
-        source = df.where(F.when(fits, F.lit(True)).otherwise(F.raise_error(F.lit(f"list longer than {items}")).cast("boolean")))
-    return source.select(*columns)
+            return [x for f in kind.fields for x in lists(c.getField(f.name), f.dataType, f"{name}.{f.name}", widths, found)]
+        if not isinstance(kind, T.ArrayType):
+            return [c.alias(name)]
+        if not isinstance(kind.elementType, (T.StructType, T.ArrayType)):
+            return [F.to_json(c).alias(name)]
+        if name not in widths:
+            found[name] = F.coalesce(F.max(F.size(c)), F.lit(0))
+            return []
+        return [x for i in range(widths[name]) for x in lists(F.get(c, F.lit(i)), kind.elementType, f"{name}.{i}", widths, found)]
+
+    widths: dict[str, int] = {}
+    while True:
+        found: dict[str, Column] = {}
+        columns = [x for f in df.schema.fields for x in lists(F.col(f"`{f.name}`"), f.dataType, f.name, widths, found)]
+        if not found:
+            return df.select(*columns)
+        sizes = df.agg(*(c.alias(f"w{i}") for i, c in enumerate(found.values()))).first()
+        widths |= {name: max(0, size) for name, size in zip(found, sizes)}
 
 
 def code_summary(df: DataFrame, code: str = "code", ts: str = "time", tide: str = "tide") -> DataFrame:
