@@ -3,6 +3,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewright.operators import compare, events, snapshots, spatial
 
@@ -112,5 +113,6 @@ def test_metric_table_skills(spark):
     assert compare.best_by_lead(table).first().best_model == "ridge"
     gain = compare.rollout_gain(table, "deep", "tuned").first()
     assert gain.gain_percent == pytest.approx(100 * (1 - 2.5 / 3))
-    groups = compare.column_groups(["pressure_local_pa", "inverse_barometer_clim_m", "wind_speed_local_ms", "drag_coefficient_local", "near_wind_stress_mean_pa"])
-    assert groups["ib"] == ["pressure_local_pa", "inverse_barometer_clim_m"] and len(groups["wind"]) == 3 and len(groups["all"]) == 5
+    kinds = {"p": ["pressure"], "ib": ["pressure"], "speed": ["wind"], "stress": ["wind", "force"], "ts": []}
+    named = table.select(*(F.lit(1).alias(c, metadata={"terms": t} if t else {}) for c, t in kinds.items()))
+    assert compare.column_groups(named.schema) == {"ib": ["p", "ib"], "wind": ["speed", "stress"], "all": ["p", "ib", "speed", "stress"]}

@@ -116,7 +116,7 @@ def test_origin_features_stop_at_the_lead(spark, hours):
             values[37:55] += 50
         rows = [("st", T0 + dt.timedelta(hours=i), 101_000 + float(v[0]), float(v[1]), float(v[2]), abs(float(v[3]))) for i, v in enumerate(values)]
         df = spark.createDataFrame(rows, "station_id string, ts timestamp, pressure_local_pa double, wind_stress_east_local_pa double, wind_stress_north_local_pa double, wind_stress_magnitude_local_pa double")
-        out = physics.origin_physics(df, 6, strict=False)
+        out = physics.origin_physics(df, 6, strict=False, forces=[c for c in df.columns if c.startswith("wind_stress")])
         return {r.origin: r.asDict() for r in out.collect()}, values
 
     a, values = made(False)

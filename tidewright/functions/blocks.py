@@ -37,9 +37,12 @@ def halo_window(
     before: int = 0,
     after: int = 0,
     block: int = BLOCK_HOURS,
+    first: dict[str, Callable[[WindowSpec], Column]] | None = None,
 ) -> DataFrame:
     """Add window columns whose frames reach at most ``before`` back and ``after`` ahead of ``index``.
 
+    ``first`` are window columns of a block and its halo that ``columns`` may use, such as running sums.
+
     ``index`` is an integer column, unique per key; rows without one are left out. Frames must be
     ``rangeBetween`` frames, so a missing hour is simply absent from the frame.
     """
@@ -50,7 +53,8 @@ def halo_window(
     )
     window = Window.partitionBy(*keys, "_block").orderBy(index)
     return (
-        spread.withColumns({name: make(window) for name, make in columns.items()})
+        spread.withColumns({name: make(window) for name, make in (first or {}).items()})
+        .withColumns({name: make(window) for name, make in columns.items()})
         .where(F.col("_block") == F.floor(position / block))
         .drop("_block")
     )

@@ -60,41 +60,41 @@ def exact_quantiles(
     # values below a bracket collapse into one null-valued row that only carries their count
     every = F.array(*(F.col(f"_v{i}") for i in range(len(values))))
     inside = F.filter(F.col("_b"), lambda b: F.get(every, b["i"]) <= b["high"])
-    picked = F.transform(inside, lambda b: F.struct(b["q"].alias("q"), b["rank"].alias("rank"), F.when(F.get(every, b["i"]) >= b["low"], F.get(every, b["i"])).alias("s")))
-    counted = data.join(targets, group).select(*group, F.inline(picked)).groupBy(*group, "q", "rank", "s").agg(F.count("*").alias("c"))
+    picked = F.transform(inside, lambda b: F.struct(b["q"].alias("_q"), b["rank"].alias("_rank"), F.when(F.get(every, b["i"]) >= b["low"], F.get(every, b["i"])).alias("_s")))
+    counted = data.join(targets, group).select(*group, F.inline(picked)).groupBy(*group, "_q", "_rank", "_s").agg(F.count("*").alias("_c"))
     slices = stored(counted, "quantile-slices")
-    by = [*group, "q"]
-    while (slices.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) > most:
+    by = [*group, "_q"]
+    while (slices.groupBy(*by).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0) > most:
         slices = stored(_narrowed(slices, by), "quantile-slices")
 
-    ordered = Window.partitionBy(*by).orderBy(F.asc_nulls_first("s"))
-    cumulative = slices.withColumn("cum", F.sum("c").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    floor, ceil = F.floor("rank"), F.ceil("rank")
-    found = cumulative.groupBy(*by, "rank").agg(
-        F.min(F.when(F.col("cum") > floor, F.col("s"))).alias("a"),
-        F.min(F.when(F.col("cum") > ceil, F.col("s"))).alias("b"),
-        F.max("cum").alias("seen"),
-        F.coalesce(F.max(F.when(F.col("s").isNull(), F.col("c"))), F.lit(0)).alias("below"),
+    ordered = Window.partitionBy(*by).orderBy(F.asc_nulls_first("_s"))
+    cumulative = slices.withColumn("_cum", F.sum("_c").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    floor, ceil = F.floor("_rank"), F.ceil("_rank")
+    found = cumulative.groupBy(*by, "_rank").agg(
+        F.min(F.when(F.col("_cum") > floor, F.col("_s"))).alias("_a"),
+        F.min(F.when(F.col("_cum") > ceil, F.col("_s"))).alias("_b"),
+        F.max("_cum").alias("_seen"),
+        F.coalesce(F.max(F.when(F.col("_s").isNull(), F.col("_c"))), F.lit(0)).alias("_below"),
     )
     settled = F.when(
-        (F.col("below") <= floor) & (F.col("seen") > ceil), F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - floor)
+        (F.col("_below") <= floor) & (F.col("_seen") > ceil), F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_rank") - floor)
     ).otherwise(F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-    wide = found.select(*by, settled.alias("value")).groupBy(*group).agg(*[F.max(F.when(F.col("q") == name, F.col("value"))).alias(name) for name in wanted])
+    wide = found.select(*by, settled.alias("_value")).groupBy(*group).agg(*[F.max(F.when(F.col("_q") == name, F.col("_value"))).alias(name) for name in wanted])
     return wide if keys else wide.drop("_all")
 
 
 def _narrowed(slices: DataFrame, by: list[str]) -> DataFrame:
     """The slices around each rank only; what lies below joins the row of counts below."""
     grid = [k / (SPLITS + 1) for k in range(1, SPLITS + 1)]
-    splits = slices.groupBy(*by).agg(F.percentile_approx("s", grid, 4 * (SPLITS + 1)).alias("cuts"))
-    binned = slices.join(splits, by).withColumn("bin", F.when(F.col("s").isNull(), F.lit(-1)).otherwise(F.size(F.filter("cuts", lambda x: x < F.col("s"))))).drop("cuts")
-    order = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = binned.groupBy(*by, "rank", "bin").agg(F.sum("c").alias("k")).withColumn("hi", F.sum("k").over(order)).withColumn("lo", F.col("hi") - F.col("k"))
-    kept = bins.where("hi > floor(rank) and lo <= ceil(rank) and bin >= 0")
-    low = kept.groupBy(*by).agg(F.min("lo").alias("below"), F.collect_set("bin").alias("bins"))
-    rows = binned.where("s is not null").join(low, by).where(F.array_contains("bins", F.col("bin")))
-    under = bins.select(*by, "rank").distinct().join(low, by).select(*by, "rank", F.lit(None).cast("double").alias("s"), F.col("below").alias("c")).where("c > 0")
-    return rows.select(*by, "rank", "s", "c").unionByName(under)
+    splits = slices.groupBy(*by).agg(F.percentile_approx("_s", grid, 4 * (SPLITS + 1)).alias("_cuts"))
+    binned = slices.join(splits, by).withColumn("_bin", F.when(F.col("_s").isNull(), F.lit(-1)).otherwise(F.size(F.filter("_cuts", lambda x: x < F.col("_s"))))).drop("_cuts")
+    order = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = binned.groupBy(*by, "_rank", "_bin").agg(F.sum("_c").alias("_k")).withColumn("_hi", F.sum("_k").over(order)).withColumn("_lo", F.col("_hi") - F.col("_k"))
+    kept = bins.where("_hi > floor(_rank) and _lo <= ceil(_rank) and _bin >= 0")
+    low = kept.groupBy(*by).agg(F.min("_lo").alias("_below"), F.collect_set("_bin").alias("_bins"))
+    rows = binned.where("_s is not null").join(low, by).where(F.array_contains("_bins", F.col("_bin")))
+    under = bins.select(*by, "_rank").distinct().join(low, by).select(*by, "_rank", F.lit(None).cast("double").alias("_s"), F.col("_below").alias("_c")).where("_c > 0")
+    return rows.select(*by, "_rank", "_s", "_c").unionByName(under)
 
 
 def with_quantiles(

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 STATION = ("station_id",)
 
@@ -216,13 +217,7 @@ def select_window_runs(runs: DataFrame, windows: Sequence[int] = (8, 12, 24), at
     return eligible.groupBy("input_steps").agg(best.alias("_run")).select("input_steps", "_run.*")
 
 
-def column_groups(names: Sequence[str]) -> dict[str, list[str]]:
-    """Feature groups by name: pressure terms, wind terms, everything."""
-    pressure, wind = [], []
-    for name in names:
-        lower = name.lower()
-        if "wind" in lower or "drag_coefficient" in lower:
-            wind.append(name)
-        if ("pressure" in lower or "barometer" in lower) and "wind_stress" not in lower:
-            pressure.append(name)
-    return {"ib": pressure, "wind": wind, "all": list(names)}
+def column_groups(schema: StructType) -> dict[str, list[str]]:
+    """Feature groups as the columns' metadata state them: pressure terms, wind terms, everything."""
+    terms = {f.name: f.metadata.get("terms", []) for f in schema.fields}
+    return {"ib": [c for c, t in terms.items() if "pressure" in t], "wind": [c for c, t in terms.items() if "wind" in t], "all": [c for c, t in terms.items() if t]}

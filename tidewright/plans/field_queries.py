@@ -207,7 +207,7 @@ def _(spark, sf):
     return hourly(spark, sf)
 
 
-_FORCES = {k: v for k, v in _HOURLY.items() if k in physics.force_columns(list(_HOURLY))}
+_FORCES = {k: v for k, v in _HOURLY.items() if v in ("te", "tn", "tm", "nt", "ntmax", "ton", "tal", "pa", "par")}
 
 
 def _w(expr: str, first: int, last: int) -> str:

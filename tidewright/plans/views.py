@@ -9,6 +9,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, TimestampNTZType, TimestampType
 
 from tidewright.functions.blocks import global_positions, hour_number
 from tidewright.operators import series
@@ -42,9 +43,10 @@ def with_views(body: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, with its zone-less timestamps read as UTC."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    zoneless = [f.name for f in df.schema.fields if f.dataType.simpleString() == "timestamp_ntz"]
-    return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
+    path = f"{sf_dir}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    zoned = StructType([StructField(f.name, TimestampType() if f.dataType == TimestampNTZType() else f.dataType, f.nullable) for f in schema])
+    return spark.read.schema(zoned).parquet(path)
 
 
 # --- gauge observations -------------------------------------------------------------------------
