@@ -103,6 +103,17 @@ def matched_keywords(keywords: Sequence[str], *texts: str | Column) -> Column:
     return F.concat_ws(";", *hits)
 
 
+def page_title(html: str | Column) -> Column:
+    """The title of an HTML page, white space folded; empty without one."""
+    return F.trim(F.regexp_replace(F.regexp_extract(F.coalesce(col(html), F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
+
+
+def page_text(html: str | Column) -> Column:
+    """The whole text of an HTML page without scripts, styles, comments and tags, white space folded."""
+    bare = F.regexp_replace(F.coalesce(col(html), F.lit("")), r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>", " ")
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+
+
 def inverse_normal(p: str | Column) -> Column:
     """Standard normal quantile for 0 < p < 1 by a rational approximation (relative error about 1e-9)."""
     # Coefficients of Acklam's published approximation.

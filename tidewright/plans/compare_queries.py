@@ -117,24 +117,23 @@ def _(spark, sf):
     return compare.wide_to_long(wide, views.LEADS, MODELS)
 
 
-@query("prune_columns", f"SELECT station_id, origin, {r('predicted_m', 'predicted_m')} FROM forecasts WHERE model = 'damped'")
+@query("prune_columns", f"SELECT station_id, lead_hours, model, origin, {r('predicted_m', 'predicted_m')} FROM forecasts")
 def _(spark, sf):
     from tidewright.functions.columns import require_columns
 
-    rows = views.forecasts(spark, sf).where(F.col("model") == "damped")
-    return require_columns(rows, ["station_id", "origin", "predicted_m"])
+    return require_columns(views.forecasts(spark, sf), ["station_id", "lead_hours", "model", "origin", "predicted_m"])
 
 
 @query("station_union", """
-SELECT station_id, lead_hours, CASE model WHEN 'persistence' THEN 'Persistence' ELSE 'Mean' END AS model, model AS source_model, rmse_cm
-FROM metrics WHERE model IN ('persistence', 'mean3')""")
+SELECT s.station_id, lead_hours, CASE model WHEN 'persistence' THEN 'Persistence' ELSE 'Mean' END AS model, model AS source_model, metrics.station_id AS part, rmse_cm
+FROM metrics, (VALUES ('north'), ('south')) s(station_id) WHERE model = 'persistence' OR (model = 'mean3' AND s.station_id = 'south')""")
 def _(spark, sf):
     table = metrics(spark, sf)
-    names = table.select("station_id", F.col("model").alias("source_model")).distinct().withColumn(
-        "model", F.when(F.col("source_model") == "persistence", F.lit("Persistence")).when(F.col("source_model") == "mean3", F.lit("Mean"))
-    ).where(F.col("model").isNotNull())
-    mapped = compare.map_models(table.withColumnRenamed("model", "source_model"), names)
-    return mapped.select("station_id", "lead_hours", "model", "source_model", "rmse_cm")
+    table = table.withColumnRenamed("station_id", "part")
+    frames = {"north": table, "south": table.withColumnRenamed("model", "method")}
+    named = [("north", "persistence", "Persistence"), ("south", "persistence", "Persistence"), ("south", "mean3", "Mean")]
+    mapped = compare.station_union(frames, spark.createDataFrame(named, "station_id string, source_model string, model string"))
+    return mapped.select("station_id", "lead_hours", "model", "source_model", "part", "rmse_cm")
 
 
 @query("result_summary", f"""

@@ -222,12 +222,24 @@ _ANY = " ".join(f"CASE WHEN contains(h, '{k.lower()}') THEN '{k};' ELSE '' END |
 
 
 @query("matched_keywords", f"""
-SELECT page_id, rtrim({_ANY} '', ';') AS keywords FROM (SELECT page_id, lower(url || ' ' || html) AS h FROM pages)""")
+SELECT page_id, rtrim({_ANY} '', ';') AS keywords FROM (SELECT page_id, lower(url || ' ' || regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) || ' ' ||
+  regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>', ' ', 'g')) AS h FROM pages)""")
 def _(spark, sf):
-    return views.table(spark, sf, "pages").select("page_id", fc.matched_keywords(KEYWORDS, "url", "html").alias("keywords"))
+    return views.table(spark, sf, "pages").select("page_id", fc.matched_keywords(KEYWORDS, "url", fc.page_title("html"), fc.page_text("html")).alias("keywords"))
 
 
 @query("matched_keywords_documents", f"""
 SELECT doc_id, rtrim({_ANY} '', ';') AS keywords FROM (SELECT doc_id, lower(source || ' ' || text) AS h FROM documents)""")
 def _(spark, sf):
     return views.table(spark, sf, "documents").select("doc_id", fc.matched_keywords(KEYWORDS, "source", "text").alias("keywords"))
+
+
+# --- exact quantiles -------------------------------------------------------------------------------------------
+
+@query("quantile_brackets", f"""SELECT event_type, {r('quantile_cont(value, 0.05)', 'low')}, {r('median(value)', 'middle')}, {r('quantile_cont(value, 0.99)', 'high')} FROM events GROUP BY 1""")
+def _(spark, sf):
+    """A coarse sketch and small slices, so that brackets and their narrowing run at every scale."""
+    from tidewright.functions.quantiles import exact_quantiles
+
+    wanted = {"low": ("value", 0.05), "middle": ("value", 0.5), "high": ("value", 0.99)}
+    return exact_quantiles(views.table(spark, sf, "events"), ["event_type"], wanted, accuracy=200, most=10)

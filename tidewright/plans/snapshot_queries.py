@@ -319,3 +319,35 @@ SELECT station_id, {n('count(*)', 'event_count')}, {r('avg(abs((p - o) * 100))',
        {r('max((p - o) * 100) FILTER (WHERE event = 1)', 'maximum_peak_error_cm')}, bool_or(abs(p) < abs(o)) FILTER (WHERE event = 1) AS maximum_underestimated FROM t GROUP BY 1""")
 def _(spark, sf):
     return events.peak_event_summary(events.peak_event_table(_peak_series(spark, sf), 5))
+
+
+@query("split_parts", f"SELECT city, {n('count(*)', 'rows')}, {n('ceil(count(*) / 100.0)', 'least_files')}, true AS bounded FROM snapshots GROUP BY 1")
+def _(spark, sf):
+    """Files of at most 100 rows each; reading them back proves the bound and that no row is lost."""
+    from tidewright.functions.storage import shared_folder
+
+    folder = shared_folder(spark, "parts")
+    views.snapshots(spark, sf).write.option("maxRecordsPerFile", 100).partitionBy("city").parquet(folder)
+    rows = spark.read.parquet(folder)
+    files = rows.groupBy("city", F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("k"))
+    return files.groupBy("city").agg(
+        F.sum("k").alias("rows"), F.ceil(F.sum("k") / 100).alias("least_files"), ((F.max("k") <= 100) & (F.count("*") >= F.ceil(F.sum("k") / 100))).alias("bounded"))
+
+
+@query("report_tables", f"SELECT event_type, {n('count(*)', 'rows')}, {r('avg(value)', 'mean')}, form FROM events, (VALUES ('csv'), ('json')) f(form) GROUP BY 1, 4")
+def _(spark, sf):
+    """A table written in both report forms and read back; a second write into the folder is refused."""
+    from tidewright.functions.storage import shared_folder
+    from tidewright.operators import export
+
+    folder = shared_folder(spark, "report")
+    table = views.table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("rows"), F.avg("value").alias("mean"))
+    export.refuse_overwrite(spark, folder)
+    export.write_report_tables({"events": table}, folder)
+    try:
+        export.refuse_overwrite(spark, folder)
+    except FileExistsError:
+        kind = "event_type string, rows bigint, mean double"
+        csv = spark.read.schema(kind).csv(f"{folder}/events_csv", header=True).withColumn("form", F.lit("csv"))
+        return csv.unionByName(spark.read.schema(kind).json(f"{folder}/events_json").withColumn("form", F.lit("json")))
+    raise AssertionError("a folder that holds files was not refused")

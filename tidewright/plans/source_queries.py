@@ -250,3 +250,11 @@ def _(spark, sf):
         F.when(k % 4 != 0, F.struct(overall.alias("overall"), (F.col("p_size") / 97.0).alias("skill_score_vs_ridge"))).alias("test"),
     )
     return results.collect_model_metrics(rows)
+
+
+@query("find_records", """SELECT event_id AS id, CAST(user_id % 2 AS BIGINT) AS place FROM events UNION ALL SELECT event_id, 2 FROM events WHERE event_id % 3 = 0""")
+def _(spark, sf):
+    record = F.struct(F.col("event_id").alias("id"), (F.col("user_id") % 2).cast("bigint").alias("place"))
+    second = F.struct(F.col("event_id").alias("id"), F.lit(2).cast("bigint").alias("place"))
+    lists = F.struct(F.array(F.lit(0)).alias("other"), F.when(F.col("event_id") % 3 == 0, F.array(record, second)).otherwise(F.array(record)).alias("Station"))
+    return tracks.find_records(views.table(spark, sf, "events").select(lists.alias("records"))).select("record.*")

@@ -252,7 +252,7 @@ FROM events WHERE user_id % 5 <> 0"""
 
 def type_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("user_id")
-    kinds = F.array(*[F.lit(k) for k in ("river", "reservoir", "gate", "tide")])
+    kinds = F.array(*[F.lit(k) for k in ("河道", "水库", " 堰闸", "tide")])  # the source spelling of most types
     return (
         table(spark, sf_dir, "events")
         .where(u % 5 != 0)
