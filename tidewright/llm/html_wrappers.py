@@ -51,6 +51,8 @@ BAD_ROLES = frozenset(
     "social related recommended widget toolbar pagination pager copyright legal disclaimer search hidden contentinfo complementary alert".split())
 GOOD_ROLES = frozenset("article content main post entry story body maincontent".split())
 HEADER_ROLES = frozenset("header head".split())
+COMPOUNDS = ("comment", "advert", "sponsor", "cookie", "breadcrumb", "newsletter", "sidebar", "navbar")
+HAVING, SIDES = frozenset("has with no without".split()), frozenset("left right".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -59,13 +61,25 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 LABEL, CHILDREN, REPEATED, OPTIONAL, PAGES, MASS, TEXT = range(7)
 
 
+def _role(word: str) -> str | None:
+    """The role word behind a word of an attribute, compounds such as commentlist by their beginning."""
+    if word in BAD_ROLES or word in GOOD_ROLES or word in HEADER_ROLES:
+        return word
+    return next((p for p in COMPOUNDS if word.startswith(p)), None)
+
+
 def roles(attributes: str) -> str:
-    found = set()
-    for _, value in _ATTRIBUTE.findall(attributes):
-        found |= {w.lower() for w in _WORD.findall(value)}
-    kept = found & (BAD_ROLES | GOOD_ROLES | HEADER_ROLES)
+    """Role words of an element's attributes, sorted; what it merely has, or has at a side, is no role of its own."""
+    tokens = [[w.lower() for w in _WORD.findall(t)] for _, value in _ATTRIBUTE.findall(attributes) for t in value.strip("\"'").split()]
+    plain = any(len(t) == 1 and t[0] in GOOD_ROLES for t in tokens)
+    kept = set()
+    for words in tokens:
+        found = {r for r in map(_role, words) if r}
+        if set(words) & HAVING or plain and set(words) & SIDES:
+            found &= GOOD_ROLES
+        kept |= found
     if attributes and _HIDDEN.search(attributes):
-        kept = kept | {"hidden"}
+        kept.add("hidden")
     return ".".join(sorted(kept))
 
 
