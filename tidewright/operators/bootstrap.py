@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.columns import finite
+from tidewright.functions.storage import stored
 
 STATION = ("station_id",)
 
@@ -51,20 +52,24 @@ def block_bootstrap(
         F.sum("_rows").alias("n"), F.count("*").alias("calendar_block_count"), F.min("_rows").alias("_least"),
         F.sum("_sm").alias("_tm"), F.sum("_sr").alias("_tr"),
     )
-    draws = (
-        totals.select(*keys, "n", "calendar_block_count", "_least")
-        .withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(repetitions))))
-        .repartition(*keys, "_rep")
-        .withColumn("_draw", F.explode(F.sequence(F.lit(1).cast("bigint"), F.ceil(F.col("n") / F.col("_least")))))
-        .withColumn("_number", draw(seed, F.col("_rep"), F.col("_draw"), F.col("calendar_block_count")))
-    )
+    runs = totals.select(*keys, "n", "calendar_block_count", "_least").withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(repetitions))))
     running = Window.partitionBy(*keys, "_rep").orderBy("_draw").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (
-        draws.join(sums, [*keys, "_number"])
-        .withColumn("_upto", F.sum("_rows").over(running))
-        .where(F.col("_upto") - F.col("_rows") < F.col("n"))
-        .withColumn("_take", F.least(F.col("_rows"), F.col("n") - F.col("_upto") + F.col("_rows")))
-    )
+
+    def drawn(some: DataFrame, last: Column) -> DataFrame:
+        draws = some.repartition(*keys, "_rep").withColumn("_draw", F.explode(F.sequence(F.lit(1).cast("bigint"), last.cast("bigint"))))
+        return (
+            draws.withColumn("_number", draw(seed, F.col("_rep"), F.col("_draw"), F.col("calendar_block_count")))
+            .join(sums, [*keys, "_number"])
+            .withColumn("_upto", F.sum("_rows").over(running))
+            .where(F.col("_upto") - F.col("_rows") < F.col("n"))
+            .withColumn("_take", F.least(F.col("_rows"), F.col("n") - F.col("_upto") + F.col("_rows")))
+        )
+
+    # twice as many draws as there are blocks nearly always suffice; only repetitions still short draw on, to the proven end
+    most = stored(drawn(runs, 2 * F.col("calendar_block_count")), "draws")
+    full = most.where(F.col("_upto") >= F.col("n")).select(*keys, "_rep")
+    short = runs.join(full, [*keys, "_rep"], "left_anti")
+    placed = most.join(full, [*keys, "_rep"], "left_semi").unionByName(drawn(short, F.ceil(F.col("n") / F.col("_least"))).select(*most.columns))
     taken = placed.join(prefix, [*keys, "_block", "_take"])
     sampled = taken.groupBy(*keys, "_rep", "n").agg(F.sum("_pm").alias("_m"), F.sum("_pr").alias("_r"))
     difference = (F.sqrt(F.col("_m") / F.col("n")) - F.sqrt(F.col("_r") / F.col("n"))) * 100
