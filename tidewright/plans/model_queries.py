@@ -44,16 +44,16 @@ _ALPHA_LIST = "(VALUES " + ", ".join(f"({a}::DOUBLE, {i})" for i, a in enumerate
 
 
 @query("ridge_select", f"""
-WITH e AS (SELECT station_id, lead_hours, count(*) AS k, covar_pop(x, y) AS c, var_pop(x) AS v, avg(x) AS mx, avg(y) AS my FROM ar_samples WHERE day(origin) <= 10 GROUP BY 1, 2),
+WITH e AS (SELECT station_id, lead_hours, count(*) AS k, covar_pop(x, y) AS c, var_pop(x) AS v, avg(x) AS mx, avg(y) AS my FROM ar_samples WHERE day(origin) <= 15 GROUP BY 1, 2),
 s AS (SELECT t.station_id, t.lead_hours, a.alpha, a.place, avg((my + k * c / v / (k + alpha) * (x - mx) - y) ** 2) AS mse
-      FROM ar_samples t JOIN e ON e.station_id = t.station_id AND e.lead_hours = t.lead_hours, {_ALPHA_LIST} WHERE day(origin) BETWEEN 11 AND 20 GROUP BY ALL),
+      FROM ar_samples t JOIN e ON e.station_id = t.station_id AND e.lead_hours = t.lead_hours, {_ALPHA_LIST} WHERE day(origin) BETWEEN 16 AND 31 GROUP BY ALL),
 b AS (SELECT station_id, lead_hours, arg_min(alpha, (round(mse, 12), alpha)) AS alpha, min(mse) AS mse FROM s GROUP BY 1, 2),
-f AS (SELECT station_id, lead_hours, count(*) AS k, covar_pop(x, y) AS c, var_pop(x) AS v, avg(x) AS mx, avg(y) AS my FROM ar_samples WHERE day(origin) <= 20 GROUP BY 1, 2)
+f AS (SELECT station_id, lead_hours, count(*) AS k, covar_pop(x, y) AS c, var_pop(x) AS v, avg(x) AS mx, avg(y) AS my FROM ar_samples WHERE day(origin) <= 31 GROUP BY 1, 2)
 SELECT f.station_id, f.lead_hours, {r('alpha', 'alpha')}, {r('k * c / v / (k + alpha)', 'slope')}, {r('my - k * c / v / (k + alpha) * mx', 'intercept')}, {r('sqrt(mse)', 'tuning_rmse')}, {n('k', 'train_rows')}
 FROM f JOIN b ON b.station_id = f.station_id AND b.lead_hours = f.lead_hours""")
 def _(spark, sf):
     day = F.dayofmonth("origin")
-    models = linear.ridge_select(_samples(spark, sf, 1), ["station_id"], LEADS, day <= 10, day.between(11, 20))
+    models = linear.ridge_select(_samples(spark, sf, 1), ["station_id"], LEADS, day <= 15, day.between(16, 31))
     return models.select("station_id", "lead_hours", "alpha", F.get("coefficients", F.lit(0)).alias("slope"), "intercept", "tuning_rmse", "train_rows")
 
 
@@ -61,7 +61,7 @@ def _(spark, sf):
 def _(spark, sf):
     day = F.dayofmonth("origin")
     groups = {"last": [2], "last_two": [1, 2], "history": [0, 1, 2]}
-    models = linear.ridge_select(_samples(spark, sf), ["station_id"], LEADS, day <= 10, day.between(11, 20), groups=groups)
+    models = linear.ridge_select(_samples(spark, sf), ["station_id"], LEADS, day <= 15, day.between(16, 31), groups=groups)
     coefficients = [F.get("coefficients", F.lit(i)).alias(f"w{i}") for i in range(3)]
     return models.select("station_id", "family", "lead_hours", "alpha", *coefficients, "intercept", "tuning_rmse")
 
@@ -77,16 +77,16 @@ _MOMENTS = "count(*) AS k, covar_pop(x, y) AS c, var_pop(x) AS v, avg(x) AS mx,
 
 @query("ridge_family_single", f"""
 WITH a AS (SELECT * FROM {_FAMILIES}),
-e AS (SELECT station_id, lead_hours, family, {_MOMENTS} FROM a WHERE day(origin) <= 10 GROUP BY 1, 2, 3),
+e AS (SELECT station_id, lead_hours, family, {_MOMENTS} FROM a WHERE day(origin) <= 15 GROUP BY 1, 2, 3),
 s AS (SELECT t.station_id, t.lead_hours, t.family, p.alpha, avg((my + k * c / v / (k + alpha) * (x - mx) - y) ** 2) AS mse
-      FROM a t JOIN e ON e.station_id = t.station_id AND e.lead_hours = t.lead_hours AND e.family = t.family, {_ALPHA_LIST.replace(' a(', ' p(')} WHERE day(origin) BETWEEN 11 AND 20 GROUP BY ALL),
+      FROM a t JOIN e ON e.station_id = t.station_id AND e.lead_hours = t.lead_hours AND e.family = t.family, {_ALPHA_LIST.replace(' a(', ' p(')} WHERE day(origin) BETWEEN 16 AND 31 GROUP BY ALL),
 b AS (SELECT station_id, lead_hours, family, arg_min(alpha, (round(mse, 12), alpha)) AS alpha FROM s GROUP BY 1, 2, 3),
-f AS (SELECT station_id, lead_hours, family, {_MOMENTS} FROM a WHERE day(origin) <= 20 GROUP BY 1, 2, 3)
+f AS (SELECT station_id, lead_hours, family, {_MOMENTS} FROM a WHERE day(origin) <= 31 GROUP BY 1, 2, 3)
 SELECT f.station_id, f.lead_hours, f.family, {r('alpha', 'alpha')}, {r('k * c / v / (k + alpha)', 'slope')}, {r('my - k * c / v / (k + alpha) * mx', 'intercept')}
 FROM f JOIN b ON b.station_id = f.station_id AND b.lead_hours = f.lead_hours AND b.family = f.family""")
 def _(spark, sf):
     day = F.dayofmonth("origin")
-    models = linear.ridge_select(_samples(spark, sf), ["station_id"], LEADS, day <= 10, day.between(11, 20), groups={"last": [2], "before": [1]})
+    models = linear.ridge_select(_samples(spark, sf), ["station_id"], LEADS, day <= 15, day.between(16, 31), groups={"last": [2], "before": [1]})
     slope = F.when(F.col("family") == "last", F.get("coefficients", F.lit(2))).otherwise(F.get("coefficients", F.lit(1)))
     return models.select("station_id", "lead_hours", "family", "alpha", slope.alias("slope"), "intercept")
 
@@ -106,7 +106,7 @@ _DAILY = "(SELECT a.station_id, a.ts AS origin, b.surge_m AS x, a.surge_m AS y F
 
 
 @query("expanding_oof", f"""
-WITH folds AS (SELECT unnest([1997, 1998, 1999, 2000]) AS py),
+WITH folds AS (SELECT unnest([1997, 1998, 1999, 2000, 2001]) AS py),
 t AS (SELECT d.*, py, year(origin) < py - 1 AS early FROM {_DAILY} d, folds WHERE year(origin) < py AND origin <= make_timestamp(py, 1, 1, 0, 0, 0) - INTERVAL 72 HOUR),
 e AS (SELECT station_id, py, count(*) AS k, covar_pop(x, y) AS c, var_pop(x) AS v, avg(x) AS mx, avg(y) AS my FROM t WHERE early GROUP BY 1, 2),
 s AS (SELECT t.station_id, t.py, a.alpha, avg((my + coalesce(k * c / nullif(v, 0), 0) / (k + alpha) * (x - mx) - y) ** 2) AS mse FROM t JOIN e ON e.station_id = t.station_id AND e.py = t.py, {_ALPHA_LIST} WHERE NOT early GROUP BY ALL),
@@ -116,14 +116,14 @@ SELECT d.station_id, d.origin, {n('f.py', 'prediction_year')}, CAST(1 AS BIGINT)
 FROM {_DAILY} d JOIN f ON f.station_id = d.station_id AND f.py = year(d.origin) LEFT JOIN b ON b.station_id = f.station_id AND b.py = f.py""")
 def _(spark, sf):
     rows = _yearly(spark, sf).withColumn("features", F.slice("features", 1, 1))
-    models = linear.expanding_oof(rows, ["station_id"], (1,), (1997, 1998, 1999, 2000))
+    models = linear.expanding_oof(rows, ["station_id"], (1,), (1997, 1998, 1999, 2000, 2001))
     return linear.predict_oof(rows.drop("labels"), models, ["station_id"])
 
 
 @query("residual_boost")
 def _(spark, sf):
     rows = _yearly(spark, sf)
-    models = linear.expanding_oof(rows, ["station_id"], (1,), (1997, 1998, 1999, 2000))
+    models = linear.expanding_oof(rows, ["station_id"], (1,), (1997, 1998, 1999, 2000, 2001))
     base = linear.predict_oof(rows, models, ["station_id"]).withColumn("observed_m", F.get("labels", F.lit(0)))
     inputs = rows.select("station_id", "origin", "features")
     joined = base.drop("labels").join(inputs, ["station_id", "origin"]).withColumnRenamed("predicted_m", "ridge_m")
@@ -249,13 +249,13 @@ def _(spark, sf):
 
 # --- bootstrap -----------------------------------------------------------------------------------------------
 
-_REPS = 40
+_REPS = 500
 
 
 @query("block_bootstrap", f"""
-WITH p AS (SELECT a.station_id, a.origin AS ts, (a.predicted_m - a.observed_m) ** 2 AS em, (b.predicted_m - b.observed_m) ** 2 AS er FROM forecasts a
-      JOIN forecasts b ON b.station_id = a.station_id AND b.origin = a.origin AND b.lead_hours = a.lead_hours AND b.model = 'persistence' WHERE a.model = 'mean3' AND a.lead_hours = 3),
-q AS (SELECT *, floor(epoch(ts - min(ts) OVER (PARTITION BY station_id)) / (48 * 3600)) AS blk FROM p),
+WITH p AS (SELECT a.station_id || '-' || a.model || '-' || a.lead_hours AS station_id, a.origin AS ts, (a.predicted_m - a.observed_m) ** 2 AS em, (b.predicted_m - b.observed_m) ** 2 AS er FROM forecasts a
+      JOIN forecasts b ON b.station_id = a.station_id AND b.origin = a.origin AND b.lead_hours = a.lead_hours AND b.model = 'persistence' WHERE a.model <> 'persistence'),
+q AS (SELECT *, floor(epoch(ts - min(ts) OVER (PARTITION BY station_id)) / (168 * 3600)) AS blk FROM p),
 x AS (SELECT *, row_number() OVER w AS take, sum(em) OVER w AS pm, sum(er) OVER w AS pr FROM q WINDOW w AS (PARTITION BY station_id, blk ORDER BY ts ROWS UNBOUNDED PRECEDING)),
 s AS (SELECT station_id, blk, count(*) AS k, row_number() OVER (PARTITION BY station_id ORDER BY blk) - 1 AS num FROM q GROUP BY 1, 2),
 t AS (SELECT station_id, sum(k) AS n, count(*) AS bc, min(k) AS least, (SELECT sum(em) FROM q WHERE q.station_id = s.station_id) AS tm, (SELECT sum(er) FROM q WHERE q.station_id = s.station_id) AS tr FROM s GROUP BY 1),
@@ -265,14 +265,14 @@ g AS (SELECT d.*, s.blk, s.k, sum(s.k) OVER (PARTITION BY d.station_id, rep ORDE
 h AS (SELECT *, least(k, n - upto + k) AS take FROM g WHERE upto - k < n),
 v AS (SELECT h.station_id, rep, max(n) AS n, sum(pm) AS m, sum(pr) AS r FROM h JOIN x ON x.station_id = h.station_id AND x.blk = h.blk AND x.take = h.take GROUP BY 1, 2),
 z AS (SELECT station_id, (sqrt(m / n) - sqrt(r / n)) * 100 AS dd, 1 - m / r AS sk FROM v)
-SELECT t.station_id, {n('max(n)', 'n')}, CAST(48 AS BIGINT) AS block_hours, {n('max(bc)', 'calendar_block_count')}, {n('count(*)', 'repetitions')},
+SELECT t.station_id, {n('max(n)', 'n')}, CAST(168 AS BIGINT) AS block_hours, {n('max(bc)', 'calendar_block_count')}, {n('count(*)', 'repetitions')},
        {r('max((sqrt(tm / n) - sqrt(tr / n)) * 100)', 'rmse_difference_cm')}, {r('quantile_cont(dd, 0.025)', 'rmse_difference_low_cm')}, {r('quantile_cont(dd, 0.975)', 'rmse_difference_high_cm')},
        {r('max(1 - tm / tr)', 'mse_skill')}, {r('quantile_cont(sk, 0.025)', 'mse_skill_low')}, {r('quantile_cont(sk, 0.975)', 'mse_skill_high')}
 FROM t JOIN z ON z.station_id = t.station_id GROUP BY 1""")
 def _(spark, sf):
-    one = views.forecasts(spark, sf).where(F.col("lead_hours") == 3)
-    wide = one.groupBy("station_id", F.col("origin").alias("ts")).agg(
-        F.max("observed_m").alias("observed_m"), F.max(F.when(F.col("model") == "mean3", F.col("predicted_m"))).alias("model_m"),
-        F.max(F.when(F.col("model") == "persistence", F.col("predicted_m"))).alias("reference_m"),
-    )
-    return bootstrap.block_bootstrap(wide, 48, _REPS)
+    rows = views.forecasts(spark, sf)
+    keys = ["station_id", "lead_hours", "origin"]
+    base = rows.where(F.col("model") == "persistence").select(*keys, F.col("predicted_m").alias("reference_m"))
+    pairs = rows.where(F.col("model") != "persistence").join(base, keys)
+    series = F.concat_ws("-", "station_id", "model", F.col("lead_hours").cast("string")).alias("station_id")
+    return bootstrap.block_bootstrap(pairs.select(series, F.col("origin").alias("ts"), "observed_m", F.col("predicted_m").alias("model_m"), "reference_m"), 168, _REPS)
