@@ -202,12 +202,12 @@ def signed_impulse(
 
 
 def interpolate_time(
-    df: DataFrame, value: str, limit: int = 6, keys: Sequence[str] = STATION, ts: str = "ts"
+    df: DataFrame, value: str, limit: int = 6, keys: Sequence[str] = STATION, ts: str = "ts", drop_deep: bool = False
 ) -> DataFrame:
     """Fill gaps on a dense axis linearly in time, at most ``limit`` points in from either side.
 
     Points before the first or after the last known value take that value, under the same limit. Column
-    ``filled`` holds the result, null where a point is too deep inside a gap.
+    ``filled`` holds the result, null where a point is too deep inside a gap; ``drop_deep`` leaves such points out.
     """
     near = nearest_known(df.withColumn("_h", hour_number(ts)), keys, "_h", value)
     h, p, n = F.col("_h"), F.col("prev_index"), F.col("next_index")
@@ -216,7 +216,8 @@ def interpolate_time(
     filled = F.coalesce(
         F.col(value), F.when(reach, F.coalesce(line, F.col("prev_value"), F.col("next_value")))
     )
-    return near.withColumn("filled", filled).drop("_h", "prev_index", "prev_value", "next_index", "next_value")
+    out = near.withColumn("filled", filled).drop("_h", "prev_index", "prev_value", "next_index", "next_value")
+    return out.where(F.col("filled").isNotNull()) if drop_deep else out
 
 
 def acf(

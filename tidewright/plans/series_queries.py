@@ -117,13 +117,13 @@ j AS (SELECT a.*, x.v AS pv, y.v AS qv FROM a LEFT JOIN d x ON x.station_id = a.
       LEFT JOIN d y ON y.station_id = a.station_id AND y.h = a.q)
 SELECT station_id, ts, {r('v', 'level_m')},
        {r('coalesce(v, CASE WHEN h - p <= 4 OR q - h <= 4 THEN coalesce(pv + (qv - pv) * ((h - p) / (q - p)), pv, qv) END)', 'filled')}
-FROM j""")
+FROM j WHERE v IS NOT NULL OR h - p <= 4 OR q - h <= 4""")
 def _(spark, sf):
     hour = F.floor(F.unix_seconds("ts") / 3600)
     holed = views.surge_dense(spark, sf).select(
         "station_id", "ts", F.when(hour % 31 < 19, F.col("surge_m")).alias("level_m")
     )
-    return series.interpolate_time(holed, "level_m", 4)
+    return series.interpolate_time(holed, "level_m", 4, drop_deep=True)
 
 
 def _acf_sql(trim: bool) -> str:
