@@ -12,7 +12,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
     It is removed when the session's JVM ends.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir", None)
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
