@@ -132,6 +132,16 @@ def test_wrapper_shows_repeats_options_and_slots():
     assert html_wrappers.extract(deep, w) == ["deep"]
 
 
+def test_a_long_article_beside_a_short_one_keeps_all_its_runs(spark):
+    long = "".join(f"<p>p {k}</p><div>d {k}</div>" for k in range(100))
+    pages = [(1, "http://h/1", f"<article>{long}</article>"), (2, "http://h/2", "<article><p>a</p><div>b</div><p>c</p></article>"),
+             (3, "http://h/3", "<article><p>e</p></article>"), (4, "http://h/4", f"<article>{long}</article>")]
+    for order in (pages, pages[1:] + pages[:1], pages[::-1]):
+        frame = spark.createDataFrame(order, "page_id long, url string, html string").coalesce(1)
+        text = {r.page_id: r.text for r in html_wrappers.main_text(frame).collect()}
+        assert text[1] == text[4] == "\n".join(f"p {k}\nd {k}" for k in range(100)) and text[2] == "a\nb\nc" and text[3] == "e"
+
+
 def test_pages_of_the_tables_give_their_articles(spark):
     import html
 

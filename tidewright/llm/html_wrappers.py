@@ -6,7 +6,8 @@ time by aligning the children of equal elements; equal neighbours become a repea
 optional, runs of flow elements in varying order become a repeated group of optional ones, and differing texts become
 slots. Every page of a host takes part: tasks fold their pages into one wrapper per host before anything is shuffled,
 and the wrappers of the tasks are aligned in the same way in a tree of bounded groups. Labels come from fixed lists
-and long rows of children fold into one group, so a wrapper stays small however many pages it has seen.
+and long rows of children fold into one group that takes any row, so a wrapper stays small however many pages it has
+seen.
 
 In the finished wrapper the slots of the article are chosen: those in its article or main element, else in an element
 whose role says content, else in the element that holds most text, less everything that is or stands in a menu, footer,
@@ -58,6 +59,8 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: labels of groups: a run of flow elements, and a whole row of children
+RUN, ROW = GROUPS = ("()", "(*)")
 LABEL, CHILDREN, REPEATED, OPTIONAL, PAGES, MASS, TEXT = range(7)
 
 
@@ -171,17 +174,26 @@ def _fold(children: list) -> list:
             out[-1][REPEATED] = True
         else:
             out.append(c)
-    if len(out) > MAX_CHILDREN:
-        group = node("()")
-        group[REPEATED] = True
-        for c in out:
-            _into_group(group, c)
-        out = [group]
-    return out
+    return [_row(out)] if len(out) > MAX_CHILDREN else out
+
+
+def _row(children: list) -> list:
+    """One group that stands for a row of any children, in any order."""
+    if _is_row(children):
+        return children[0]
+    group = node(ROW)
+    group[REPEATED] = True
+    for c in children:
+        _into_group(group, c)
+    return group
+
+
+def _is_row(children: list) -> bool:
+    return len(children) == 1 and children[0][LABEL] == ROW
 
 
 def _into_group(group: list, c: list) -> None:
-    if c[LABEL] == "()":
+    if c[LABEL] in GROUPS:
         for x in c[CHILDREN]:
             _into_group(group, x)
         return
@@ -201,11 +213,13 @@ def merged(a: list, b: list) -> list:
     """The least general wrapper of the kind that covers two wrappers of one label."""
     same = a[TEXT] if a[TEXT] == b[TEXT] else None
     children = []
-    if a[LABEL] == "()":
-        group = node("()")
+    if a[LABEL] in GROUPS:
+        group = node(a[LABEL])
         for x in (*a[CHILDREN], *b[CHILDREN]):
             _into_group(group, x)
         children = group[CHILDREN]
+    elif _is_row(a[CHILDREN]) or _is_row(b[CHILDREN]):  # a row stays one, whatever it meets
+        children = [merged(_row(a[CHILDREN]), _row(b[CHILDREN]))]
     else:
         for x, y in aligned(a[CHILDREN], b[CHILDREN]):
             if x is not None and y is not None:
@@ -246,7 +260,7 @@ def expression(wrapper: list) -> str:
     """The wrapper written as a regular expression over tags and text slots."""
     label = wrapper[LABEL]
     inner = "".join(expression(c) for c in wrapper[CHILDREN])
-    body = (re.escape(wrapper[TEXT]) if wrapper[TEXT] and wrapper[PAGES] > 1 else "(TEXT)") if label == "#" else inner if label == "()" else f"<{label}>{inner}</{label.split('.')[0]}>"
+    body = (re.escape(wrapper[TEXT]) if wrapper[TEXT] and wrapper[PAGES] > 1 else "(TEXT)") if label == "#" else inner if label in GROUPS else f"<{label}>{inner}</{label.split('.')[0]}>"
     mark = {(False, False): "", (True, False): "+", (False, True): "?", (True, True): "*"}[wrapper[REPEATED], wrapper[OPTIONAL]]
     return f"({body}){mark}" if mark else body
 
@@ -301,7 +315,7 @@ def choose(wrapper: list) -> None:
     while True:
         total = _mass(here)
         below = [c for c in here[CHILDREN] if c[LABEL] != "#" and not _dropped(c[LABEL], False) and 10 * _mass(c) >= 9 * total > 0]
-        if not below or not any(x[LABEL] not in ("()",) and not _flow(x[LABEL]) for x in below):
+        if not below or not any(x[LABEL] not in GROUPS and not _flow(x[LABEL]) for x in below):
             break
         here = below[0]
     keep(here, False)
@@ -321,12 +335,12 @@ def extract(tree: list, wrapper: list) -> list[str]:
                 runs[-1][CHILDREN].append(c)
             else:
                 runs.append([label, [c]])
-        if len(w_kids) == 1 and w_kids[0][LABEL] == "()" and (len(runs) > 1 or runs and runs[0][LABEL] != "()"):
-            runs = [["()", kids]]
+        if _is_row(w_kids):
+            runs = [[ROW, kids]]
         for run, slot in aligned(runs, w_kids):
             if run is None or slot is None:
                 continue
-            options = {x[LABEL]: x for x in slot[CHILDREN]} if slot[LABEL] == "()" else None
+            options = {x[LABEL]: x for x in slot[CHILDREN]} if slot[LABEL] in GROUPS else None
             for c in run[CHILDREN]:
                 s = options.get(c[LABEL]) if options is not None else slot
                 if s is None:
