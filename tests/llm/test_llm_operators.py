@@ -142,6 +142,22 @@ def test_a_long_article_beside_a_short_one_keeps_all_its_runs(spark):
         assert text[1] == text[4] == "\n".join(f"p {k}\nd {k}" for k in range(100)) and text[2] == "a\nb\nc" and text[3] == "e"
 
 
+def texts_of(*sources):
+    """Texts of the pages of one host."""
+    trees = [html_wrappers.page_tree(x) for x in sources]
+    w = html_wrappers.folded(trees[0])
+    for tree in trees[1:]:
+        w = html_wrappers.merged(w, html_wrappers.folded(tree))
+    html_wrappers.choose(w)
+    return ["\n".join(html_wrappers.extract(tree, w)) for tree in trees]
+
+
+def test_each_page_of_a_host_has_its_own_container():
+    got = texts_of("<nav>n</nav><article><p>one</p></article>", "<nav>n</nav><main><p>two</p></main>", "<div class=content><p>three</p></div><div class=menu>m</div>",
+                   "<div class=x><p>four</p></div><footer>f</footer>", "<article></article>", "<article></article><main>five</main>", "")
+    assert got == ["one", "two", "three", "four", "", "five", ""]
+
+
 def test_pages_of_the_tables_give_their_articles(spark):
     import html
 

@@ -9,10 +9,11 @@ and the wrappers of the tasks are aligned in the same way in a tree of bounded g
 and long rows of children fold into one group that takes any row, so a wrapper stays small however many pages it has
 seen.
 
-In the finished wrapper the slots of the article are chosen: those in its article or main element, else in an element
-whose role says content, else in the element that holds most text, less everything that is or stands in a menu, footer,
-sidebar, notice, advert, form, script, style or comment section, less (outside an article element) texts that are the
-same on every page. A page is then aligned with the wrapper of its host and the texts in chosen slots are its text.
+A page is then aligned with the finished wrapper of its host, and the slots of its article are chosen among those it
+has: those in its article elements, else in main, else in an element whose role says content, else in the element whose
+slots hold most text over all pages, less everything that is or stands in a menu, footer, sidebar, notice, advert, form,
+script, style or comment section, less (in the last case) texts that are the same on every page. The texts in chosen
+slots are the text of the page.
 
 Defined cases: a null html is an empty page with empty text; a null url or one without host belongs to the host ''; repeated
 rows each get a row; elements nested deeper than a limit join the element at that depth, with all their text; unclosed
@@ -280,79 +281,105 @@ def _mass(w: list, inside: bool = False) -> int:
     return sum(_mass(c, inside) for c in w[CHILDREN] if not _dropped(c[LABEL], inside))
 
 
-def _containers(w: list, kind) -> list:
-    """Outermost elements of a kind that are not dropped and hold text."""
+def choose(wrapper: list) -> None:
+    """Mark the slots whose text varies or is met too seldom to say: their OPTIONAL field becomes "keep"."""
+    for c in wrapper[CHILDREN]:
+        if c[LABEL] != "#":
+            choose(c)
+        elif c[TEXT] is None or c[PAGES] < SAME_PAGES:
+            c[OPTIONAL] = "keep"
+
+
+def _role_label(label: str) -> bool:
+    return bool(set(label.split(".")[1:]) & GOOD_ROLES)
+
+
+#: containers of the article, best first
+KINDS = (lambda x: x.split(".")[0] == "article", lambda x: x.split(".")[0] == "main", _role_label)
+NODE, SLOT, BELOW = range(3)
+
+
+def _met(page: list, w: list | None) -> tuple:
+    """(node, slot, children of that kind): a page aligned with its wrapper; no slot where the wrapper has none."""
+    kids = page[CHILDREN]
+    runs: list[list] = []  # children as the fold groups them
+    for c in kids:
+        label = RUN if _flow(c[LABEL]) else c[LABEL]
+        if runs and runs[-1][LABEL] == label:
+            runs[-1][CHILDREN].append(c)
+        else:
+            runs.append([label, [c]])
+    if w and _is_row(w[CHILDREN]):
+        runs = [[ROW, kids]]
+    below = []
+    for run, slot in aligned(runs, w[CHILDREN] if w else []):
+        if run is None:
+            continue
+        options = {x[LABEL]: x for x in slot[CHILDREN]} if slot and slot[LABEL] in GROUPS else None
+        below += [_met(c, slot if options is None else options.get(c[LABEL])) for c in run[CHILDREN]]
+    return page, w, below
+
+
+def _containers(met: tuple, kind) -> list:
+    """Outermost elements of a kind that are not dropped and hold text, on this page or on others."""
     found = []
-    for c in w[CHILDREN]:
-        if _dropped(c[LABEL], False):
+    for c in met[BELOW]:
+        label = c[NODE][LABEL]
+        if _dropped(label, False):
             continue
-        if kind(c[LABEL]) and _mass(c, True):
+        if kind(label) and (_mass(c[NODE], True) or c[SLOT] and _mass(c[SLOT], True)):
             found.append(c)
         else:
             found += _containers(c, kind)
     return found
 
 
-def choose(wrapper: list) -> None:
-    """Mark the chosen slots: their OPTIONAL field becomes "keep"."""
-    def keep(w: list, inside: bool) -> None:
-        for c in w[CHILDREN]:
-            if c[LABEL] == "#":
-                if inside or c[TEXT] is None or c[PAGES] < SAME_PAGES:
-                    c[OPTIONAL] = "keep"
-            elif not _dropped(c[LABEL], inside):
-                keep(c, inside)
-
-    def role(label: str) -> bool:
-        return bool(set(label.split(".")[1:]) & GOOD_ROLES)
-
-    for kind in (lambda x: x.split(".")[0] == "article", lambda x: x.split(".")[0] == "main", role):
-        if chosen := _containers(wrapper, kind):
-            for c in chosen:
-                keep(c, True)
-            return
-    here = wrapper  # down to the element that still holds nearly all of the text
+def _texts(met: tuple, inside: bool, out: list, wanted=lambda c: True) -> list:
+    """Text leaves in page order, less what is dropped."""
+    for c in met[BELOW]:
+        if c[NODE][LABEL] == "#":
+            if wanted(c):
+                out.append(c)
+        elif not _dropped(c[NODE][LABEL], inside):
+            _texts(c, inside, out, wanted)
+    return out
+
+
+def _varies(c: tuple) -> bool:
+    return c[SLOT] is None or c[SLOT][OPTIONAL] == "keep"
+
+
+def _total(mets: list, wanted) -> int:
+    """Characters, over all pages, in the slots that these elements of a page have texts in."""
+    slots = {id(c[SLOT] or c[NODE]): (c[SLOT] or c[NODE])[MASS] for m in mets for c in _texts(m, False, [], wanted)}
+    return sum(slots.values())
+
+
+def _heaviest(met: tuple) -> list:
+    """Texts of the element that still holds nearly all of the mass in the slots of the page."""
+    here, wanted = [met], _varies
     while True:
-        total = _mass(here)
-        below = [c for c in here[CHILDREN] if c[LABEL] != "#" and not _dropped(c[LABEL], False) and 10 * _mass(c) >= 9 * total > 0]
-        if not below or not any(x[LABEL] not in GROUPS and not _flow(x[LABEL]) for x in below):
-            break
+        total = _total(here, wanted)
+        groups: dict[int, list] = {}  # elements of one slot
+        for c in (c for m in here for c in m[BELOW]):
+            if not _flow(c[NODE][LABEL]) and not _dropped(c[NODE][LABEL], False):
+                groups.setdefault(id(c[SLOT] or c[NODE]), []).append(c)
+        below = [g for g in groups.values() if 10 * _total(g, wanted) >= 9 * total > 0]
+        if not below:
+            return [c for m in here for c in _texts(m, False, [], wanted)]
         here = below[0]
-    keep(here, False)
 
 
 def extract(tree: list, wrapper: list) -> list[str]:
     """The texts of a page in the chosen slots of its wrapper, in page order."""
-    out: list[str] = []
-
-    def walk(page: list, w: list) -> None:
-        kids, w_kids = page[CHILDREN], w[CHILDREN]
-        runs: list[list] = []  # children as the fold groups them
-        for c in kids:
-            flow = _flow(c[LABEL])
-            label = "()" if flow else c[LABEL]
-            if runs and runs[-1][LABEL] == label:
-                runs[-1][CHILDREN].append(c)
-            else:
-                runs.append([label, [c]])
-        if _is_row(w_kids):
-            runs = [[ROW, kids]]
-        for run, slot in aligned(runs, w_kids):
-            if run is None or slot is None:
-                continue
-            options = {x[LABEL]: x for x in slot[CHILDREN]} if slot[LABEL] in GROUPS else None
-            for c in run[CHILDREN]:
-                s = options.get(c[LABEL]) if options is not None else slot
-                if s is None:
-                    continue
-                if c[LABEL] == "#":
-                    if s[OPTIONAL] == "keep":
-                        out.append(c[TEXT])
-                else:
-                    walk(c, s)
-
-    walk(tree, wrapper)
-    return out
+    met = _met(tree, wrapper)
+    listed = [_containers(met, kind) for kind in KINDS]
+    for chosen in listed:
+        if texts := [c for m in chosen for c in _texts(m, True, [])]:
+            break
+    else:
+        texts = [] if any(listed) else _heaviest(met)  # a container that holds text on other pages is empty here
+    return [c[NODE][TEXT] for c in texts]
 
 
 def _fold_pages(batches):
