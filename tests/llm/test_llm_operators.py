@@ -158,6 +158,16 @@ def test_each_page_of_a_host_has_its_own_container():
     assert got == ["one", "two", "three", "four", "", "five", ""]
 
 
+def test_copies_of_a_page_are_one_page():
+    page = "<h1>Head</h1><div class=x><p>one</p><p>two</p></div><footer>{}</footer>"
+    assert texts_of(*[page.format("f")] * 9) == ["Head\none\ntwo"] * 9
+    assert texts_of(*(page.format(k) + f"<!-- {k} -->" for k in range(9))) == ["Head\none\ntwo"] * 9
+    assert texts_of(*["<div>only</div>"] * 7, *["<p>other</p>"] * 7) == ["only"] * 7 + ["other"] * 7
+    assert texts_of(*(f"<div><h1>Site</h1></div><section><p>text {k}</p></section>" for k in range(9))) == [f"text {k}" for k in range(9)]
+    same = [f"<div>alike</div><nav>{k}</nav><aside>{k}</aside>" for k in range(9)]
+    assert texts_of(*same) == ["alike"] * 9
+
+
 def test_pages_of_the_tables_give_their_articles(spark):
     import html
 

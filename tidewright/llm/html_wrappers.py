@@ -12,7 +12,8 @@ seen.
 A page is then aligned with the finished wrapper of its host, and the slots of its article are chosen among those it
 has: those in its article elements, else in main, else in an element whose role says content, else in the element whose
 slots hold most text over all pages, less everything that is or stands in a menu, footer, sidebar, notice, advert, form,
-script, style or comment section, less (in the last case) texts that are the same on every page. The texts in chosen
+script, style or comment section, less (in the last case) texts that are the same on every page, where at
+least SAME_PAGES distinct pages have them and others vary. The texts in chosen
 slots are the text of the page.
 
 Defined cases: a null html is an empty page with empty text; a null url or one without host belongs to the host ''; repeated
@@ -22,6 +23,7 @@ elements end with their parent or the page; an empty table has no rows; other co
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -62,7 +64,7 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: labels of groups: a run of flow elements, and a whole row of children
 RUN, ROW = GROUPS = ("()", "(*)")
-LABEL, CHILDREN, REPEATED, OPTIONAL, PAGES, MASS, TEXT = range(7)
+LABEL, CHILDREN, REPEATED, OPTIONAL, PAGES, MASS, TEXT, SEEN = range(8)
 
 
 def _role(word: str) -> str | None:
@@ -88,12 +90,15 @@ def roles(attributes: str) -> str:
 
 
 def node(label: str) -> list:
-    return [label, [], False, False, 1, 0, None]
+    return [label, [], False, False, 1, 0, None, []]
 
 
 def page_tree(source: str | None) -> list:
-    """Tree of the block elements of a page; texts are leaves labelled ``#``, white space folded, references decoded."""
+    """Tree of the block elements of a page; texts are leaves labelled ``#``, white space folded, references decoded.
+
+    Every leaf knows the page by a digest of its texts, those of dropped elements left out, so that copies are one page."""
     root = node("page")
+    leaves: list[list] = []
     stack, names, text = [root], [""], []
 
     def flush() -> None:
@@ -104,6 +109,7 @@ def page_tree(source: str | None) -> list:
                 leaf = node("#")
                 leaf[MASS], leaf[TEXT] = len(words), words
                 stack[-1][CHILDREN].append(leaf)
+                leaves.append(leaf)
 
     def close(to: int) -> None:
         flush()
@@ -150,6 +156,9 @@ def page_tree(source: str | None) -> list:
         else:
             stack.append(stack[-1])
     flush()
+    digest = hashlib.blake2b("\n".join(c[NODE][TEXT] for c in _texts(_met(root, None), False, [])).encode("utf-8", "surrogatepass"), digest_size=6)
+    for leaf in leaves:
+        leaf[SEEN] = [int.from_bytes(digest.digest(), "little")]
     return root
 
 
@@ -213,6 +222,7 @@ def _into_group(group: list, c: list) -> None:
 def merged(a: list, b: list) -> list:
     """The least general wrapper of the kind that covers two wrappers of one label."""
     same = a[TEXT] if a[TEXT] == b[TEXT] else None
+    seen = a[SEEN] if a[SEEN] == b[SEEN] else sorted({*a[SEEN], *b[SEEN]})[:SAME_PAGES]  # distinct pages, as far as they matter
     children = []
     if a[LABEL] in GROUPS:
         group = node(a[LABEL])
@@ -231,7 +241,7 @@ def merged(a: list, b: list) -> list:
                 children.append(only)
         if len(children) > MAX_CHILDREN:
             children = _fold(children)
-    return [a[LABEL], children, a[REPEATED] or b[REPEATED], a[OPTIONAL] or b[OPTIONAL], a[PAGES] + b[PAGES], a[MASS] + b[MASS], same]
+    return [a[LABEL], children, a[REPEATED] or b[REPEATED], a[OPTIONAL] or b[OPTIONAL], a[PAGES] + b[PAGES], a[MASS] + b[MASS], same, seen]
 
 
 def aligned(x: list, y: list) -> list[tuple]:
@@ -282,11 +292,11 @@ def _mass(w: list, inside: bool = False) -> int:
 
 
 def choose(wrapper: list) -> None:
-    """Mark the slots whose text varies or is met too seldom to say: their OPTIONAL field becomes "keep"."""
+    """Mark the slots whose text varies or is on too few distinct pages to say: their OPTIONAL field becomes "keep"."""
     for c in wrapper[CHILDREN]:
         if c[LABEL] != "#":
             choose(c)
-        elif c[TEXT] is None or c[PAGES] < SAME_PAGES:
+        elif c[TEXT] is None or len(c[SEEN]) < SAME_PAGES:
             c[OPTIONAL] = "keep"
 
 
@@ -357,7 +367,8 @@ def _total(mets: list, wanted) -> int:
 
 def _heaviest(met: tuple) -> list:
     """Texts of the element that still holds nearly all of the mass in the slots of the page."""
-    here, wanted = [met], _varies
+    vary = any(c[SLOT] and c[SLOT][TEXT] is None for c in _texts(met, False, []))  # else the host has one text, however often
+    here, wanted = [met], _varies if vary else lambda c: True
     while True:
         total = _total(here, wanted)
         groups: dict[int, list] = {}  # elements of one slot
