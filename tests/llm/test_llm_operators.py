@@ -168,6 +168,21 @@ def test_copies_of_a_page_are_one_page():
     assert texts_of(*same) == ["alike"] * 9
 
 
+def test_elements_below_the_depth_limit_keep_their_part():
+    inner = ("<nav>m</nav><div class=content><main>before<article><header>H</header><p>one</p><div class=ad><article>x</article></div><form><p>f</p></form>"
+             "<div><div><p>two</p></div></div></article></main></div><footer>f</footer>")
+    for depth in (0, 30, 39, 40, 41, 60, 3000):
+        assert texts_of("<div>" * depth + inner) == ["H\none\ntwo"]
+        assert texts_of("<div>" * depth + "<p>a</p><aside>no</aside><main>b</main>c") == ["b"]
+        assert texts_of("<div>" * depth + "<p>a</p><aside>no<div>no</div></aside><div class=menu>no</div>c") == ["a\nc"]
+        assert texts_of("<div>" * depth + "<article>" * 3000 + "deep") == ["deep"]
+
+
+def test_formulas_and_labels_of_an_article_are_text():
+    page = "<article><p>where <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds <button>here</button></p><label>L</label><svg><text>S</text></svg>{}</article>"
+    assert texts_of(page.format("<form><label>no</label><math>no</math></form><nav><svg>no</svg></nav>")) == ["where x=1 holds here\nLS"]
+
+
 def test_pages_of_the_tables_give_their_articles(spark):
     import html
 

@@ -17,8 +17,8 @@ least SAME_PAGES distinct pages have them and others vary. The texts in chosen
 slots are the text of the page.
 
 Defined cases: a null html is an empty page with empty text; a null url or one without host belongs to the host ''; repeated
-rows each get a row; elements nested deeper than a limit join the element at that depth, with all their text; unclosed
-elements end with their parent or the page; an empty table has no rows; other columns are left out.
+rows each get a row; elements nested deeper than a limit join the element at that depth, with all their text, except the outermost
+dropped ones and containers of the article there, which stay elements; unclosed elements end with their parent or the page; an empty table has no rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -43,10 +43,10 @@ SAME_PAGES = 5
 
 #: fixed values: HTML element names by the part they play
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption hr address details summary".split())
-SECTIONS = frozenset("html body div section article main header footer nav aside form fieldset center noscript template iframe object select option button textarea label dialog menu svg math head title".split())
+SECTIONS = frozenset("html body div section article main header footer nav aside form fieldset center noscript template iframe select option textarea dialog menu head title".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
-DROPPED = frozenset("script style nav footer aside form fieldset noscript template iframe object select option button textarea label dialog menu svg math head title".split())
+DROPPED = frozenset("script style nav footer aside form fieldset noscript template iframe select option textarea dialog menu head title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: fixed values: role words in class, id and role attributes
 BAD_ROLES = frozenset(
@@ -99,7 +99,7 @@ def page_tree(source: str | None) -> list:
     Every leaf knows the page by a digest of its texts, those of dropped elements left out, so that copies are one page."""
     root = node("page")
     leaves: list[list] = []
-    stack, names, text = [root], [""], []
+    stack, names, parts, text = [root], [""], [(0, False)], []
 
     def flush() -> None:
         if text:
@@ -113,7 +113,7 @@ def page_tree(source: str | None) -> list:
 
     def close(to: int) -> None:
         flush()
-        del stack[to:], names[to:]
+        del stack[to:], names[to:], parts[to:]
 
     source, at = source or "", 0
     while at < len(source):
@@ -149,8 +149,11 @@ def page_tree(source: str | None) -> list:
                     if by is None or not set(names[place + 1:]) & {"ul", "ol", "dl", "table"}:
                         close(place)
         names.append(name)
-        if len(stack) <= MAX_DEPTH:
-            child = node(f"{name}.{marks}" if marks else name)
+        label = f"{name}.{marks}" if marks else name
+        rank, gone = parts[-1]
+        parts.append((max(rank, _rank(label)), gone or _dropped(label, rank > 0)))
+        if len(stack) <= MAX_DEPTH or not gone and parts[-1] != (rank, gone):  # deeper ones only where they change the part of their text
+            child = node(label)
             stack[-1][CHILDREN].append(child)
             stack.append(child)
         else:
@@ -162,6 +165,11 @@ def page_tree(source: str | None) -> list:
     return root
 
 
+def _rank(label: str) -> int:
+    """The place of an element among the kinds of container, 0 for none."""
+    return next((len(KINDS) - k for k, kind in enumerate(KINDS) if kind(label)), 0)
+
+
 def _flow(label: str) -> bool:
     return label == "#" or label == "()" or label.split(".")[0] in FLOW
 
