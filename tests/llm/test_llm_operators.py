@@ -260,6 +260,45 @@ def test_licences_and_their_inheritance(spark):
     assert got[5] == ("Apache-2.0", "Apache-2.0", None) and got[6] == got[7] == got[8] == (None, None, None)
 
 
+def test_whole_wordings_and_headers(spark):
+    def wording(name):
+        with open(f"{license_scan.WORDINGS}/{name}.txt", encoding="utf-8") as f:
+            return f.read()
+
+    redistribution = """Copyright (c) 2019, Some Body and others. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+* Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE AUTHOR AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE AUTHOR OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+    third = "* Neither the name of Some Body nor the names of other contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+    isc = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+    gpl = """Copyright (C) 2001 A. Uthor <a@example.org>
+
+frob is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version {} of the License, or
+(at your option) any later version.
+
+frob is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+    hashed = "\n".join(f"# {x}" for x in gpl.format(3).split("\n"))
+    rows = [("BSD-2-Clause", "a/LICENSE", redistribution.format("")), ("BSD-3-Clause", "b/COPYING", redistribution.format(third)), ("ISC", "c/LICENSE", isc),
+            ("GPL-2.0", "d/COPYING", wording("GPL-2.0")), ("GPL-3.0", "e/COPYING", wording("GPL-3.0")), ("AGPL-3.0", "f/COPYING", wording("AGPL-3.0")),
+            ("MIT", "g/LICENSE.md", " ".join(wording("MIT").split())), ("GPL-2.0", "h/a.c", f"/* {gpl.format(2)}\n */\nint x;"), ("GPL-3.0", "h/b.py", f"#!/bin/python\n{hashed}\n\nx = 1\n"),
+            ("BSD-3-Clause", "h/c.c", "//" + redistribution.format(third).replace("\n", "\n// ") + "\nint y;"), (None, "h/d.py", "# sums numbers\nx = 1"), (None, "h/e.c", "/* open"),
+            ("BSD-3-Clause", "b/f", "# no word of it"), (None, None, isc)]
+    rows = [(i, *r[1:], r[0]) for i, r in enumerate(rows)]
+    frame = spark.createDataFrame(rows, "doc_id long, path string, text string, want string")
+    got = {r.doc_id: r.license for r in license_scan.scan(frame).collect()}
+    assert got == {r[0]: r[3] for r in rows}
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------------
 
 def test_quality_of_held_out_documents(spark):

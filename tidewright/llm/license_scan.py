@@ -1,9 +1,11 @@
 """Licence scan: TF-IDF cosine of licence statements to templates, then inheritance from the nearest ancestor directory.
 
-In DataFrame expressions only. Lines that speak of a licence (headers, and the lines of licence files) are candidates;
+In DataFrame expressions only. The whole text of a licence file and the whole leading comment of any other file are
+compared with the licences' full wordings and usual headers, fixed lists too, with document frequencies over those
+wordings and damped counts of terms; what resembles one closely is the file's own licence. Else lines decide: lines that speak of a licence (headers, and the lines of licence files) are candidates;
 each distinct one is a sparse TF-IDF vector, with document frequencies over all candidate lines of the corpus, and is
-compared with the vectors of a fixed list of templates by a join on terms. A file's own licence is the best template of
-its statements. The licence of a directory comes from its licence file (LICENSE, LICENCE, COPYING, NOTICE; of several
+compared with the vectors of a fixed list of templates by a join on terms; the best template of a file's statements is
+its own licence. The licence of a directory comes from its licence file (LICENSE, LICENCE, COPYING, NOTICE; of several
 the first by path that has a licence), and a file without a licence of its own takes that of the nearest directory
 above it, found by a join of its ancestor paths with directories.
 
@@ -16,6 +18,11 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
+import os
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +44,35 @@ TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MPL-2.0", "This file is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
+#: fixed values: full wordings, a file each, and the usual headers of files
+WORDINGS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "licenses")
+_GNU = (
+    "{0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation; "
+    "either version {2} of the License, or (at your option) any later version. ", "{0} is distributed in the hope that it will be useful, but WITHOUT ANY "
+    "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} for more details. ",
+    "You should have received a copy of the GNU {1} along with {0}; if not, {3}.")
+_LINK, _POST = "see https://www.gnu.org/licenses", "write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"
+HEADERS = (
+    *((name, "".join(_GNU[:k]).format(f"this {what}", kind, version, where)) for k, where in ((1, ""), (2, ""), (3, _LINK), (3, _POST)) for name, what, kind, version in (
+        ("AGPL-3.0", "program", "Affero General Public License", "3"), ("GPL-2.0", "program", "General Public License", "2"),
+        ("GPL-3.0", "program", "General Public License", "3"), ("LGPL-2.0", "library", "Library General Public License", "2"),
+        ("LGPL-2.1", "library", "Lesser General Public License", "2.1"), ("LGPL-3.0", "library", "Lesser General Public License", "3"))),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
+     "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software "
+     "distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+     "See the License for the specific language governing permissions and limitations under the License."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+     "You can obtain one at https://mozilla.org/MPL/2.0/."),
+)
 CUE = "[Ll][Ii][Cc][Ee][Nn][SsCc][Ee]|[Cc][Oo][Pp][Yy][Rr][Ii][Gg][Hh][Tt]|SPDX|[Pp]ublic [Dd]omain"
 TERM = "[a-z0-9]+"
 FILE = r"(^|/)(LICENSE|LICENCE|COPYING|NOTICE)[^/]*$"
 LEAST = 0.6
+LEAST_WHOLE = 0.75
+#: the leading comment of a file: a block up to its end mark, or lines that begin with a mark
+_BLOCK = r"(?s)\A(?:#![^\n]*\n)?\s*+(?:/\*(.*?)\*/|<!--(.*?)-->|\"\"\"(.*?)\"\"\"|'{3}(.*?)'{3}|\{-(.*?)-\}|\(\*(.*?)\*\))"
+_HOLDER = r"(?im)^.{0,120}?copyright\s*(?:\(c\)|\u00a9|[0-9]{4}).{0,120}$"  # who holds the rights is no wording of a licence
+_MARKED = r"^\s*+(?:$|#|//|--|;|%|!|\*|'|\"|(?i:rem|dnl)\b|\.\\\\\")"
 _SALTS = 32
 
 
@@ -71,13 +103,57 @@ def _matches(lines: DataFrame) -> DataFrame:
     return best.select("line", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
 
 
+def _body(path: Column, text: Column) -> Column:
+    """What is compared as a whole: a licence file's text, or another file's leading comment; null without one."""
+    block = F.concat_ws(" ", *(F.regexp_extract(text, _BLOCK, k) for k in range(1, 7)))
+    lines = F.split(text, "\n", -1)
+    first = F.array_position(F.transform(lines, lambda x: x.rlike(_MARKED)), False)
+    marked = F.array_join(F.when(first == 0, lines).otherwise(F.slice(lines, F.lit(1), F.greatest(first - 1, F.lit(0)).cast("int"))), "\n")
+    body = F.when(path.rlike(FILE), text).when(text.rlike(_BLOCK), block).when(text.rlike(_MARKED), marked)
+    return F.when(body.rlike("(?i)[a-z0-9]"), F.regexp_replace(body, _HOLDER, ""))
+
+
+def _wordings() -> list[tuple[str, str]]:
+    names = sorted(n for n in os.listdir(WORDINGS) if n.endswith(".txt"))
+    full = []
+    for n in names:
+        with open(os.path.join(WORDINGS, n), encoding="utf-8") as f:
+            full.append((n.removesuffix(".txt"), f.read()))
+    return [*full, *HEADERS]
+
+
+def _whole(bodies: DataFrame) -> DataFrame:
+    """(key, license, score) of every (key, body) that resembles a full wording or a header as a whole."""
+    wordings = [(name, Counter(re.findall(TERM, re.sub(_HOLDER, "", text).lower()))) for name, text in _wordings()]
+    df = Counter(t for _, c in wordings for t in c)
+    idf = {t: math.log((1 + len(wordings)) / (1 + n)) + 1 for t, n in df.items()}
+    theirs: dict[str, list] = {t: [] for t in idf}
+    for k, (_, counts) in enumerate(wordings):
+        w = {t: (1 + math.log(n)) * idf[t] for t, n in counts.items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        for t, x in w.items():
+            theirs[t].append((k, x / norm))
+    spark = bodies.sparkSession
+    terms = spark.createDataFrame([(t, idf[t], theirs[t]) for t in sorted(idf)], "term string, idf double, theirs array<struct<k: int, u: double>>")
+    names = spark.createDataFrame([(k, name) for k, (name, _) in enumerate(wordings)], "k int, license string")
+    counted = bodies.select("key", F.explode(_terms(F.col("body"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
+    ours = counted.join(F.broadcast(terms), "term", "left").select(  # terms of the fixed lists
+        "key", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(math.log(1 + len(wordings)) + 1))).alias("w"), "theirs")
+    norms = ours.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = ours.select("key", "w", F.explode("theirs").alias("t")).groupBy("key", F.col("t.k").alias("k")).agg(F.sum(F.col("w") * F.col("t.u")).alias("dot"))
+    scores = dots.join(norms, "key").withColumn("score", F.col("dot") / F.col("norm")).where(F.col("score") >= LEAST_WHOLE).join(F.broadcast(names), "k")
+    best = scores.groupBy("key").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "license")).alias("b"))
+    return best.select("key", F.col("b.license").alias("whole_license"), (-F.col("b.s")).alias("whole_score"))
+
+
 def scan(files: DataFrame) -> DataFrame:
     """(doc_id, path, n_statements, own_license, score, license, inherited_from) of every row of (doc_id, path, text)."""
     text = F.coalesce("text", F.lit(""))
     statements = F.when(text.rlike(CUE), F.filter(F.split(text, "\n", -1), lambda x: x.rlike(CUE)))
     compact = stored(files.select(
         "doc_id", "path", F.monotonically_increasing_id().alias("row"),
-        F.coalesce(statements, F.array().cast("array<string>")).alias("lines")), "statements")
+        F.coalesce(statements, F.array().cast("array<string>")).alias("lines"), _body(F.coalesce("path", F.lit("")), text).alias("body"))
+        .withColumn("key", F.sha2("body", 256)), "statements")
     each = compact.select("row", F.explode("lines").alias("line"))
     matched = _matches(each.groupBy("line").agg(F.count("*").alias("n")))
     salted = matched.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
@@ -85,8 +161,14 @@ def scan(files: DataFrame) -> DataFrame:
         each.withColumn("salt", F.pmod("row", F.lit(_SALTS)).cast("int")).join(salted, ["line", "salt"])
         .groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
     )
-    rows = compact.select("row", "doc_id", "path", F.size("lines").alias("n_statements")).join(found, "row", "left").select(
-        "row", "doc_id", "path", "n_statements", F.col("b.license").alias("own_license"), (-F.col("b.s")).alias("score"))
+    bodies = compact.where("key is not null").groupBy("key").agg(F.first("body").alias("body"))  # one of each, equal ones differ in nothing
+    alike = _whole(bodies).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    whole = compact.where("key is not null").select("row", "key", F.pmod("row", F.lit(_SALTS)).cast("int").alias("salt")).join(alike, ["key", "salt"])
+    rows = (
+        compact.select("row", "doc_id", "path", F.size("lines").alias("n_statements")).join(found, "row", "left")
+        .join(whole.select("row", "whole_license", "whole_score"), "row", "left")
+        .select("row", "doc_id", "path", "n_statements", F.coalesce("whole_license", "b.license").alias("own_license"), F.coalesce("whole_score", -F.col("b.s")).alias("score"))
+    )
     rows = stored(rows, "own_licenses")
     folder = F.regexp_replace("path", "/?[^/]*$", "")
     directories = (
