@@ -299,6 +299,14 @@ GNU General Public License for more details."""
     assert got == {r[0]: r[3] for r in rows}
 
 
+def test_an_unknown_licence_file_stops_inheritance(spark):
+    rows = [(1, "LICENSE", "Released under the MIT License."), (2, "v/LICENSE", "All rights are ours, ask us."), (3, "v/a/x", "code"), (4, "v/b/COPYING", None), (5, "v/b/y", ""),
+            (6, "w/x", "code"), (7, "v/c/LICENSE", "Licensed under the Apache License, Version 2.0."), (8, "v/c/NOTICE", "names"), (9, "v/c/z", "code"), (10, "vx/q", "code")]
+    got = {r.doc_id: (r.license, r.inherited_from) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {1: ("MIT", None), 2: (None, None), 3: ("unknown", "v"), 4: (None, None), 5: ("unknown", "v/b"), 6: ("MIT", ""), 7: ("Apache-2.0", None),
+                   8: ("Apache-2.0", "v/c"), 9: ("Apache-2.0", "v/c"), 10: ("MIT", "")}
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------------
 
 def test_quality_of_held_out_documents(spark):

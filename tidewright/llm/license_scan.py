@@ -6,12 +6,12 @@ wordings and damped counts of terms; what resembles one closely is the file's ow
 each distinct one is a sparse TF-IDF vector, with document frequencies over all candidate lines of the corpus, and is
 compared with the vectors of a fixed list of templates by a join on terms; the best template of a file's statements is
 its own licence. The licence of a directory comes from its licence file (LICENSE, LICENCE, COPYING, NOTICE; of several
-the first by path that has a licence), and a file without a licence of its own takes that of the nearest directory
+the first by path that has a licence; "unknown" where none of them matches anything), and a file without a licence of its own takes that of the nearest directory
 above it, found by a join of its ancestor paths with directories.
 
 Lines are compared once however many files share them, and matches return to files by a salted join on the line.
 
-Defined cases: null or empty texts have no statement; a null path has no directory and inherits nothing; equal scores
+Defined cases: a licence file that matches nothing has no licence, and what lies below it does not look further up; null or empty texts have no statement; a null path has no directory and inherits nothing; equal scores
 take the first template by name; files of one path each keep a row, equal rows too; an empty table has no rows; extra
 columns are ignored.
 """
@@ -69,9 +69,10 @@ TERM = "[a-z0-9]+"
 FILE = r"(^|/)(LICENSE|LICENCE|COPYING|NOTICE)[^/]*$"
 LEAST = 0.6
 LEAST_WHOLE = 0.75
+UNKNOWN = "unknown"
 #: the leading comment of a file: a block up to its end mark, or lines that begin with a mark
 _BLOCK = r"(?s)\A(?:#![^\n]*\n)?\s*+(?:/\*(.*?)\*/|<!--(.*?)-->|\"\"\"(.*?)\"\"\"|'{3}(.*?)'{3}|\{-(.*?)-\}|\(\*(.*?)\*\))"
-_HOLDER = r"(?im)^.{0,120}?copyright\s*(?:\(c\)|\u00a9|[0-9]{4}).{0,120}$"  # who holds the rights is no wording of a licence
+_HOLDER = r"(?im)^.{0,120}?copyright\s*(?:\(c\)|\u00a9|[0-9]{4}).{0,120}$|^\s{0,9}#!.*$|^.{0,40}-\*-.*-\*-.*$"  # holders, interpreters and modes are no wording
 _MARKED = r"^\s*+(?:$|#|//|--|;|%|!|\*|'|\"|(?i:rem|dnl)\b|\.\\\\\")"
 _SALTS = 32
 
@@ -172,8 +173,9 @@ def scan(files: DataFrame) -> DataFrame:
     rows = stored(rows, "own_licenses")
     folder = F.regexp_replace("path", "/?[^/]*$", "")
     directories = (
-        rows.where(F.col("path").rlike(FILE) & F.col("own_license").isNotNull()).groupBy(folder.alias("folder"))
-        .agg(F.min(F.struct("path", "own_license")).alias("first")).select("folder", F.col("first.own_license").alias("folder_license"))
+        rows.where(F.col("path").rlike(FILE)).groupBy(folder.alias("folder"))
+        .agg(F.min(F.struct(F.col("own_license").isNull().alias("without"), "path", "own_license")).alias("first"))
+        .select("folder", F.coalesce("first.own_license", F.lit(UNKNOWN)).alias("folder_license"))
     )
     parts = F.split(folder, "/")
     above = F.when(folder == "", F.array(F.lit(""))).otherwise(F.concat(
@@ -184,7 +186,9 @@ def scan(files: DataFrame) -> DataFrame:
         wanting.withColumn("salt", F.pmod("row", F.lit(_SALTS)).cast("int")).join(spread, ["folder", "salt"])
         .groupBy("row").agg(F.max(F.struct(F.length("folder").alias("depth"), "folder", "folder_license")).alias("near"))
     )
-    return rows.join(inherited, "row", "left").select(
+    itself = F.col("path").rlike(FILE) & (F.col("near.folder_license") == UNKNOWN)  # a licence file nobody knows inherits nothing
+    near = F.when(~F.coalesce(itself, F.lit(False)), F.col("near"))
+    return rows.join(inherited, "row", "left").withColumn("near", near).select(
         "doc_id", "path", F.col("n_statements").cast("long").alias("n_statements"), "own_license", F.round("score", 6).alias("score"),
         F.coalesce("own_license", "near.folder_license").alias("license"), F.col("near.folder").alias("inherited_from"))
 
