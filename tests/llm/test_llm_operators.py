@@ -507,6 +507,16 @@ def test_embedding_classes_equal_brute_force(spark, monkeypatch):
     assert embedding_join.near_duplicates(frame.where("vec_id >= 800 and vec_id < 803")).count() == 3
 
 
+def test_embeddings_of_every_length_are_joined(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(12)] + [(20 + i, [3.0, 4.0, 0.01 * i]) for i in range(4)] + [(30, [1.0, 0.0]), (31, [0.0, 1.0]), (32, [2.0, 0.0])]
+    rows += [(40, [5.0] * 5), (41, None), (42, [0.0] * 3), (43, [2.0]), (44, [7.0])]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_join.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    want = {i: (0, i, True) for i, _ in rows} | {20 + i: (3, 20, i == 0) for i in range(4)}
+    want |= {30: (1, 30, True), 32: (1, 30, False), 43: (1, 43, True), 44: (1, 43, False)}
+    assert got == want
+
+
 # --- the pipeline ----------------------------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, tmp_path, documents):

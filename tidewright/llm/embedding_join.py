@@ -9,8 +9,8 @@ task goes on halving both sides the same way and compares what is left by matrix
 Equal vectors are one vector with a weight, so copies are never compared. A pair of intervals returns link counts and
 a spanning forest of its links, not the links themselves.
 
-Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and those whose length is not
-the most frequent one (the shortest of equally frequent ones), link with nothing; each row keeps a row, repeated ids are
+Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors link
+with those of their own length only, each length in a join of its own; each row keeps a row, repeated ids are
 separate rows that may link and take the same component; a row without id links but is nobody's component; an empty
 table has no rows; other columns, labels too, are left out.
 """
@@ -207,12 +207,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, column: str = "emb
     if exact == "<f8":
         given = given.withColumn("v", F.col("v").cast("array<double>"))
     usable = given.where(_usable())
-    sizes = usable.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
-    if not sizes:
-        return given.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    size = sizes[0][0]
+    sizes = [r[0] for r in usable.groupBy(F.size("v").alias("size")).count().where("count > 1").orderBy("size").collect()]  # a lone vector has no partner
+    joined = F.coalesce(_usable() & F.size("v").isin(sizes), F.lit(False))
+    out = given.where(~joined).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    for size in sizes:
+        out = out.unionByName(_linked(usable.where(F.size("v") == size), size, named, exact, cosine, epsilon))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def _linked(usable: DataFrame, size: int, named, exact: str, cosine: float, epsilon: float) -> DataFrame:
+    """(vec_id, n_links, component_id) of the rows of usable vectors of one length."""
     rows_kind = f"vec_id long, v array<{'float' if exact == '<f4' else 'double'}>, cls long"
-    rows = usable.where(F.size("v") == size).select("vec_id", "v").mapInArrow(named, rows_kind)
+    rows = usable.select("vec_id", "v").mapInArrow(named, rows_kind)
     members = stored(rows.select("vec_id", "cls"), "members")
     weights = members.groupBy("cls").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"))
     first = rows.select("cls", "v").dropDuplicates(["cls"])
@@ -243,6 +249,4 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, column: str = "emb
     )
     least = classes.groupBy("part").agg(F.min("least").alias("component_id"))
     known = classes.join(least, "part").select("cls", "component_id", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    linked = members.join(known, "cls").select("vec_id", "n_links", "component_id")
-    rest = given.where(~(_usable() & (F.size("v") == size))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return members.join(known, "cls").select("vec_id", "n_links", "component_id")
