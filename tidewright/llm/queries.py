@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import chat, decontaminate, embedding_join, html_wrappers, jaccard_join, language_id, license_scan, packing, quality, secret_scan
+from tidewright.llm import (
+    chat, decontaminate, divergence, embedding_join, html_wrappers, jaccard_join, language_id, license_scan, outliers, packing, quality, secret_scan, spelling,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +113,22 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates of all embeddings at cosine 0.95."""
     return embedding_join.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among all words of at least seven letters; one in 31 words of a document lost a letter."""
+    found = spelling.variants(table(spark, sf_dir, "documents"), shortest=7, least=2, times=10, every=31)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op12_source_divergence", divergence.oracle())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source from the others of its language, and its 50 terms most overused."""
+    return divergence.audit(table(spark, sf_dir, "documents"), least=30, top=50)
+
+
+@query("op13_quality_rules")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed limits and robust outliers per language and source, for every document."""
+    return outliers.judge(table(spark, sf_dir, "documents"))
