@@ -116,9 +116,9 @@ def test_residual_boost_weight_is_the_best_listed(spark):
     rows = []
     for i in range(600):
         f = rng.normal()
-        rows.append((i, [float(f)], 0.0, float(np.sign(f) + rng.normal(0, 0.1))))
-    df = spark.createDataFrame(rows, "i long, features array<double>, ridge_m double, observed_m double")
-    fused, weights = linear.residual_boost(df, F.col("i") < 400, F.col("i") >= 400, rounds=3)
+        rows.append(("a", i, [float(f)], 0.0, float(np.sign(f) + rng.normal(0, 0.1))))
+    df = spark.createDataFrame(rows, "station_id string, i long, features array<double>, ridge_m double, observed_m double")
+    fused, weights = linear.residual_boost(df, F.col("i") < 400, F.col("i") >= 400, origin="i", rounds=3)
     best = weights.first()
     held = [(r.observed_m, r.ridge_m, r.correction, r.fused_m) for r in fused.where(F.col("i") >= 400).collect()]
     rmse = {w: np.sqrt(np.mean([(b + w * c - o) ** 2 for o, b, c, _ in held])) * 100 for w in linear.CORRECTION_WEIGHTS}

@@ -7,8 +7,6 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-# at this scale no origin has a complete window, and trees cannot be fitted to nothing
-NEEDS_MORE_ROWS = {"boosted_direct"}
 
 
 @pytest.fixture(scope="module")
@@ -27,8 +25,6 @@ def rows(columns, values):
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, sql, name):
-    if name in NEEDS_MORE_ROWS:
-        pytest.skip("needs more rows")
     df = entry.queries()[name](spark, SF)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
     oracle = entry.oracle_sql().get(name)

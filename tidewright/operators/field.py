@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions.columns import EARTH_RADIUS_M, lon_distance, normalise_lon
+from tidewright.functions.columns import EARTH_RADIUS_M, finite, lon_distance, normalise_lon
 
 VARIABLES = ("U10", "V10", "MSL")
 
@@ -113,7 +113,7 @@ def regrid_bilinear(field: DataFrame, rows: int = 40, columns: int = 40) -> Data
 
 def field_moments(field: DataFrame, training: Column | None = None) -> DataFrame:
     """Mean and population std per variable over finite training cells; a std below 1e-8 becomes 1."""
-    v = F.col("value") if training is None else F.when(training, F.col("value"))
+    v = finite("value") if training is None else F.when(training, finite("value"))
     std = F.stddev_pop(v)
     return field.groupBy("variable").agg(
         F.count(v).alias("cells"), F.avg(v).alias("mean"), F.when(std < 1e-8, F.lit(1.0)).otherwise(std).alias("std")
@@ -134,8 +134,8 @@ def spatial_summary(field: DataFrame, variables: Sequence[str] = VARIABLES) -> D
 
 
 def field_audit(field: DataFrame, pressure: str = "MSL") -> DataFrame:
-    """Per variable: finite and missing cells, range and mean, and whether pressure looks like Pa."""
-    v = F.col("value")
+    """Per variable: finite cells and all others, range and mean of the finite, and whether pressure looks like Pa."""
+    v = finite("value")
     sane = F.when(
         F.col("variable") == pressure, (F.min(v) >= 80_000) & (F.max(v) <= 120_000)
     )
@@ -221,22 +221,28 @@ def forcing_unit_audit(metadata: DataFrame) -> DataFrame:
 
 
 def dataset_audit(targets: DataFrame, series: DataFrame, value: str = "surge_m", keys: Sequence[str] = ("station_id",)) -> DataFrame:
-    """Per key and year: hours, missing values and usable or skipped targets by reason.
+    """Hours, missing values and usable or skipped targets by reason: per key and year, per key, and overall.
+
+    ``level`` is ``year``, ``key`` or ``overall``; keys and year are null where a row sums over them. The totals come
+    from one rollup of the rows per year. A total is strictly hourly where each of its years is.
 
     ``targets`` comes from :func:`tidewright.operators.samples.valid_targets` applied with the year among
     its keys, so windows do not reach into the year before.
     """
     year = F.year("ts").alias("year")
     hours = series.groupBy(*keys, year).agg(
-        F.count("*").alias("hours"), F.count_if(F.col(value).isNull()).alias("missing_surge_hours"),
+        F.count("*").alias("hours"), F.count_if(finite(value).isNull()).alias("missing_surge_hours"),
         F.min("ts").alias("start"), F.max("ts").alias("end"),
         (F.max(F.unix_seconds("ts")) - F.min(F.unix_seconds("ts")) == (F.count("*") - 1) * 3600).alias("strictly_hourly"),
     )
     reason = F.col("skip_reason")
+    counted = ["valid_samples", *(f"skipped_{k}" for k in ("non_contiguous", "missing_atmosphere", "missing_surge"))]
     counts = targets.groupBy(*keys, year).agg(
-        F.count_if(reason.isNull()).alias("valid_samples"),
-        *[F.count_if(reason == k).alias(f"skipped_{k}") for k in ("non_contiguous", "missing_atmosphere", "missing_surge")],
-    )
-    return hours.join(counts, [*keys, "year"], "left").fillna(
-        0, ["valid_samples", "skipped_non_contiguous", "skipped_missing_atmosphere", "skipped_missing_surge"]
-    )
+        F.count_if(reason.isNull()).alias(counted[0]), *[F.count_if(reason == c.removeprefix("skipped_")).alias(c) for c in counted[1:]]
+    )
+    by_year = hours.join(counts, [*keys, "year"], "left").fillna(0, counted)
+    totals = by_year.rollup(F.struct(*keys).alias("_key"), "year").agg(
+        F.grouping_id().alias("_level"), *(F.sum(c).alias(c) for c in ("hours", "missing_surge_hours")), F.min("start").alias("start"),
+        F.max("end").alias("end"), F.every("strictly_hourly").alias("strictly_hourly"), *(F.sum(c).alias(c) for c in counted))
+    level = F.when(F.col("_level") == 0, "year").when(F.col("_level") == 1, "key").otherwise("overall")
+    return totals.select(level.alias("level"), *(F.col(f"_key.{k}").alias(k) for k in keys), *(c for c in totals.columns if c[0] != "_"))

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewright.operators import trees
+
 # Ridge penalties tried, the penalty used when none can be tried, and correction weights.
 ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 10_000.0, 100_000.0, 1_000_000.0)
 DEFAULT_ALPHA = 10.0
@@ -296,56 +298,34 @@ def recursive_from(
 # --- boosted trees ---------------------------------------------------------------------------------------
 
 
-def _vector(df: DataFrame, features: str) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
-
-    return df.withColumn("_vector", array_to_vector(F.col(features)))
-
-
-def boosted(rounds: int = 300, depth: int = 4, step: float = 0.05, rows: float = 0.8, columns: str = "0.7", seed: int = 42):
-    """Gradient-boosted trees with the usual settings (Spark's have no L2 leaf penalty)."""
-    from pyspark.ml.regression import GBTRegressor
-
-    return GBTRegressor(
-        featuresCol="_vector", labelCol="_label", predictionCol="_boost", maxIter=rounds, maxDepth=depth, stepSize=step,
-        subsamplingRate=rows, featureSubsetStrategy=columns, seed=seed,
-    )
-
-
 def boosted_direct(
-    df: DataFrame, training: Column, leads: Sequence[int], features: str = "features", targets: str = "labels", rounds: int = 300
+    df: DataFrame, training: Column, leads: Sequence[int], features: str = "features", targets: str = "labels",
+    keys: Sequence[str] = ("station_id",), origin: str = "origin", **settings,
 ) -> DataFrame:
-    """One tree ensemble per lead, trained on ``training`` rows and applied to all; rows keep their columns.
+    """One tree ensemble per key and lead, trained on ``training`` rows and applied to all; rows keep their columns.
 
-    Each fit is a distributed job; the loop runs over the few leads.
+    All ensembles grow in the same jobs (:func:`tidewright.operators.trees.fit`, which takes the ``settings``).
     """
-    vectors = _vector(df, features)
-    out: DataFrame | None = None
-    for position, lead in enumerate(leads):
-        labelled = vectors.withColumn("_label", F.get(targets, F.lit(position)))
-        model = boosted(rounds).fit(labelled.where(training & F.col("_label").isNotNull()).select("_vector", "_label"))
-        made = model.transform(labelled).withColumn("lead_hours", F.lit(int(lead)).cast("bigint")).withColumnRenamed("_boost", "predicted_m")
-        made = made.drop("_vector").withColumnRenamed("_label", "observed_m")
-        out = made if out is None else out.unionByName(made)
-    return out
+    labelled = F.explode(F.array(*(F.struct(F.lit(int(lead)).cast("bigint").alias("l"), F.get(targets, F.lit(i)).alias("y")) for i, lead in enumerate(leads))))
+    rows = df.withColumn("_label", labelled).withColumns({"lead_hours": F.col("_label.l"), "observed_m": F.col("_label.y")}).drop("_label")
+    group = [*keys, "lead_hours"]
+    return trees.predict(rows, trees.fit(rows.where(training), group, [origin], features, "observed_m", **settings), group, features)
 
 
 def residual_boost(
     df: DataFrame, training: Column, validation: Column, base: str = "ridge_m", observed: str = "observed_m", features: str = "features",
-    rounds: int = 300, weights: Sequence[float] = CORRECTION_WEIGHTS, keys: Sequence[str] = (),
+    weights: Sequence[float] = CORRECTION_WEIGHTS, keys: Sequence[str] = ("station_id",), origin: str = "origin", **settings,
 ) -> tuple[DataFrame, DataFrame]:
-    """Trees fitted to what an out-of-sample linear forecast misses, and the weight each group gives them.
+    """Trees per key, fitted to what an out-of-sample linear forecast misses, and the weight each key gives them.
 
     ``base`` must hold predictions made without the row itself on training rows. Returns rows with
     ``correction`` and ``fused_m``, and the weights. The squared error is quadratic in the weight, so three
     sums settle every candidate.
     """
-    with_base = df.withColumn("_inputs", F.concat(F.col(features), F.array(F.col(base))))
-    labelled = _vector(with_base, "_inputs").withColumn("_label", F.col(observed) - F.col(base))
-    model = boosted(rounds).fit(labelled.where(training & F.col("_label").isNotNull()).select("_vector", "_label"))
-    corrected = model.transform(labelled).withColumnRenamed("_boost", "correction").drop("_vector", "_inputs")
-    group = list(keys) or ["_all"]
-    rows = corrected if keys else corrected.withColumn("_all", F.lit(0))
+    group = list(keys)
+    labelled = df.withColumns({"_inputs": F.concat(F.col(features), F.array(F.col(base))), "_label": F.col(observed) - F.col(base)})
+    models = trees.fit(labelled.where(training), group, [origin], "_inputs", "_label", **settings)
+    rows = trees.predict(labelled, models, group, "_inputs", "correction").drop("_inputs")
     miss, c = F.col("_label"), F.col("correction")
     sums = rows.where(validation).groupBy(*group).agg(
         F.sum(miss * miss).alias("_mm"), F.sum(miss * c).alias("_mc"), F.sum(c * c).alias("_cc"), F.count(miss).alias("_n")
@@ -360,4 +340,4 @@ def residual_boost(
     fused = rows.join(best.select(*group, "correction_weight"), group).withColumn(
         "fused_m", F.col(base) + F.col("correction_weight") * F.col("correction")
     ).drop("_label", "correction_weight")
-    return (fused, best) if keys else (fused.drop("_all"), best.drop("_all"))
+    return fused, best

@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewright.functions.blocks import (
     BLOCK_HOURS,
@@ -220,43 +223,62 @@ def interpolate_time(
     return out.where(F.col("filled").isNotNull()) if drop_deep else out
 
 
+ACF_CHUNK = 1 << 15  # hours of a series that one task takes
+
+
 def acf(
     df: DataFrame, max_lag: int = 168, value: str = "surge_m", trim_tail: bool = True,
     keys: Sequence[str] = STATION, ts: str = "ts",
 ) -> DataFrame:
     """Autocorrelation per lag over pairs ``(t, t - lag)`` where both values are known.
 
-    ``trim_tail`` keeps the published definition, which also leaves out the last ``lag`` hours of the
-    axis. Rows are shuffled once, by block; each meets its past inside the block and the pairs fold into
-    per-lag sums before anything else is shuffled.
+    ``trim_tail`` keeps the published definition, which also leaves out the last ``lag`` hours of the axis. No pair is
+    ever a row: values, their squares and the mask of known hours are cross-correlated by FFT in padded blocks, whose
+    spectra are added before the inverse. A series is cut into chunks that also get the ``max_lag`` hours before them,
+    and the sums per lag of all chunks are added.
     """
     clean = df.select(*keys, hour_number(ts).alias("_h"), finite(value).alias("_v"))
     span = clean.groupBy(*keys).agg(F.max("_h").alias("_end"), F.avg("_v").alias("_mean"))
     # centring first keeps the sums of products numerically tame
-    centred = clean.where(F.col("_v").isNotNull()).join(span, list(keys)).withColumn("_v", F.col("_v") - F.col("_mean"))
-    past = halo_window(
-        centred, keys, "_h",
-        {"_past": lambda w: F.collect_list(F.struct("_h", "_v")).over(w.rangeBetween(-max_lag, 0))},
-        before=max_lag, block=max(BLOCK_HOURS, 4 * max_lag),
-    )
-    pairs = past.select(*keys, "_h", "_end", F.col("_v").alias("_x"), F.explode("_past").alias("_y")).select(
-        *keys, "_h", "_end", "_x", F.col("_y._v").alias("_y"), (F.col("_h") - F.col("_y._h")).alias("lag_hours")
-    )
-    if trim_tail:
-        pairs = pairs.where(F.col("_h") <= F.col("_end") - F.col("lag_hours"))
-    x, y = F.col("_x"), F.col("_y")
-    sums = pairs.groupBy(*keys, "lag_hours").agg(
-        F.count("*").alias("pair_count"),
-        F.covar_pop(x, y).alias("_cov"),
-        (F.stddev_pop(x) * F.stddev_pop(y)).alias("_scale"),
-    )
+    centred = clean.where(F.col("_v").isNotNull()).join(span, list(keys)).withColumn("_v", F.col("_v") - F.col("_mean")).drop("_mean")
+    first, last = F.floor(F.col("_h") / ACF_CHUNK), F.floor((F.col("_h") + max_lag) / ACF_CHUNK)
+    chunks = centred.withColumn("_chunk", F.explode(F.sequence(first, last)))
+    names, block = list(keys), 1 << max(10, (4 * max_lag).bit_length())
+    sums = [f"_s{i}" for i in range(6)]
+
+    def fold(rows):
+        chunk = rows["_chunk"][0].as_py() * ACF_CHUNK
+        h, v = rows["_h"].to_numpy() - chunk + max_lag, rows["_v"].to_numpy()
+        level, known = np.zeros(ACF_CHUNK + max_lag), np.zeros(ACF_CHUNK + max_lag)
+        level[h], known[h] = v, 1.0
+        late = level[max_lag:], known[max_lag:]  # the hours of this chunk; all hours may be the earlier of a pair
+        end = rows["_end"][0].as_py() - chunk
+        total = np.zeros((6, block + 1), complex)
+        for at in range(0, ACF_CHUNK, block):
+            if known[at + max_lag:at + block + max_lag].any():
+                x, m = (np.fft.rfft(a[at:at + block], 2 * block) for a in late)
+                y, k = (np.fft.rfft(a[at:at + block + max_lag], 2 * block) for a in (level, known))
+                xx, yy = np.fft.rfft(late[0][at:at + block] ** 2, 2 * block), np.fft.rfft(level[at:at + block + max_lag] ** 2, 2 * block)
+                total += np.conj([m, x, m, xx, m, x]) * [k, k, y, k, yy, y]
+        found = np.fft.irfft(total, 2 * block)[:, max_lag::-1].copy()  # from lag 0 up
+        if trim_tail:
+            for lag in range(1, max_lag + 1):  # take off the pairs of the last ``lag`` hours
+                t = np.arange(max(0, end - lag + 1), min(ACF_CHUNK, end + 1))
+                if len(t):
+                    x, m, y, k = late[0][t], late[1][t], level[t + max_lag - lag], known[t + max_lag - lag]
+                    found[:, lag] -= [m @ k, x @ k, m @ y, x * x @ k, m @ (y * y), x @ y]
+        head = {c: pa.array([rows[c][0].as_py()] * (max_lag + 1), rows[c].type) for c in names}
+        return pa.table({**head, "lag_hours": pa.array(np.arange(max_lag + 1)), **{c: pa.array(found[i]) for i, c in enumerate(sums)}})
+
+    schema = T.StructType([*(chunks.schema[k] for k in names), *T.StructType.fromDDL("lag_hours long, " + ", ".join(f"{c} double" for c in sums)).fields])
+    parts = chunks.groupBy(*keys, "_chunk").applyInArrow(fold, schema)
+    added = parts.groupBy(*keys, "lag_hours").agg(F.rint(F.sum("_s0")).cast("long").alias("pair_count"), *(F.sum(c).alias(c) for c in sums[1:]))
+    count = F.col("pair_count")
+    mean = {c: F.col(c) / count for c in sums[1:]}
+    spread = [F.when(v > 1e-12 * square, v) for v, square in ((mean["_s3"] - mean["_s1"] ** 2, mean["_s3"]), (mean["_s4"] - mean["_s2"] ** 2, mean["_s4"]))]
+    r = F.when(F.col("lag_hours") == 0, F.lit(1.0)).when(count >= 2, (mean["_s5"] - mean["_s1"] * mean["_s2"]) / F.sqrt(spread[0] * spread[1]))
     lags = span.select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max_lag).cast("bigint"))).alias("lag_hours"))
-    r = F.when(F.col("lag_hours") == 0, F.lit(1.0)).when(
-        F.col("pair_count") >= 2, F.col("_cov") / F.nullif(F.col("_scale"), F.lit(0.0))
-    )
-    return lags.join(sums, [*keys, "lag_hours"], "left").select(
-        *keys, "lag_hours", r.alias("acf"), F.coalesce("pair_count", F.lit(0)).alias("pair_count")
-    )
+    return lags.join(added, [*keys, "lag_hours"], "left").select(*keys, "lag_hours", r.alias("acf"), F.coalesce("pair_count", F.lit(0)).alias("pair_count"))
 
 
 # Lags shown in the summary and the levels whose first crossing is reported.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewright.functions.blocks import hour_number
-from tidewright.operators import bootstrap, linear, samples, tide
+from tidewright.operators import bootstrap, linear, samples, tide, trees
 from tidewright.plans import views
 from tidewright.plans.registry import n, query, r
 
@@ -128,16 +128,34 @@ def _(spark, sf):
     inputs = rows.select("station_id", "origin", "features")
     joined = base.drop("labels").join(inputs, ["station_id", "origin"]).withColumnRenamed("predicted_m", "ridge_m")
     year = F.year("origin")
-    fused, _weights = linear.residual_boost(joined, year < 2000, year == 2000, rounds=5, keys=["station_id"])
+    fused, _weights = linear.residual_boost(joined, year < 2000, year == 2000)
     return fused.select("station_id", "origin", "observed_m", "ridge_m", "correction", "fused_m")
 
 
 @query("boosted_direct")
 def _(spark, sf):
-    made = linear.boosted_direct(_samples(spark, sf), F.dayofmonth("origin") <= 20, LEADS, rounds=5)
+    made = linear.boosted_direct(_samples(spark, sf), F.dayofmonth("origin") <= 20, LEADS)
     return made.select("station_id", "origin", "lead_hours", "observed_m", "predicted_m")
 
 
+# one round of depth 1: every quantile cut of the level at the origin, and the penalised means of the best one
+@query("boosted_stump", f"""
+WITH t AS (SELECT station_id, lead_hours, x, y - avg(y) OVER (PARTITION BY station_id, lead_hours) AS g, avg(y) OVER (PARTITION BY station_id, lead_hours) AS base
+           FROM ar_samples WHERE day(origin) <= 20),
+c AS (SELECT DISTINCT station_id, lead_hours, unnest(quantile_disc(x, [{', '.join(f'{k}/64' for k in range(1, 64))}])) AS cut FROM t GROUP BY 1, 2),
+s AS (SELECT c.station_id, c.lead_hours, cut, max(base) AS base, sum(g) FILTER (WHERE x <= cut) AS lg, count(*) FILTER (WHERE x <= cut) AS ln, sum(g) FILTER (WHERE x > cut) AS rg,
+             count(*) FILTER (WHERE x > cut) AS rn, sum(g) AS ag, count(*) AS an FROM c JOIN t ON t.station_id = c.station_id AND t.lead_hours = c.lead_hours GROUP BY 1, 2, 3),
+b AS (SELECT *, row_number() OVER (PARTITION BY station_id, lead_hours ORDER BY round(lg ** 2 / (ln + 1) + rg ** 2 / (rn + 1), 6) DESC, cut) AS place FROM s WHERE rn > 0)
+SELECT station_id, lead_hours, {r('cut', 'cut')}, {r('lg / (ln + 1)', 'below')}, {r('rg / (rn + 1)', 'above')}, {r('base', 'base')}, {n('an', 'train_rows')} FROM b WHERE place = 1""")
+def _(spark, sf):
+    labelled = F.explode(F.array(*(F.struct(F.lit(k).cast("bigint").alias("lead_hours"), F.get("labels", F.lit(i)).alias("label")) for i, k in enumerate(LEADS))))
+    rows = _samples(spark, sf, 1).where(F.dayofmonth("origin") <= 20).select("station_id", "origin", "features", labelled.alias("l")).select("*", "l.*")
+    models = trees.fit(rows, ["station_id", "lead_hours"], ["origin"], rounds=1, depth=1, rate=1.0, rows=1.0, columns=1.0)
+    first = F.get("trees", F.lit(0))
+    at = lambda field, i: F.get(first[field], F.lit(i))
+    return models.select("station_id", "lead_hours", at("cut", 0).alias("cut"), at("value", 1).alias("below"), at("value", 2).alias("above"), "base", "train_rows")
+
+
 # one-step model with known coefficients: 3 hours of mean wind, then 3 levels
 _COEF = (0.004, -0.002, 0.001, 0.1, 0.25, 0.45)
 _B = 0.05

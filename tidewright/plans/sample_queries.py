@@ -44,9 +44,10 @@ WITH h AS (SELECT station_id, year(ts) AS year, count(*) AS hours, count(*) - co
                   epoch(max(ts) - min(ts)) = (count(*) - 1) * 3600 AS strict FROM rows3 GROUP BY 1, 2),
 t AS (SELECT station_id, year(ts) AS year, count(*) FILTER (WHERE skip_reason IS NULL) AS ok, count(*) FILTER (WHERE skip_reason = 'non_contiguous') AS nc,
              count(*) FILTER (WHERE skip_reason = 'missing_atmosphere') AS ma, count(*) FILTER (WHERE skip_reason = 'missing_surge') AS ms FROM {TARGETS} GROUP BY 1, 2)
-SELECT h.station_id, h.year, {n('hours', 'hours')}, {n('miss', 'missing_surge_hours')}, a AS "start", b AS "end", strict AS strictly_hourly, {n('ok', 'valid_samples')},
-       {n('nc', 'skipped_non_contiguous')}, {n('ma', 'skipped_missing_atmosphere')}, {n('ms', 'skipped_missing_surge')}
-FROM h JOIN t ON t.station_id = h.station_id AND t.year = h.year""")
+SELECT CASE WHEN grouping(h.station_id) = 1 THEN 'overall' WHEN grouping(h.year) = 1 THEN 'key' ELSE 'year' END AS level, h.station_id, h.year, {n('sum(hours)', 'hours')}, {n('sum(miss)', 'missing_surge_hours')},
+       min(a) AS "start", max(b) AS "end", bool_and(strict) AS strictly_hourly, {n('sum(coalesce(ok, 0))', 'valid_samples')}, {n('sum(coalesce(nc, 0))', 'skipped_non_contiguous')},
+       {n('sum(coalesce(ma, 0))', 'skipped_missing_atmosphere')}, {n('sum(coalesce(ms, 0))', 'skipped_missing_surge')}
+FROM h LEFT JOIN t ON t.station_id = h.station_id AND t.year = h.year GROUP BY ROLLUP (h.station_id, h.year)""")
 def _(spark, sf):
     series = rows3(spark, sf).withColumn("calendar_year", F.year("ts"))
     targets = samples.valid_targets(series, 3, valid="field_ok", keys=["station_id", "calendar_year"])

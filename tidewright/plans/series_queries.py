@@ -130,7 +130,7 @@ def _acf_sql(trim: bool) -> str:
     cut = "AND a.ts <= m.stop - k.lag_hours * INTERVAL 1 HOUR" if trim else ""
     return f"""
 WITH m AS (SELECT station_id, max(ts) AS stop FROM surge GROUP BY 1),
-k AS (SELECT unnest(generate_series(0, 24)) AS lag_hours),
+k AS (SELECT unnest(generate_series(0, 168)) AS lag_hours),
 p AS (SELECT m.station_id, k.lag_hours, a.surge_m AS x, b.surge_m AS y FROM m CROSS JOIN k
       JOIN surge a ON a.station_id = m.station_id {cut}
       JOIN surge b ON b.station_id = m.station_id AND b.ts = a.ts - k.lag_hours * INTERVAL 1 HOUR)
@@ -140,22 +140,22 @@ SELECT station_id, CAST(lag_hours AS BIGINT) AS lag_hours, count(*) AS pair_coun
 
 @query("acf", f"SELECT station_id, lag_hours, {r('acf', 'acf')}, {n('pair_count', 'pair_count')} FROM ({_acf_sql(True)})")
 def _(spark, sf):
-    return series.acf(views.surge(spark, sf), 24)
+    return series.acf(views.surge(spark, sf))
 
 
 @query("acf_full_axis", f"SELECT station_id, lag_hours, {r('acf', 'acf')}, {n('pair_count', 'pair_count')} FROM ({_acf_sql(False)})")
 def _(spark, sf):
-    return series.acf(views.surge(spark, sf), 24, trim_tail=False)
+    return series.acf(views.surge(spark, sf), trim_tail=False)
 
 
 @query("acf_summary", f"""
-SELECT station_id, {', '.join(r(f'max(acf) FILTER (WHERE lag_hours = {k})', f'acf_{k}h') for k in (1, 3, 6, 12, 24))},
+SELECT station_id, {', '.join(r(f'max(acf) FILTER (WHERE lag_hours = {k})', f'acf_{k}h') for k in (1, 3, 6, 12, 24, 48, 72))},
        {n('min(lag_hours) FILTER (WHERE lag_hours > 0 AND acf < 0.8)', 'first_below_0_8_h')},
        {n('min(lag_hours) FILTER (WHERE lag_hours > 0 AND acf < 0.5)', 'first_below_0_5_h')},
        {n('min(lag_hours) FILTER (WHERE lag_hours > 0 AND acf < exp(-1))', 'first_below_1_over_e_h')}
 FROM ({_acf_sql(True)}) GROUP BY 1""")
 def _(spark, sf):
-    return series.acf_summary(series.acf(views.surge(spark, sf), 24), lags=(1, 3, 6, 12, 24))
+    return series.acf_summary(series.acf(views.surge(spark, sf)))
 
 
 @query("daily_max", f"SELECT station_id, CAST(ts AS DATE) AS day, {r('max(surge_m)', 'daily_max')} FROM surge GROUP BY 1, 2")
