@@ -116,3 +116,26 @@ def test_metric_table_skills(spark):
     kinds = {"p": ["pressure"], "ib": ["pressure"], "speed": ["wind"], "stress": ["wind", "force"], "ts": []}
     named = table.select(*(F.lit(1).alias(c, metadata={"terms": t} if t else {}) for c, t in kinds.items()))
     assert compare.column_groups(named.schema) == {"ib": ["p", "ib"], "wind": ["speed", "stress"], "all": ["p", "ib", "speed", "stress"]}
+
+
+def test_nearest_sites_equal_brute_force_on_the_globe(spark):
+    rng = random.Random(5)
+
+    sites = [(f"s{i}", float(rng.uniform(-89, 89)), float(rng.uniform(-180, 180))) for i in range(40)] + [("twin", 10.0, 179.9), ("none", None, 3.0)]
+    path = [(f"t{k}", 6 * j, float(rng.uniform(-85, 85)), float(rng.uniform(-180, 180))) for k in range(6) for j in range(5)] + [("t9", 0, 10.0, -179.9)]
+
+    def km(a, b, c, d):
+        half = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * 6371.0 * math.asin(min(1.0, math.sqrt(half)))
+
+    want = []
+    for storm in sorted({p[0] for p in path}):
+        best = [(*min((km(lat, lon, p[2], p[3]), p[1]) for p in path if p[0] == storm), s) for s, lat, lon in sites if lat is not None]
+        want += [(storm, s, lead, round(d, 1)) for d, lead, s in sorted(best, key=lambda x: (round(x[0], 1), x[2]))[:7]]
+    a = spark.createDataFrame(sites, "station_id string, lat double, lon double")
+    b = spark.createDataFrame(path, "storm_id string, lead_hour int, lat double, lon double")
+    got = spatial.nearest_sites(a, b, 7)
+    assert sorted((r.storm_id, r.station_id, r.lead_hour, r.min_distance_km) for r in got.collect()) == sorted(want)
+    near = spatial.nearest_sites(a, b, 7, max_km=900.0)
+    assert sorted((r.storm_id, r.station_id) for r in near.collect()) == sorted((w[0], w[1]) for w in want if w[3] <= 900.0)
+    assert spatial.nearest_sites(a, b, 100).count() == 41 * 7

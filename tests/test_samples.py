@@ -89,3 +89,16 @@ def test_scaler_uses_training_rows_and_survives_zero_spread(spark):
     df = spark.createDataFrame([("a", 1.0, 1), ("a", 3.0, 1), ("a", 100.0, 0), ("b", 5.0, 1)], "k string, v double, train int")
     fitted = {r.k: (r.mean, r.scale) for r in samples.fit_scaler(df, "v", ["k"], F.col("train") == 1).collect()}
     assert fitted == {"a": (2.0, 1.0), "b": (5.0, 1.0)}
+
+
+def test_daily_tensors_place_every_cell(spark):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(start + dt.timedelta(hours=h), v, i, j, float(1000 * k + 10 * h + 2 * i + j)) for h in range(0, 72, 3) for k, v in enumerate(("U10", "V10", "MSL")) for i in range(2) for j in range(2)]
+    rows[-1] = (*rows[-1][:4], float("nan"))
+    field = spark.createDataFrame(rows, "ts timestamp, variable string, lat_idx int, lon_idx int, value double")
+    days = {r.day: r for r in samples.daily_tensors(field.repartition(4), 2, 2).collect()}
+    whole = days[dt.date(2024, 1, 2)]
+    want = [1000 * k + 10 * 3 * s + 2 * i + j for s in range(16) for k in range(3) for i in range(2) for j in range(2)]
+    assert whole.tensor == want and whole.complete_channels == 48 and whole.skip_reason is None and whole.present == bytes([255] * 24)
+    assert days[dt.date(2024, 1, 3)].complete_channels == 47 and days[dt.date(2024, 1, 3)].tensor is None
+    assert days[dt.date(2024, 1, 1)].complete_channels == 24 and days[dt.date(2024, 1, 4)].skip_reason == "incomplete_steps"

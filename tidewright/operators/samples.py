@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewright.functions.blocks import (
     BLOCK_HOURS,
@@ -380,6 +383,44 @@ def daily_windows(
     )
 
 
+def daily_tensors(
+    df: DataFrame, rows: int, columns: int, steps: int = 16, step_hours: int = 3, variables: Sequence[str] = ("U10", "V10", "MSL"),
+    keys: Sequence[str] = (),
+) -> DataFrame:
+    """Each day's sample as one flat array of floats: steps x variables channels of rows x columns cells, row major.
+
+    The steps run every ``step_hours`` from the day before; a channel is ``step * len(variables) + variable``. Cells
+    are written to their place, so nothing is sorted; ``present`` is a bitmap of the places that hold a finite value (bit
+    k % 8 of byte k // 8), ``complete_channels`` counts channels without a hole, and ``tensor`` is null, with a
+    ``skip_reason``, unless all are. A group is one day: ``steps`` x ``variables`` x cells, whatever the length of the field.
+    """
+    cells, channels = rows * columns, steps * len(variables)
+    names, per_day = [*keys, "day"], 24 // step_hours
+    on_step = df.where((F.hour("ts") % step_hours == 0) & (F.minute("ts") == 0) & F.col("variable").isin(list(variables)))
+    step = F.floor(F.hour("ts") / step_hours)
+    before = steps - per_day  # steps that lie before the day's own
+    days = F.array(*(F.struct(F.date_add(F.to_date("ts"), k).alias("day"), (step + before - k * per_day).alias("step")) for k in range(-(-before // per_day) + 1)))
+    variable = F.array_position(F.array(*(F.lit(v) for v in variables)), F.col("variable")) - 1
+    placed = on_step.select(*keys, F.inline(days), variable.alias("_v"), (F.col("lat_idx") * columns + F.col("lon_idx")).alias("_cell"), finite("value").alias("_x"))
+    placed = placed.where(F.col("step") >= 0).withColumn("_place", (F.col("step") * len(variables) + F.col("_v")) * cells + F.col("_cell"))
+    schema = T.StructType([*(placed.schema[k] for k in names), *T.StructType.fromDDL("complete_channels int, present binary, tensor array<float>").fields])
+
+    def assemble(group):
+        known = group.filter(group["_x"].is_valid())
+        at = known["_place"].to_numpy()
+        tensor, present = np.zeros(channels * cells, np.float32), np.zeros(channels * cells, bool)
+        tensor[at], present[at] = known["_x"].to_numpy(), True
+        complete = int(present.reshape(channels, cells).all(1).sum())
+        return pa.table({
+            **{k: group[k][:1] for k in names}, "complete_channels": pa.array([complete], pa.int32()),
+            "present": pa.array([np.packbits(present, bitorder="little").tobytes()], pa.binary()),
+            "tensor": pa.array([tensor if complete == channels else None], pa.list_(pa.float32())),
+        })
+
+    made = placed.drop("step", "_v", "_cell").groupBy(*names).applyInArrow(assemble, schema)
+    return made.withColumn("skip_reason", F.when(F.col("complete_channels") < channels, F.lit("incomplete_steps")))
+
+
 def tile(df: DataFrame, step: str = "step", size: int = 40, across: int = 4) -> DataFrame:
     """Place step slices side by side, row major: cell (i, j) of step s moves to the big layout."""
     s = F.col(step)

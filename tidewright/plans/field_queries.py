@@ -104,12 +104,13 @@ def _(spark, sf):
 
 # some cells are not numbers or not finite, as in files with fill values
 views.SQL["holed_field"] = """
-SELECT * REPLACE (CASE WHEN (day(ts) * 31 + lat_idx * 7 + lon_idx) % 53 = 0 THEN 'NaN'::DOUBLE WHEN (day(ts) * 31 + lat_idx * 7 + lon_idx) % 59 = 0 THEN 'Infinity'::DOUBLE ELSE value END AS value) FROM field"""
+SELECT * REPLACE (CASE WHEN (day(ts) * 31 + lat_idx * 7 + lon_idx) % 53 = 0 AND day(ts) % 5 = 0 THEN 'NaN'::DOUBLE WHEN (day(ts) * 31 + lat_idx * 7 + lon_idx) % 59 = 0 AND day(ts) % 5 = 0 THEN 'Infinity'::DOUBLE ELSE value END AS value) FROM field"""
 
 
-def _holed(spark, sf):
+def holed(spark, sf):
     place = F.dayofmonth("ts") * 31 + F.col("lat_idx") * 7 + F.col("lon_idx")
-    value = F.when(place % 53 == 0, F.lit(float("nan"))).when(place % 59 == 0, F.lit(float("inf"))).otherwise(F.col("value"))
+    some = F.dayofmonth("ts") % 5 == 0
+    value = F.when(some & (place % 53 == 0), F.lit(float("nan"))).when(some & (place % 59 == 0), F.lit(float("inf"))).otherwise(F.col("value"))
     return views.field(spark, sf).withColumn("value", value)
 
 
@@ -120,7 +121,7 @@ _GOOD = "CASE WHEN isfinite(value) THEN value END"
 SELECT variable, {n(f'count({_GOOD}) FILTER (WHERE day(ts) <= 20)', 'cells')}, {r(f'avg({_GOOD}) FILTER (WHERE day(ts) <= 20)', 'mean')},
        {r(f'stddev_pop({_GOOD}) FILTER (WHERE day(ts) <= 20)', 'std')} FROM holed_field GROUP BY 1""")
 def _(spark, sf):
-    return field.field_moments(_holed(spark, sf), F.dayofmonth("ts") <= 20)
+    return field.field_moments(holed(spark, sf), F.dayofmonth("ts") <= 20)
 
 
 _SUMMARY = ", ".join(
@@ -139,7 +140,7 @@ SELECT variable, {n('count(*)', 'cells')}, {n('count(value)', 'finite')}, {n('co
        {r('min(value)', 'min')}, {r('max(value)', 'max')}, {r('avg(value)', 'mean')}, CASE WHEN variable = 'MSL' THEN min(value) >= 80000 AND max(value) <= 120000 END AS pressure_in_pa
 FROM (SELECT variable, {_GOOD} AS value FROM holed_field) GROUP BY 1""")
 def _(spark, sf):
-    return field.field_audit(_holed(spark, sf))
+    return field.field_audit(holed(spark, sf))
 
 
 @query("forcing_unit_audit", f"""SELECT variable, 'f' || min(day(ts)) || '.nc' AS source_file, lower(variable) AS name, CASE WHEN variable = 'MSL' THEN 'Pa' ELSE 'm/s' END AS units, {n('1', 'unit_spellings')} FROM field GROUP BY 1""")

@@ -207,6 +207,22 @@ def _(spark, sf):
     return samples.daily_windows(views.field(spark, sf), cells=25)
 
 
+@query("daily_tensors", f"""
+WITH f AS (SELECT CAST(ts AS DATE) AS day, hour(ts) // 3 + 8 AS step, variable, lat_idx, lon_idx, value FROM holed_field WHERE hour(ts) % 3 = 0
+           UNION ALL SELECT CAST(ts AS DATE) + 1, hour(ts) // 3, variable, lat_idx, lon_idx, value FROM holed_field WHERE hour(ts) % 3 = 0),
+c AS (SELECT day, step * 3 + CASE variable WHEN 'U10' THEN 0 WHEN 'V10' THEN 1 ELSE 2 END AS channel, lat_idx * 5 + lon_idx AS cell, CASE WHEN isfinite(value) AND lat_idx < 3 THEN value END AS value FROM f WHERE lat_idx < 3),
+h AS (SELECT day, channel, count(value) AS k FROM c GROUP BY 1, 2),
+d AS (SELECT day, count(*) FILTER (WHERE k = 15) AS complete FROM h GROUP BY 1)
+SELECT CAST(d.day AS DATE) AS day, {n('complete', 'complete_channels')}, CASE WHEN complete < 48 THEN 'incomplete_steps' END AS skip_reason, {n('channel', 'channel')}, {n('cell', 'cell')}, {r('value', 'value')}
+FROM d LEFT JOIN c ON c.day = d.day AND complete = 48""")
+def _(spark, sf):
+    from tidewright.plans.field_queries import holed
+
+    days = samples.daily_tensors(holed(spark, sf).where("lat_idx < 3"), 3, 5)
+    cells = days.select("day", "complete_channels", "skip_reason", F.posexplode_outer("tensor").alias("at", "value"))
+    return cells.select("day", "complete_channels", "skip_reason", F.floor(F.col("at") / 15).alias("channel"), (F.col("at") % 15).alias("cell"), "value")
+
+
 @query("tile", f"""
 WITH f AS (SELECT CAST(ts AS DATE) AS day, hour(ts) // 3 + 8 AS step, variable, lat_idx, lon_idx, value FROM field WHERE hour(ts) % 3 = 0
            UNION ALL SELECT CAST(ts AS DATE) + 1, hour(ts) // 3, variable, lat_idx, lon_idx, value FROM field WHERE hour(ts) % 3 = 0)

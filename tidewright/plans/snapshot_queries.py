@@ -221,6 +221,23 @@ def _(spark, sf):
     return out.select("station_id", "province", "storm_id", "lead_hour", "nearest_lat", "nearest_lon", "min_distance_km")
 
 
+# sites far apart, so that most storms find five of them in outer rings only
+views.SQL["far_sites"] = "SELECT station_id, -60 + 17.0 * (CAST(substr(station_id, 3) AS BIGINT) % 8) AS lat, -170 + 31.0 * (CAST(substr(station_id, 3) AS BIGINT) % 11) AS lon FROM stations WHERE CAST(substr(station_id, 3) AS BIGINT) <= 88"
+
+
+@query("nearest_sites", f"""
+WITH d AS (SELECT p.storm_id, s.station_id, p.lead_hour, p.lat AS plat, p.lon AS plon, {_KM} AS km FROM far_sites s, track_points p),
+k AS (SELECT *, row_number() OVER (PARTITION BY storm_id, station_id ORDER BY km, lead_hour) AS i FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY storm_id ORDER BY round(km, 1), station_id) AS place FROM k WHERE i = 1)
+SELECT storm_id, station_id, lead_hour, {r('plat', 'nearest_lat')}, {r('plon', 'nearest_lon')}, round(km, 1) AS min_distance_km FROM o WHERE place <= 5""")
+def _(spark, sf):
+    number = F.substring("station_id", 3, 20).cast("bigint")
+    far = views.stations(spark, sf).where(number <= 88).select("station_id", (-60 + 17.0 * (number % 8)).alias("lat"), (-170 + 31.0 * (number % 11)).alias("lon"))
+    path = views.track_points(spark, sf).select("storm_id", "lead_hour", "lat", "lon")
+    out = spatial.nearest_sites(far, path, 5)
+    return out.select("storm_id", "station_id", "lead_hour", "nearest_lat", "nearest_lon", "min_distance_km")
+
+
 @query("site_filter", "SELECT station_id, province, area FROM stations WHERE area = '2' AND contains(province, '1')")
 def _(spark, sf):
     return spatial.site_filter(views.stations(spark, sf), "2", "1").select("station_id", "province", "area")

@@ -1,8 +1,8 @@
 """Storm tracks, agency forecasts, surge scenarios and sea-surface observations from landed JSON.
 
-Positional arrays of mixed types are read as arrays of text, one nesting level at a time, so a short or
-malformed row gives nulls instead of failing its neighbours. Each level is a generated row, which keeps
-Spark from parsing the same text once per column.
+A document is parsed once, to a VARIANT; positions of its arrays of mixed types are paths in it, so a short or
+malformed row gives nulls instead of failing its neighbours. Each level is a generated row, which keeps Spark from
+walking the same path once per column. Numbers come out as texts without trailing zeros (18.0 as 18).
 """
 
 from __future__ import annotations
@@ -44,30 +44,31 @@ def _at(c: str | Column, i: int) -> Column:
     return F.get(c, F.lit(i))
 
 
+def _path(c: str, path: str, kind: str = "string") -> Column:
+    """What stands at a path of a VARIANT, null where nothing does; lists and objects as text are JSON."""
+    return F.try_variant_get(F.col(c), path, kind)
+
+
 def _storms(df: DataFrame, json: str) -> DataFrame:
-    """One row per document: storm id and its list of point texts."""
-    text = strip_jsonp(json)
-    storm = F.coalesce(F.from_json(text, "struct<typhoon:array<string>>")["typhoon"], _items(text))
-    storms = df.select(_once(storm).alias("_storm"))
-    return storms.select(_at("_storm", 0).alias("typhoon_id"), _once(_items(_at("_storm", 8))).alias("_list"))
+    """One row per document: storm id and its list of points."""
+    parsed = df.select(_once(F.try_parse_json(strip_jsonp(json))).alias("_doc"))
+    storms = parsed.select(_once(F.coalesce(_path("_doc", "$.typhoon", "variant"), F.col("_doc"))).alias("_storm"))
+    return storms.select(_path("_storm", "$[0]").alias("typhoon_id"), _once(_path("_storm", "$[8]", "array<variant>")).alias("_list"))
 
 
 def _points(df: DataFrame, json: str) -> DataFrame:
-    """One row per track point with the storm id; ``_p`` holds the point's positions as texts."""
-    points = _storms(df, json).select("typhoon_id", F.posexplode("_list").alias("point_index", "_point"))
-    return points.select("typhoon_id", "point_index", _once(_items("_point")).alias("_p"))
+    """One row per track point with the storm id; ``_p`` is the point."""
+    return _storms(df, json).select("typhoon_id", F.posexplode("_list").alias("point_index", "_p"))
 
 
 def read_track(df: DataFrame, json: str = "value") -> DataFrame:
     """Observed points: ids, UTC and UTC+8 times, position, intensity, motion, wind radii (JSON), issue."""
-    rows = _points(df, json).select(
-        "typhoon_id", "point_index", "_p", _at("_p", 1).alias("_time"), _once(_items(F.coalesce(_at("_p", 12), F.lit("[]")))).alias("_issue")
-    )
+    rows = _points(df, json).select("*", _path("_p", "$[1]").alias("_time"))
     return rows.select(
-        "typhoon_id", "point_index", _at("_p", 0).alias("point_id"), *[c.alias(k) for k, c in track_time("_time").items()],
-        *[_at("_p", i).alias(k) for k, i in POINT_POSITIONS.items()],
-        F.coalesce(_at("_p", 10), F.lit("[]")).alias("wind_radii_json"),
-        _at("_issue", 0).alias("issue_time"), _at("_issue", 1).alias("issue_time_text"),
+        "typhoon_id", "point_index", _path("_p", "$[0]").alias("point_id"), *[c.alias(k) for k, c in track_time("_time").items()],
+        *[_path("_p", f"$[{i}]").alias(k) for k, i in POINT_POSITIONS.items()],
+        F.coalesce(_path("_p", "$[10]"), F.lit("[]")).alias("wind_radii_json"),
+        _path("_p", "$[12][0]").alias("issue_time"), _path("_p", "$[12][1]").alias("issue_time_text"),
     )
 
 
@@ -77,18 +78,17 @@ def explode_agency_forecast(df: DataFrame, json: str = "value") -> DataFrame:
 
 
 def _agency_steps(points: DataFrame, agency: str | None = None) -> DataFrame:
-    agencies = F.from_json(_at("_p", 11), "map<string,string>")
+    agencies = _path("_p", "$[11]", "map<string,variant>")
     if agency is not None:
         agencies = F.map_filter(agencies, lambda org, _: org == agency)
     rows = points.select(
-        "typhoon_id", "point_index", _at("_p", 0).alias("point_id"), _at("_p", 1).alias("_time"), F.explode(agencies).alias("org", "_list")
+        "typhoon_id", "point_index", _path("_p", "$[0]").alias("point_id"), _path("_p", "$[1]").alias("_time"), F.explode(agencies).alias("org", "_steps")
     )
-    steps = rows.select("typhoon_id", "point_index", "point_id", "_time", "org", F.posexplode(_items("_list")).alias("step", "_step"))
-    parts = steps.select("typhoon_id", "point_index", "point_id", "_time", "org", "step", _once(_items("_step")).alias("_f"))
+    parts = rows.select("typhoon_id", "point_index", "point_id", "_time", "org", F.posexplode(_path("_steps", "$", "array<variant>")).alias("step", "_f"))
     times = track_time("_time")
     return parts.select(
         "typhoon_id", "point_index", "point_id", times["time_utc"].alias("base_time_utc"), times["time_bj"].alias("base_time_bj"),
-        "org", "step", *[_at("_f", i).alias(k) for k, i in FORECAST_POSITIONS.items()],
+        "org", "step", *[_path("_f", f"$[{i}]").alias(k) for k, i in FORECAST_POSITIONS.items()],
     )
 
 
@@ -96,7 +96,7 @@ def latest_agency_path(df: DataFrame, agency: str, json: str = "value") -> DataF
     """Forecast path of one agency from the last observed point of each document; nothing is shuffled."""
     storms = _storms(df, json).where(F.size("_list") > 0)
     last = storms.select(
-        "typhoon_id", (F.size("_list") - 1).alias("point_index"), _once(_items(F.element_at("_list", -1))).alias("_p")
+        "typhoon_id", (F.size("_list") - 1).alias("point_index"), F.element_at("_list", -1).alias("_p")
     )
     return _agency_steps(last, agency).select(
         "typhoon_id", "base_time_bj", "step", F.col("lead_hour").try_cast("int").alias("lead_hour"),
