@@ -8,13 +8,14 @@ short list of intervals "the pieces of length L ranked a to b go to these sequen
 their rank among the pieces of equal length. Ranks come from counts per (length, bucket), so a length that a third of
 all pieces share is still ranked in many tasks.
 
-Defined cases: a null or empty text is the one end token; equal pieces are interchangeable, so ties and repeated rows
+Defined cases: a null or empty text is the one end token; any text is encoded, however long its runs of white space; equal pieces are interchangeable, so ties and repeated rows
 may swap places but never change the packing; an empty table packs to nothing; other columns are left out.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -32,6 +33,7 @@ BUCKET_ROWS = 50_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+@functools.cache
 def encoder(path: str):
     """Byte-level BPE of a rank file; ``<|endoftext|>`` in a text is its special id, as in the JSON of the same vocabulary."""
     import public_tokenizers
@@ -42,10 +44,23 @@ def encoder(path: str):
     return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
 
 
-def token_ids(texts, encode) -> Iterator[np.ndarray]:
-    """Ids of each text and the end token, as 32-bit little-endian numbers."""
+def slow_encoder(path: str):
+    """The JSON of the same vocabulary, beside the rank file: slower, but without a limit on runs of white space."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path.removesuffix(".tiktoken") + ".json")
+
+
+def token_ids(texts, path: str) -> Iterator[np.ndarray]:
+    """Ids of each text and the end token, as 32-bit little-endian numbers. Bytes that are not UTF-8 become U+FFFD."""
+    fast, slow = encoder(path), None
     for text in texts:
-        ids = encode((text or b"").decode(), allowed_special="all")
+        text = (text or b"").decode(errors="replace")
+        try:
+            ids = fast.encode(text, allowed_special="all")
+        except ValueError:  # a run of white space beyond the stack of its pattern
+            slow = slow or slow_encoder(path)
+            ids = slow.encode(text, add_special_tokens=False).ids
         ids.append(END)
         yield np.array(ids, "<u4")
 
@@ -59,10 +74,9 @@ def cuts(n: int, limit: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, keep_ids: bool = False) -> DataFrame:
     """The pieces of every document, with a checksum of their ids and, if asked for, the ids."""
     def cut(batches):
-        encode = encoder(tokenizer).encode
         for batch in batches:
             rows, values = [], []
-            for doc, ids in zip(batch.column(0).to_pylist(), token_ids(textscan.texts(batch.column(1)), encode)):
+            for doc, ids in zip(batch.column(0).to_pylist(), token_ids(textscan.texts(batch.column(1)), tokenizer)):
                 for k, (start, length) in enumerate(cuts(len(ids), max_tokens)):
                     part = ids[start:start + length]
                     rows.append((doc, k, start, length, zlib.crc32(part.tobytes())))
