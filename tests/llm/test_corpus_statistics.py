@@ -215,3 +215,30 @@ def test_chi_square_quantiles():
 
 def test_keep_returns_columns_as_given(odd):
     assert outliers.keep(odd).columns == odd.columns and outliers.keep(odd).collect() == []
+
+
+# --- texts that tokenizers stumble over, ids that repeat ----------------------------------------------------------------
+
+def test_ids_of_any_text_equal_those_of_the_other_library():
+    from tidewright.llm import packing, queries
+
+    path = queries.tokenizer_path("byte_bpe_50k.tiktoken")
+    texts = [" " * 1_000_000, " \n" * 500_000, "\n" * 300_000 + "end", "word " * 20 + " " * 400_000 + "tail", "<|endoftext|> x", "", "a   b"]
+    slow = packing.slow_encoder(path)
+    for text, ids in zip(texts, packing.token_ids([t.encode() for t in texts], path)):
+        assert ids.tolist() == [*slow.encode(text, add_special_tokens=False).ids, packing.END]
+    assert len(list(packing.token_ids([b"\xff\xfe broken", None], path))) == 2
+
+
+def test_a_repeated_id_is_fitted_once(spark, documents):
+    from tidewright.llm import quality
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    one = labels.where(quality.in_training()).join(documents, "doc_id").select("doc_id").first()[0]
+    again = documents
+    for _ in range(3):
+        again = again.unionByName(documents.where(f"doc_id = {one}"))
+    fitted = quality.fit(again, labels), quality.fit(documents, labels)
+    assert [len(f.network.layers) for f in fitted] == [4, 4]
+    rows = quality.score(again, labels).where(f"doc_id = {one}").collect()
+    assert len(rows) == 4 and len({r.score for r in rows}) == 1

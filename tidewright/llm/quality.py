@@ -8,8 +8,8 @@ vectors of its words and shapes and the likeness of the index vectors of words o
 The network is fitted on the driver on the pooled vectors of at most ``max_fit_rows`` labelled rows (those of smallest
 hash of the id; everything else covers all rows), and a temperature chosen on a fifth of them calibrates its output.
 
-Defined cases: null and empty texts pool to zeros and get the score of that vector; several labels of a document count
-as their mean, null labels are left out; without labels every score is 0.5, with labels of one kind the network still
+Defined cases: null and empty texts pool to zeros and get the score of that vector; of rows that share a labelled id
+one is fitted, that of the smallest pooled vector; several labels of a document count as their mean, null labels are left out; without labels every score is 0.5, with labels of one kind the network still
 answers, near that kind; repeated rows each get a row; whole texts are read; other columns pass through ``keep_good``.
 """
 
@@ -27,6 +27,7 @@ ROWS = (1 << WORD_BITS) + (1 << SHAPE_BITS)
 BLOCK = 1 << 14
 MAX_FIT_ROWS = 20_000
 LAGS = (1, 2, 3)
+STEPS, BATCH = 8000, 128  # of the fit, whatever the number of rows
 FEATURES = 4 * DIM + len(LAGS)
 _FLUSH = 1 << 18
 _SLICE = 1 << 15
@@ -111,10 +112,18 @@ def pooled(text: bytes | None, vectors: np.ndarray) -> np.ndarray:
     return out
 
 
+def _batches(rng: np.random.Generator, rows: np.ndarray, steps: int):
+    """``steps`` batches of about ``BATCH`` rows, from one random order of all rows after the other."""
+    while steps > 0 and len(rows):
+        for batch in np.array_split(rng.permutation(rows), max(1, len(rows) // BATCH))[:steps]:
+            steps -= 1
+            yield batch
+
+
 class Network:
     """Standardised inputs, one hidden layer, one output, a temperature."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, seed: int = 5):
+    def __init__(self, x: np.ndarray, y: np.ndarray, hidden: int = 32, steps: int = STEPS, seed: int = 5):
         self.prior = 0.5
         self.layers = None
         if not len(y):
@@ -127,18 +136,16 @@ class Network:
         z = self._scaled(x)
         shapes = ((x.shape[1], hidden), (hidden,), (hidden, 1), (1,))
         p = [rng.normal(0, 1 / np.sqrt(s[0]), s) if len(s) == 2 else np.zeros(s) for s in shapes]
-        m, v, step = [np.zeros(s) for s in shapes], [np.zeros(s) for s in shapes], 0
-        for _ in range(epochs if len(fit) > 2000 else 4 * epochs):
-            for rows in np.array_split(rng.permutation(fit), max(1, len(fit) // 128)):
-                a = np.tanh(z[rows] @ p[0] + p[1])
-                d = (_sigmoid(a @ p[2] + p[3]) - y[rows, None]) / len(rows)
-                back = d @ p[2].T * (1 - a ** 2)
-                grads = (z[rows].T @ back + 1e-4 * p[0], back.sum(0), a.T @ d + 1e-4 * p[2], d.sum(0))
-                step += 1
-                for k, g in enumerate(grads):
-                    m[k] += 0.1 * (g - m[k])
-                    v[k] += 0.001 * (g * g - v[k])
-                    p[k] -= 0.003 * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.999 ** step)) + 1e-8)
+        m, v = [np.zeros(s) for s in shapes], [np.zeros(s) for s in shapes]
+        for step, rows in enumerate(_batches(rng, fit, steps), start=1):
+            a = np.tanh(z[rows] @ p[0] + p[1])
+            d = (_sigmoid(a @ p[2] + p[3]) - y[rows, None]) / len(rows)
+            back = d @ p[2].T * (1 - a ** 2)
+            grads = (z[rows].T @ back + 1e-4 * p[0], back.sum(0), a.T @ d + 1e-4 * p[2], d.sum(0))
+            for k, g in enumerate(grads):
+                m[k] += 0.1 * (g - m[k])
+                v[k] += 0.001 * (g * g - v[k])
+                p[k] -= 0.003 * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.999 ** step)) + 1e-8)
         self.layers, self.temperature = p, 1.0
         if len(check):
             logits = self._logits(z[check])
@@ -189,10 +196,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) ->
     def pool(batches):
         for batch in batches:
             data = [pooled(t, shared.value).tobytes() for t in textscan.texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["target", "pooled"])
+            yield pa.RecordBatch.from_arrays([batch.column(2).cast(pa.string()), batch.column(0), pa.array(data, pa.binary())], names=["doc_id", "target", "pooled"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("target", "text", "doc_id")  # at most max_fit_rows ids
-    table = rows.select("target", "text").mapInArrow(pool, "target double, pooled binary").collect()
+    told = rows.select("target", "text", "doc_id").mapInArrow(pool, "doc_id string, target double, pooled binary")
+    table = told.groupBy("doc_id").agg(F.max("target"), F.min("pooled")).drop("doc_id").collect()  # a row for each id, however often it repeats
     table.sort(key=lambda r: (r[1], r[0]))  # the fit does not depend on the order in which rows arrive
     x = np.array([np.frombuffer(r[1], np.float32) for r in table], np.float64).reshape(-1, FEATURES)
     return Scorer(vectors, Network(x, np.array([r[0] for r in table], float)))
