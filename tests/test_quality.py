@@ -70,3 +70,11 @@ def test_unit_scaling_and_unknown_unit(spark):
     assert out[0].water_level == pytest.approx(1.25) and out[1].ts is None and out[1].water_level is None and out[0].sensor == "default"
     with pytest.raises(ValueError):
         quality.canonical_gauge(raw, "ft")
+
+
+def test_nothing_left_fails_the_job_when_strict(spark):
+    df = rows(spark, [("a", h, None, "0", "1") for h in range(5)])
+    _, report = quality.quality_control(df)
+    assert report.first().final_record_count == 0
+    with pytest.raises(Exception, match="left no record"):
+        quality.quality_control(df, strict=True)[1].collect()

@@ -166,10 +166,11 @@ def select_channel(scored: DataFrame, station: Sequence[str] = ("station_id",))
 
 
 def quality_control(df: DataFrame, order: Sequence[str] = ("seq",), limit: float = 20.0,
-                    bad_qc: Sequence[str] = BAD_QC) -> tuple[DataFrame, DataFrame]:
+                    bad_qc: Sequence[str] = BAD_QC, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """Clean records of each station's best channel, and a report of what every step removed.
 
-    A station without any good record is absent from the clean rows and has ``final_record_count`` 0.
+    A station without any good record is absent from the clean rows and has ``final_record_count`` 0; when ``strict``, it
+    fails the job that reads the report.
     """
     tagged = tag_rejects(df, order, limit, bad_qc)
     good = tagged.where(F.col("reject_reason").isNull()).drop("reject_reason", "copies")
@@ -197,6 +198,9 @@ def quality_control(df: DataFrame, order: Sequence[str] = ("seq",), limit: float
         .fillna(0, ["removed_duplicate_count", "removed_missing_count", "removed_quality_flag_count",
                     "removed_unreasonable_count", "final_record_count"])
     )
+    if strict:
+        nothing = F.raise_error(F.concat(F.lit("quality control left no record of station "), F.col("station_id").cast("string"))).cast("boolean")
+        report = report.where(F.when(F.col("final_record_count") == 0, nothing).otherwise(F.lit(True)))
     return clean, report
 
 

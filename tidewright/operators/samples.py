@@ -23,6 +23,7 @@ from tidewright.functions.blocks import (
     hour_number,
 )
 from tidewright.functions.columns import finite
+from tidewright.functions.storage import stored
 
 STATION = ("station_id",)
 
@@ -198,9 +199,21 @@ def feature_matrix(
 
 def sequence_features(
     df: DataFrame, weather: Sequence[str], n: int, m: int, value: str = "surge_m", valid: str | None = None,
-    keys: Sequence[str] = STATION,
+    keys: Sequence[str] = STATION, training: Column | None = None,
 ) -> DataFrame:
-    """(n+m) steps per origin, each: weather columns, surge history (0 ahead of the origin), observed flag."""
+    """(n+m) steps per origin, each: weather columns, surge history (0 ahead of the origin), observed flag.
+
+    With ``training``, weather columns and surge are standardised by the mean and population std of each key over these
+    rows (a std of zero scales by 1), all fitted in one aggregate; the 0 ahead of the origin is then that mean.
+    """
+    scaled = [*weather, value]
+    if training is not None:
+        fitted = []
+        for i, c in enumerate(scaled):
+            v = F.when(training, finite(c))
+            fitted += [F.avg(v).alias(f"_m{i}"), F.when(F.stddev_pop(v) > 0, F.stddev_pop(v)).otherwise(1.0).alias(f"_s{i}")]
+        scaler = stored(df.groupBy(*keys).agg(*fitted), "scaler")  # one row per key
+        df = df.join(scaler, list(keys)).withColumns({c: (F.col(c) - F.col(f"_m{i}")) / F.col(f"_s{i}") for i, c in enumerate(scaled)})
     packed = df.withColumn("_w", F.array(*[F.col(c).cast("double") for c in weather]))
     steps = direct_origins(
         packed, n, m, value, valid, keys=keys,
@@ -337,7 +350,7 @@ def recover_scaler(df: DataFrame, scaled: str, original: str, keys: Sequence[str
 
 def minmax(df: DataFrame, value: str, keys: Sequence[str], name: str = "scaled") -> DataFrame:
     """(x - min) / (max - min) over each whole group; a constant group gives null."""
-    span = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    span = stored(df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")), "span")  # of known size when the join is planned
     return df.join(span, list(keys)).withColumn(
         name, (F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
     ).drop("_lo", "_hi")
@@ -345,7 +358,7 @@ def minmax(df: DataFrame, value: str, keys: Sequence[str], name: str = "scaled")
 
 def fill_mean(df: DataFrame, value: str = "value", keys: Sequence[str] = ("variable",)) -> DataFrame:
     """Missing values become their group's mean (aggregate and join; no group gathers in a window)."""
-    mean = df.groupBy(*keys).agg(F.avg(value).alias("_mean"))
+    mean = stored(df.groupBy(*keys).agg(F.avg(value).alias("_mean")), "means")  # of known size when the join is planned
     return df.join(mean, list(keys)).withColumn(value, F.coalesce(value, "_mean")).drop("_mean")
 
 

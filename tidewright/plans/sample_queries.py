@@ -94,41 +94,54 @@ def _(spark, sf):
     return samples.direct_labels(rows3(spark, sf), 3, 6, valid="field_ok")
 
 
-views.SQL["summary3"] = """
-SELECT s.*, u.um, u.pm FROM rows3 s LEFT JOIN (SELECT ts, avg(value) FILTER (WHERE variable = 'U10') AS um, avg(value) FILTER (WHERE variable = 'MSL') AS pm FROM field GROUP BY 1) u ON u.ts = s.ts"""
+WEATHER = [f"{v.lower()}_{name}" for v in field.VARIABLES for name in ("mean", "std", "min", "max")]
+_WEATHER_SQL = ", ".join(f"{fn}(value) FILTER (WHERE variable = '{v}') AS {v.lower()}_{name}" for v in field.VARIABLES for fn, name in (("avg", "mean"), ("stddev_pop", "std"), ("min", "min"), ("max", "max")))
+views.SQL["summary3"] = f"SELECT s.*, u.* EXCLUDE (ts) FROM rows3 s LEFT JOIN (SELECT ts, {_WEATHER_SQL} FROM field GROUP BY 1) u ON u.ts = s.ts"
 
 
 def _with_weather(spark, sf):
-    summary = field.spatial_summary(views.field(spark, sf)).select("ts", "u10_mean", "msl_mean")
+    summary = field.spatial_summary(views.field(spark, sf)).select("ts", *WEATHER)
     return rows3(spark, sf).join(summary, "ts", "left")
 
 
 _FM = """WITH o AS (SELECT station_id, ts FROM axis3 WHERE {d}),
-x AS (SELECT o.station_id, o.ts AS origin, s.ts, CAST(epoch(s.ts - o.ts) / 3600 AS BIGINT) AS k, s.um, s.pm, s.surge_m FROM o JOIN summary3 s
+x AS (SELECT o.station_id, o.ts AS origin, s.ts, CAST(epoch(s.ts - o.ts) / 3600 AS BIGINT) AS k, s.* EXCLUDE (station_id, ts) FROM o JOIN summary3 s
       ON s.station_id = o.station_id AND s.ts BETWEEN o.ts - INTERVAL 2 HOUR AND o.ts + INTERVAL 6 HOUR)"""
 
 
 @query("feature_matrix", _FM.format(d=_DIRECT) + f"""
-SELECT station_id, origin, CAST(2 * 9 + 3 AS BIGINT) AS width, {r('max(um) FILTER (WHERE k = -2)', 'f_first')}, {r('max(pm) FILTER (WHERE k = 6)', 'f_weather_last')},
-       {r('max(surge_m) FILTER (WHERE k = -2)', 'f_history_first')}, {r('max(surge_m) FILTER (WHERE k = 0)', 'f_last')}, {r('sum(um + pm) + sum(surge_m) FILTER (WHERE k <= 0)', 'total')},
+SELECT station_id, origin, CAST(12 * 9 + 3 AS BIGINT) AS width, {r('max(u10_mean) FILTER (WHERE k = -2)', 'f_first')}, {r('max(msl_max) FILTER (WHERE k = 6)', 'f_weather_last')},
+       {r('max(surge_m) FILTER (WHERE k = -2)', 'f_history_first')}, {r('max(surge_m) FILTER (WHERE k = 0)', 'f_last')},
+       {', '.join(r(f'sum({c})', f'total_{c}') for c in WEATHER)}, {r('sum(surge_m) FILTER (WHERE k <= 0)', 'total_history')},
        {r('max(surge_m) FILTER (WHERE k = 6)', 'label_last')} FROM x GROUP BY 1, 2""")
 def _(spark, sf):
-    out = samples.feature_matrix(_with_weather(spark, sf), ["u10_mean", "msl_mean"], 3, 6, valid="field_ok")
+    out = samples.feature_matrix(_with_weather(spark, sf), WEATHER, 3, 6, valid="field_ok")
     at = lambda i: F.get("features", F.lit(i))
+    add = lambda a, x: a + x
+    hours = F.sequence(F.lit(0), F.lit(8))
+
+    def total(i):
+        return F.aggregate(F.transform(hours, lambda h: F.get("features", 12 * h + i)), F.lit(0.0), add)
+
+    totals = [total(i).alias(f"total_{c}") for i, c in enumerate(WEATHER)]
     return out.select(
-        "station_id", "origin", F.size("features").alias("width"), at(0).alias("f_first"), at(17).alias("f_weather_last"),
-        at(18).alias("f_history_first"), at(20).alias("f_last"),
-        F.aggregate("features", F.lit(0.0), lambda a, x: a + x).alias("total"), F.get("labels", F.lit(5)).alias("label_last"),
+        "station_id", "origin", F.size("features").alias("width"), at(0).alias("f_first"), at(107).alias("f_weather_last"),
+        at(108).alias("f_history_first"), at(110).alias("f_last"), *totals,
+        F.aggregate(F.slice("features", 109, 3), F.lit(0.0), add).alias("total_history"), F.get("labels", F.lit(5)).alias("label_last"),
     )
 
 
-@query("sequence_features", _FM.format(d=_DIRECT) + f"""
-SELECT station_id, origin, k + 2 AS step, {r('um', 'u10_mean')}, {r('pm', 'msl_mean')}, {r('CASE WHEN k <= 0 THEN surge_m ELSE 0 END', 'history')},
-       CASE WHEN k <= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS observed FROM x""")
+_FIT3 = ", ".join(f"avg({c}) AS m_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s_{c}" for c in (*WEATHER, "surge_m"))
+
+
+@query("sequence_features", _FM.format(d=_DIRECT) + f""",
+z AS (SELECT station_id AS sid, {_FIT3} FROM summary3 WHERE day(ts) <= 20 GROUP BY 1)
+SELECT station_id, origin, k + 2 AS step, {', '.join(r(f'({c} - m_{c}) / s_{c}', c) for c in WEATHER)}, {r('CASE WHEN k <= 0 THEN (surge_m - m_surge_m) / s_surge_m ELSE 0 END', 'history')},
+       CASE WHEN k <= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS observed FROM x JOIN z ON sid = station_id""")
 def _(spark, sf):
-    out = samples.sequence_features(_with_weather(spark, sf), ["u10_mean", "msl_mean"], 3, 6, valid="field_ok")
+    out = samples.sequence_features(_with_weather(spark, sf), WEATHER, 3, 6, valid="field_ok", training=F.dayofmonth("ts") <= 20)
     steps = out.select("station_id", "origin", F.posexplode("sequence").alias("step", "s"))
-    return steps.select("station_id", "origin", "step", *[F.get("s", F.lit(i)).alias(c) for i, c in enumerate(("u10_mean", "msl_mean", "history", "observed"))])
+    return steps.select("station_id", "origin", "step", *[F.get("s", F.lit(i)).alias(c) for i, c in enumerate((*WEATHER, "history", "observed"))])
 
 
 @query("split_ratio", """SELECT station_id, ts, CASE WHEN row_number() OVER (PARTITION BY station_id ORDER BY ts) <= floor(count(*) OVER (PARTITION BY station_id) * 0.8)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewright.operators import events, snapshots, spatial
+from tidewright.operators import events, export, snapshots, spatial
 from tidewright.plans import views
 from tidewright.plans.registry import n, query, r
 
@@ -344,7 +344,7 @@ def _(spark, sf):
     from tidewright.functions.storage import shared_folder
 
     folder = shared_folder(spark, "parts")
-    views.snapshots(spark, sf).write.option("maxRecordsPerFile", 100).partitionBy("city").parquet(folder)
+    export.export_partitioned(views.snapshots(spark, sf), folder, ["city"], ["reported_at"], max_rows=100)
     rows = spark.read.parquet(folder)
     files = rows.groupBy("city", F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("k"))
     return files.groupBy("city").agg(

@@ -258,3 +258,13 @@ def _(spark, sf):
     second = F.struct(F.col("event_id").alias("id"), F.lit(2).cast("bigint").alias("place"))
     lists = F.struct(F.array(F.lit(0)).alias("other"), F.when(F.col("event_id") % 3 == 0, F.array(record, second)).otherwise(F.array(record)).alias("Station"))
     return tracks.find_records(views.table(spark, sf, "events").select(lists.alias("records"))).select("record.*")
+
+
+@query("read_derived_table", f"SELECT ts, {r('surge_m', 'surge_m')} FROM surge_daily WHERE station_id = '1-URGENT'")
+def _(spark, sf):
+    """Daily levels of all stations landed as a table, one station read back."""
+    from tidewright.functions.storage import shared_folder
+
+    landed = shared_folder(spark, "derived")
+    views.surge_daily(spark, sf).select(F.col("station_id").alias("station"), "ts", "surge_m").write.option("header", True).csv(landed)
+    return results.read_derived_table(spark, landed, "station string, ts timestamp, surge_m double", "1-URGENT")
