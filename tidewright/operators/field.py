@@ -192,6 +192,56 @@ def station_cells(cells: DataFrame) -> DataFrame:
     )
 
 
+# Places of a stencil, the station's cell first.
+STENCIL = ("centre", "west", "east", "south", "north")
+
+
+def station_stencil(grid: DataFrame, stations: DataFrame) -> DataFrame:
+    """(station_id, lat_idx, lon_idx, place): each station's cell and the cells next to it along both axes of the grid.
+
+    ``grid``: lat_idx, lon_idx of every cell, once; ``stations``: :func:`station_cells`. Places beyond an edge are absent.
+    """
+    east_axis, north_axis = Window.partitionBy("lat_idx").orderBy("lon_idx"), Window.partitionBy("lon_idx").orderBy("lat_idx")
+    i, j = F.col("lat_idx"), F.col("lon_idx")
+    around = {"centre": (i, j), "west": (i, F.lag(j).over(east_axis)), "east": (i, F.lead(j).over(east_axis)),
+              "south": (F.lag(i).over(north_axis), j), "north": (F.lead(i).over(north_axis), j)}
+    beside = grid.select(i.alias("station_lat_idx"), j.alias("station_lon_idx"), F.array(*(
+        F.struct(F.lit(place).alias("place"), a.alias("lat_idx"), b.alias("lon_idx")) for place, (a, b) in around.items())).alias("_cells"))
+    met = stations.select("station_id", "station_lat_idx", "station_lon_idx").join(beside, ["station_lat_idx", "station_lon_idx"])
+    return met.select("station_id", F.inline("_cells")).where(F.col("lat_idx").isNotNull() & F.col("lon_idx").isNotNull())
+
+
+def stencil_gradient(pressure: str = "msl", place: str = "place") -> dict[str, Column]:
+    """Aggregates over the stencil of a station and time that give its ``gradient_east`` and ``gradient_north`` in Pa/m.
+
+    The same differences as :func:`pressure_gradient`, which computes them for every cell.
+    """
+    def at(column: str, where: str) -> Column:
+        return F.max(F.when(F.col(place) == where, F.col(column)))
+
+    f, lat = at(pressure, "centre"), at("latitude", "centre")
+
+    def slope(back: str, ahead: str, step_back: Column, step_ahead: Column) -> Column:
+        before, after = at(pressure, back), at(pressure, ahead)
+        clash = F.raise_error(F.lit("coordinates must be unique")).cast("double")
+        hs, hd = (F.when(h == 0, clash).otherwise(F.radians(h)) for h in (step_back, step_ahead))
+        inner = (hs * hs * after + (hd * hd - hs * hs) * f - hd * hd * before) / (hs * hd * (hd + hs))
+        return F.when(step_back.isNull(), (after - f) / hd).when(step_ahead.isNull(), (f - before) / hs).otherwise(inner)
+
+    pole = F.raise_error(F.lit("longitude gradient is unstable at the poles")).cast("double")
+    cosine = F.when(F.abs(F.cos(F.radians(lat))) < 1e-6, pole).otherwise(F.cos(F.radians(lat)))
+    lon = at("longitude", "centre")
+    east = slope("west", "east", normalise_lon(lon - at("longitude", "west")), normalise_lon(at("longitude", "east") - lon))
+    north = slope("south", "north", lat - at("latitude", "south"), at("latitude", "north") - lat)
+    return {"gradient_east": east / (EARTH_RADIUS_M * cosine), "gradient_north": north / EARTH_RADIUS_M}
+
+
+def local_gradient(wide: DataFrame, stencil: DataFrame, pressure: str = "msl") -> DataFrame:
+    """(station_id, ts, gradient_east, gradient_north) from at most five cells per station and time."""
+    met = wide.select("ts", "lat_idx", "lon_idx", "latitude", "longitude", pressure).join(stencil, ["lat_idx", "lon_idx"])
+    return met.groupBy("station_id", "ts").agg(*(c.alias(name) for name, c in stencil_gradient(pressure).items()))
+
+
 def region_masks(cells: DataFrame, regions: dict[str, float]) -> DataFrame:
     """Adds ``at_station`` and ``in_<region>`` flags: cells within r degrees of the station in lat and lon.
 

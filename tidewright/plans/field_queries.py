@@ -69,11 +69,10 @@ def _site_cells(spark, sf):
 
 
 def hourly(spark, sf):
-    cells = stored(_site_cells(spark, sf), "site-cells")  # a few cells per site, used in several joins
-    return physics.hourly_physics(
-        align.exact_grid_align(views.field(spark, sf)), cells, F.dayofmonth("ts") <= 20,
-        {"station": 0.0, "near": 1.0}, bearing_deg=30.0, placed=True,
-    )
+    grid = stored(_grid(spark, sf), "grid")
+    cells = stored(field.crop_region(grid, sites(spark, sf), 2.0), "site-cells")  # a few cells per site, used in several joins
+    wide = stored(align.exact_grid_align(views.field(spark, sf)), "wide-field")
+    return physics.hourly_physics(wide, cells, F.dayofmonth("ts") <= 20, {"station": 0.0, "near": 1.0}, bearing_deg=30.0, grid=grid)
 
 
 @query("crop_region", f"""
@@ -195,10 +194,9 @@ def _(spark, sf):
 @query("local_gradient", f"""SELECT m.station_id, g.ts, {r('ge * 1000', 'east_pa_per_km')}, {r('gn * 1000', 'north_pa_per_km')}
 FROM gradient_field g JOIN site_masks m ON m.at_station AND m.lat_idx = g.lat_idx AND m.lon_idx = g.lon_idx""")
 def _(spark, sf):
-    station = field.station_cells(_site_cells(spark, sf)).select(
-        "station_id", F.col("station_lat_idx").alias("lat_idx"), F.col("station_lon_idx").alias("lon_idx")
-    )
-    out = field.pressure_gradient(align.exact_grid_align(views.field(spark, sf)), placed=True).join(station, ["lat_idx", "lon_idx"])
+    grid = stored(_grid(spark, sf), "grid")
+    stencil = stored(field.station_stencil(grid, field.station_cells(field.crop_region(grid, sites(spark, sf), 2.0))), "stencil")
+    out = field.local_gradient(align.exact_grid_align(views.field(spark, sf)), stencil)
     return out.select("station_id", "ts", (F.col("gradient_east") * 1000).alias("east_pa_per_km"), (F.col("gradient_north") * 1000).alias("north_pa_per_km"))
 
 
