@@ -211,18 +211,18 @@ def station_stencil(grid: DataFrame, stations: DataFrame) -> DataFrame:
     return met.select("station_id", F.inline("_cells")).where(F.col("lat_idx").isNotNull() & F.col("lon_idx").isNotNull())
 
 
-def stencil_gradient(pressure: str = "msl", place: str = "place") -> dict[str, Column]:
-    """Aggregates over the stencil of a station and time that give its ``gradient_east`` and ``gradient_north`` in Pa/m.
+def stencil_values(pressure: str = "msl", place: str = "place") -> list[Column]:
+    """Aggregates over the stencil of a station and time: pressure and coordinates at its places."""
+    wanted = [(place_, c) for place_ in STENCIL for c in (pressure, "latitude", "longitude")]
+    return [F.max(F.when(F.col(place) == where, F.col(c))).alias(f"_{where}_{'f' if c == pressure else c}") for where, c in wanted]
 
-    The same differences as :func:`pressure_gradient`, which computes them for every cell.
-    """
-    def at(column: str, where: str) -> Column:
-        return F.max(F.when(F.col(place) == where, F.col(column)))
 
-    f, lat = at(pressure, "centre"), at("latitude", "centre")
+def stencil_gradient() -> dict[str, Column]:
+    """``gradient_east`` and ``gradient_north`` in Pa/m from :func:`stencil_values`, by the differences of :func:`pressure_gradient`."""
+    f, lat, lon = F.col("_centre_f"), F.col("_centre_latitude"), F.col("_centre_longitude")
 
     def slope(back: str, ahead: str, step_back: Column, step_ahead: Column) -> Column:
-        before, after = at(pressure, back), at(pressure, ahead)
+        before, after = F.col(f"_{back}_f"), F.col(f"_{ahead}_f")
         clash = F.raise_error(F.lit("coordinates must be unique")).cast("double")
         hs, hd = (F.when(h == 0, clash).otherwise(F.radians(h)) for h in (step_back, step_ahead))
         inner = (hs * hs * after + (hd * hd - hs * hs) * f - hd * hd * before) / (hs * hd * (hd + hs))
@@ -230,16 +230,16 @@ def stencil_gradient(pressure: str = "msl", place: str = "place") -> dict[str, C
 
     pole = F.raise_error(F.lit("longitude gradient is unstable at the poles")).cast("double")
     cosine = F.when(F.abs(F.cos(F.radians(lat))) < 1e-6, pole).otherwise(F.cos(F.radians(lat)))
-    lon = at("longitude", "centre")
-    east = slope("west", "east", normalise_lon(lon - at("longitude", "west")), normalise_lon(at("longitude", "east") - lon))
-    north = slope("south", "north", lat - at("latitude", "south"), at("latitude", "north") - lat)
+    east = slope("west", "east", normalise_lon(lon - F.col("_west_longitude")), normalise_lon(F.col("_east_longitude") - lon))
+    north = slope("south", "north", lat - F.col("_south_latitude"), F.col("_north_latitude") - lat)
     return {"gradient_east": east / (EARTH_RADIUS_M * cosine), "gradient_north": north / EARTH_RADIUS_M}
 
 
 def local_gradient(wide: DataFrame, stencil: DataFrame, pressure: str = "msl") -> DataFrame:
     """(station_id, ts, gradient_east, gradient_north) from at most five cells per station and time."""
     met = wide.select("ts", "lat_idx", "lon_idx", "latitude", "longitude", pressure).join(stencil, ["lat_idx", "lon_idx"])
-    return met.groupBy("station_id", "ts").agg(*(c.alias(name) for name, c in stencil_gradient(pressure).items()))
+    values = met.groupBy("station_id", "ts").agg(*stencil_values(pressure))
+    return values.select("station_id", "ts", *(c.alias(name) for name, c in stencil_gradient().items()))
 
 
 def region_masks(cells: DataFrame, regions: dict[str, float]) -> DataFrame:

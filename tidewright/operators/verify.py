@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidewright.functions.blocks import at_offset, halo_window, hour_number
 from tidewright.functions.columns import finite
 from tidewright.functions.quantiles import exact_quantiles
+from tidewright.functions.storage import stored
 
 STATION = ("station_id",)
 
@@ -112,6 +113,7 @@ def verify_by_lead(
     """
     group = [*keys, "lead_hours"]
     rise = F.col("observed_m") - F.col(prior)
+    df = stored(df.select(*group, "model", "observed_m", "predicted_m", prior), "forecasts")  # thresholds and scores read the same narrow rows
     limits = exact_quantiles(
         df.where(F.col("model") == reference), group,
         {"_top": (F.abs("observed_m"), 0.95), "_fast": (F.when(rise > 0, rise), 0.90)},

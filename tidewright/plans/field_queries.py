@@ -69,10 +69,9 @@ def _site_cells(spark, sf):
 
 
 def hourly(spark, sf):
-    grid = stored(_grid(spark, sf), "grid")
-    cells = stored(field.crop_region(grid, sites(spark, sf), 2.0), "site-cells")  # a few cells per site, used in several joins
-    wide = stored(align.exact_grid_align(views.field(spark, sf)), "wide-field")
-    return physics.hourly_physics(wide, cells, F.dayofmonth("ts") <= 20, {"station": 0.0, "near": 1.0}, bearing_deg=30.0, grid=grid)
+    grid = stored(_grid(spark, sf), "grid")  # a few cells, used in several joins
+    cells = stored(field.crop_region(grid, sites(spark, sf), 2.0), "site-cells")
+    return physics.hourly_physics(align.exact_grid_align(views.field(spark, sf)), cells, F.dayofmonth("ts") <= 20, {"station": 0.0, "near": 1.0}, bearing_deg=30.0, grid=grid)
 
 
 @query("crop_region", f"""
