@@ -372,6 +372,29 @@ def test_jaccard_classes_equal_brute_force(spark):
         assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, (n, c) in want.items() if n == 0 or c == d)
 
 
+def test_jaccard_near_copies_around_the_limit(spark, monkeypatch):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(5000)]
+    base, docs = [rng.choice(words) for _ in range(120)], []
+    for i in range(260):  # replaced, cut and extended copies, some of them of a copy
+        w = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        if i % 5 == 0:
+            w = w[:rng.randrange(90, 121)]
+        if i % 7 == 0:
+            w += [rng.choice(words) for _ in range(rng.randrange(40))]
+        if i % 50 == 0:
+            base = w
+        docs.append((i, " ".join(w)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for small, width, percent in ((jaccard_join.SMALL, 4, 85), (0, 5, 80)):
+        monkeypatch.setattr(jaccard_join, "SMALL", small)
+        want = linked(docs, width, percent)
+        assert 20 < len({c for _, c in want.values()}) < 240
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.classes(frame, width, percent).collect()} == want
+
+
 def test_jaccard_cases(spark):
     docs = odd_documents(spark)
     got = Counter(tuple(r) for r in jaccard_join.classes(docs).collect())
