@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewright.functions.blocks import hour_number
 from tidewright.operators import bootstrap, linear, samples, tide, trees
 from tidewright.plans import views
+from tidewright.plans.elimination import solve_sql
 from tidewright.plans.registry import n, query, r
 
 # samples: direct origins with 3 hours of history; one feature = the level at the origin
@@ -222,42 +223,59 @@ def _(spark, sf):
 # --- tide ------------------------------------------------------------------------------------------------------
 
 
-views.SQL["tide_levels"] = "SELECT date_trunc('hour', ts) AS ts, 'all' AS station_id, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(*) / 97 AS water_level FROM events GROUP BY 1"
+# stations with a record long enough for the fit: 30 days of at least 20 levels
+views.SQL["tide_levels"] = """SELECT station_id, ts, surge_m AS water_level FROM (SELECT *, count(*) OVER w AS hours, max(ts) OVER w - min(ts) OVER w AS span FROM surge WINDOW w AS (PARTITION BY station_id))
+WHERE hours >= 600 AND span >= INTERVAL 29 DAY"""
 
 
 def _tide_input(spark, sf):
-    return views.surge_all(spark, sf).withColumnRenamed("surge_m", "water_level")
+    levels = views.surge(spark, sf).withColumnRenamed("surge_m", "water_level")
+    days = (F.unix_seconds(F.max("ts")) - F.unix_seconds(F.min("ts"))) / 86400
+    enough = levels.groupBy("station_id").agg(F.count("*").alias("hours"), days.alias("days")).where("hours >= 600 AND days >= 29")
+    return levels.join(enough.select("station_id"), "station_id", "left_semi")
 
 
-@query("tide_harmonics")
-def _(spark, sf):
-    levels = _tide_input(spark, sf)
-    return tide.separate_tide(levels, tide.fit_tide(levels, minimum_days=20))
-
-
-_K1 = 15.0410686
+_WAVES = "(VALUES " + ", ".join(f"('{name}', {i}, {speed})" for i, (name, speed) in enumerate(tide.SPEEDS.items())) + ") c(constituent, place, speed)"
+_UNKNOWNS = 2 * len(tide.SPEEDS) + 1  # cosine and sine of each constituent, then the mean
+# least squares by the normal equations of all constituents together, per station
 _FIT = f"""
-WITH t AS (SELECT station_id, ts, water_level AS y, epoch(ts - (SELECT min(ts) FROM tide_levels)) / 3600 AS h FROM tide_levels),
-w AS (SELECT station_id, ts, y, cos(radians(h * {_K1})) AS c, sin(radians(h * {_K1})) AS s FROM t),
-k AS (SELECT station_id, count(*) AS k, avg(y) AS my, avg(c) AS mc, avg(s) AS ms, var_pop(c) AS cc, var_pop(s) AS ss, covar_pop(c, s) AS cs, covar_pop(c, y) AS cy, covar_pop(s, y) AS sy FROM w GROUP BY 1),
-f AS (SELECT *, (cy * ss - sy * cs) / (cc * ss - cs * cs) AS a, (sy * cc - cy * cs) / (cc * ss - cs * cs) AS b FROM k)"""
+WITH RECURSIVE t AS (SELECT station_id, ts, water_level AS y, epoch(ts - min(ts) OVER (PARTITION BY station_id)) / 3600 AS h FROM tide_levels),
+x AS (SELECT station_id, ts, 2 * place AS i, cos(radians(h * speed)) AS x FROM t, {_WAVES} UNION ALL SELECT station_id, ts, 2 * place + 1, sin(radians(h * speed)) FROM t, {_WAVES}
+      UNION ALL SELECT station_id, ts, {_UNKNOWNS - 1}, 1.0 FROM t UNION ALL SELECT station_id, ts, {_UNKNOWNS}, y FROM t),
+normal AS (SELECT a.station_id, a.i, b.i AS j, sum(a.x * b.x) AS v FROM x a JOIN x b ON b.station_id = a.station_id AND b.ts = a.ts WHERE a.i < {_UNKNOWNS} GROUP BY ALL),
+{solve_sql('normal', 'station_id', _UNKNOWNS)},
+k AS (SELECT station_id, count(*) AS fit_rows, min(ts) AS t0, max(ts) AS t1 FROM tide_levels GROUP BY 1)"""
+_TIDE = f"""{_FIT},
+axis AS (SELECT station_id, t0, unnest(generate_series(t0, t1, INTERVAL 1 HOUR)) AS ts FROM k),
+wave AS (SELECT a.station_id, a.ts, sum(s.w * CASE WHEN s.i % 2 = 0 THEN cos(radians(epoch(a.ts - t0) / 3600 * speed)) ELSE sin(radians(epoch(a.ts - t0) / 3600 * speed)) END) AS wave
+         FROM axis a JOIN solved s ON s.station_id = a.station_id JOIN {_WAVES} ON place = s.i // 2 WHERE s.i < {_UNKNOWNS - 1} GROUP BY 1, 2),
+p AS (SELECT v.station_id, v.ts, l.water_level AS o, m.w + wave AS tide FROM wave v JOIN solved m ON m.station_id = v.station_id AND m.i = {_UNKNOWNS - 1}
+      LEFT JOIN tide_levels l ON l.station_id = v.station_id AND l.ts = v.ts)"""
+
+
+@query("tide_harmonics", f"""{_FIT}
+SELECT a.station_id, constituent, {r('a.w', 'cosine')}, {r('b.w', 'sine')}, {r('m.w', 'mean_level')}, {n('fit_rows', 'fit_rows')}, t0 AS first_ts FROM {_WAVES}
+JOIN solved a ON a.i = 2 * place JOIN solved b ON b.station_id = a.station_id AND b.i = 2 * place + 1
+JOIN solved m ON m.station_id = a.station_id AND m.i = {_UNKNOWNS - 1} JOIN k ON k.station_id = a.station_id""")
+def _(spark, sf):
+    fitted = tide.fit_tide(_tide_input(spark, sf))
+    rows = fitted.select("station_id", "mean_level", "fit_rows", "first_ts", "harmonics", F.posexplode("constituents").alias("_i", "constituent"))
+    cosine, sine = (F.get("harmonics", F.col("_i") * 2 + k).alias(name) for k, name in enumerate(("cosine", "sine")))
+    return rows.select("station_id", "constituent", cosine, sine, "mean_level", "fit_rows", "first_ts")
 
 
-@query("tide_separation", f"""{_FIT},
-x AS (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts, min(ts) AS t0 FROM tide_levels),
-p AS (SELECT f.station_id, x.ts, l.water_level AS o, my - a * mc - b * ms + a * cos(radians(epoch(x.ts - t0) / 3600 * {_K1})) + b * sin(radians(epoch(x.ts - t0) / 3600 * {_K1})) AS tide
-      FROM x CROSS JOIN f LEFT JOIN tide_levels l ON l.ts = x.ts)
+@query("tide_separation", f"""{_TIDE}
 SELECT station_id, ts, {r('o', 'observed_water_level_m')}, {r('tide', 'predicted_tide_m')}, {r('o - tide', 'surge_m')}, o IS NOT NULL AS qc_valid FROM p""")
 def _(spark, sf):
     levels = _tide_input(spark, sf)
-    return tide.separate_tide(levels, tide.fit_tide(levels, minimum_days=20, constituents=("K1",)), constituents=("K1",))
+    return tide.separate_tide(levels, tide.fit_tide(levels))
 
 
 @query("tide_amplitude", f"""{_FIT}
-SELECT station_id, 'K1' AS constituent, {r('sqrt(a * a + b * b)', 'amplitude')}, {r('my - a * mc - b * ms', 'mean_level')}, {n('k', 'fit_rows')} FROM f""")
+SELECT a.station_id, constituent, {r('sqrt(a.w * a.w + b.w * b.w)', 'amplitude')}, {r('(degrees(atan2(b.w, a.w)) + 360) % 360', 'phase_deg')} FROM {_WAVES}
+JOIN solved a ON a.i = 2 * place JOIN solved b ON b.station_id = a.station_id AND b.i = 2 * place + 1""")
 def _(spark, sf):
-    fitted = tide.fit_tide(_tide_input(spark, sf), minimum_days=20, constituents=("K1",))
-    return tide.amplitudes(fitted).join(fitted.select("station_id", "mean_level", "fit_rows"), "station_id").drop("phase_deg")
+    return tide.amplitudes(tide.fit_tide(_tide_input(spark, sf)))
 
 
 @query("tide_record_audit", f"""SELECT station_id, {n('count(*)', 'records')}, {n('count(surge_m)', 'finite_records')}, min(ts) AS "start", max(ts) AS "end" FROM surge_daily WHERE year(ts) <= 1999 GROUP BY 1""")
