@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.operators import baselines, bootstrap, linear, tide, verify
+from tidewright.operators import baselines, bootstrap, linear, rollout, tide, verify
 
 T0 = dt.datetime(2014, 1, 1)
 
@@ -233,3 +233,60 @@ def test_persistence_does_not_see_its_target(spark, hours):
 
     a, b = made(df), made(changed)
     assert all(a[k] == b[k] for k in a if k[0] <= cut)
+
+
+# --- rollout by companion powers -------------------------------------------------------------------------
+
+
+def _rolled_series(spark, change=0.0):
+    rng = np.random.default_rng(11)
+    start, count, hole = dt.datetime(2024, 1, 1), 60, 20
+    levels, weather = rng.normal(0, 1, count), rng.normal(0, 1, (count, 2))
+    rows = [("a", start + dt.timedelta(hours=i), None if i == hole else float(v + (change if i >= 30 else 0.0)), *map(float, w))
+            for i, (v, w) in enumerate(zip(levels, weather, strict=True))]
+    w, b = rng.normal(0, 0.3, 9), 0.2
+    models = spark.createDataFrame([("a", [float(x) for x in w], b)], "station_id string, coefficients array<double>, intercept double")
+    return spark.createDataFrame(rows, "station_id string, ts timestamp, surge_m double, u double, v double"), models, levels, weather, w, b, start
+
+
+def test_rollout_by_powers_equals_a_loop(spark):
+    df, models, levels, weather, w, b, start = _rolled_series(spark)
+    got = {r.origin: r for r in rollout.rollout(df, models, ["u", "v"], 3, 12).collect()}
+    want = {}
+    for t in range(3, 60 - 11):
+        if 20 in (t - 3, t - 2, t - 1):
+            continue
+        h, made = list(levels[t - 3 : t]), []
+        for k in range(12):
+            value = b + np.dot(w, np.concatenate([weather[t + k - 3 : t + k].ravel(), h]))
+            made.append(value)
+            h = [*h[1:], value]
+        want[start + dt.timedelta(hours=t)] = made
+    assert set(got) == set(want)
+    assert all(np.allclose(got[t].predictions, want[t], atol=1e-12) for t in want)
+    assert got[start + dt.timedelta(hours=15)].targets[5] is None  # the hole is a target, not an input
+
+
+def test_rollout_sees_no_level_from_the_origin_on(spark):
+    origin = dt.datetime(2024, 1, 2, 6)
+    made = []
+    for change in (0.0, 100.0):
+        df, models, *_ = _rolled_series(spark, change)
+        made.append(rollout.rollout(df, models, ["u", "v"], 3, 24).where(F.col("origin") == F.lit(origin)).first())
+    assert list(made[0].predictions) == list(made[1].predictions) and list(made[0].targets) != list(made[1].targets)
+
+
+def test_lead_rows_refuse_unknown_targets(spark):
+    df, models, *_ = _rolled_series(spark)
+    rolled = rollout.rollout(df, models, ["u", "v"], 3, 12)
+    assert rollout.lead_rows(rolled).where("observed_m IS NULL").count() > 0
+    with pytest.raises(Exception, match="targets are incomplete"):
+        rollout.lead_rows(rolled, strict=True).collect()
+
+
+def test_step_samples_need_every_hour(spark):
+    df, _, levels, weather, *_ , start = _rolled_series(spark)
+    rows = {r.origin: r for r in rollout.step_samples(df, ["u", "v"], 3).collect()}
+    assert set(rows) == {start + dt.timedelta(hours=t) for t in range(3, 60) if t not in (20, 21, 22, 23)}
+    one = rows[start + dt.timedelta(hours=40)]
+    assert np.allclose(one.features, [*weather[37:40].ravel(), *levels[37:40]]) and one.labels == [pytest.approx(levels[40])]

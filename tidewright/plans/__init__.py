@@ -10,6 +10,7 @@ from tidewright.plans import (  # noqa: F401
     quality_queries,
     model_queries,
     registry,
+    rollout_queries,
     sample_queries,
     series_queries,
     snapshot_queries,

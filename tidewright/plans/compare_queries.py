@@ -42,16 +42,6 @@ def _(spark, sf):
     return compare.incremental_value(metrics(spark, sf), compare.pair_table(spark, PAIRS))
 
 
-@query("method_change", f"""
-SELECT a.station_id, a.lead_hours, p.comparison, {r('b.rmse_cm', 'direct_rmse_cm')}, {r('a.rmse_cm', 'rolling_rmse_cm')},
-       {r('100 * (a.rmse_cm / b.rmse_cm - 1)', 'rolling_minus_direct_percent')}
-FROM {RAW} a JOIN {_PAIR_SQL} ON p.model = a.model
-JOIN {RAW} b ON b.station_id = a.station_id AND b.lead_hours = a.lead_hours AND b.model = p.reference_model
-WHERE a.lead_hours IN (1, 6)""")
-def _(spark, sf):
-    return compare.method_change(metrics(spark, sf), compare.pair_table(spark, PAIRS), (1, 6))
-
-
 _COND = """(SELECT station_id, lead_hours, model, 'top5_absolute_surge' AS condition, top5_rmse_cm AS rmse_cm, top5_threshold_cm AS threshold, top5_n AS n FROM metrics
 UNION ALL SELECT station_id, lead_hours, model, 'rapid_rise', rapid_rise_rmse_cm, rapid_rise_threshold_cm_per_hour, rapid_rise_n FROM metrics)"""
 
@@ -243,19 +233,6 @@ def _(spark, sf):
     return align.reindex_strict(expected, table.where(F.col("model") != "persistence").select(*keys, "predicted_m"), keys, "predicted_m")
 
 
-@query("direct_vs_recursive", f"""
-SELECT station_id, lead_hours, method, {n('count(*)', 'valid_samples')}, {r('sqrt(avg(((predicted_m - observed_m) * 100) ** 2))', 'rmse_cm')} FROM (
-  SELECT station_id, lead_hours, 'direct_' || model AS method, observed_m, predicted_m FROM forecasts
-  UNION ALL SELECT station_id, lead_hours, 'rolling_scaled', observed_m, predicted_m * 0.9 FROM forecasts WHERE model = 'mean3') GROUP BY ALL""")
-def _(spark, sf):
-    direct = views.forecasts(spark, sf)
-    rolling = direct.where(F.col("model") == "mean3").select(
-        "station_id", (F.col("origin") + F.expr("INTERVAL 1 HOUR")).alias("origin"), "lead_hours", "observed_m",
-        F.lit("scaled").alias("model"), (F.col("predicted_m") * 0.9).alias("predicted_m"),
-    )
-    return align.direct_vs_recursive(direct, rolling)
-
-
 @query("hours_only_in", f"""
 SELECT DISTINCT 'levels' AS side, s.ts FROM surge_daily s WHERE s.ts NOT IN (SELECT ts FROM {HOURS})
 UNION ALL SELECT DISTINCT 'field', h.ts FROM {HOURS} h WHERE h.ts NOT IN (SELECT ts FROM surge_daily)""")

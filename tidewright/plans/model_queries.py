@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewright.functions.blocks import hour_number
 from tidewright.operators import bootstrap, linear, samples, tide, trees
 from tidewright.plans import views
 from tidewright.plans.elimination import solve_sql
@@ -157,69 +156,6 @@ def _(spark, sf):
     return models.select("station_id", "lead_hours", at("cut", 0).alias("cut"), at("value", 1).alias("below"), at("value", 2).alias("above"), "base", "train_rows")
 
 
-# one-step model with known coefficients: 3 hours of mean wind, then 3 levels
-_COEF = (0.004, -0.002, 0.001, 0.1, 0.25, 0.45)
-_B = 0.05
-views.SQL["roll_axis"] = """
-SELECT f.station_id, f.origin, f.h0, f.h1, f.h2, w.* EXCLUDE (ts) FROM
-  (SELECT s.station_id, s.ts AS origin, lag(s.surge_m, 3) OVER k AS h0, lag(s.surge_m, 2) OVER k AS h1, lag(s.surge_m, 1) OVER k AS h2 FROM surge_dense s WINDOW k AS (PARTITION BY station_id ORDER BY ts)) f
-JOIN (SELECT a.ts, lag(u, 3) OVER q AS u0, lag(u, 2) OVER q AS u1, lag(u, 1) OVER q AS u2, u AS u3, lead(u, 1) OVER q AS u4, lead(u, 2) OVER q AS u5 FROM
-  (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM field) a LEFT JOIN (SELECT ts, avg(value) AS u FROM field WHERE variable = 'U10' GROUP BY 1) x ON x.ts = a.ts WINDOW q AS (ORDER BY a.ts)) w
-ON w.ts = f.origin WHERE h0 + h1 + h2 IS NOT NULL AND u0 + u1 + u2 + u3 + u4 + u5 IS NOT NULL"""
-
-
-def _step(k: int, levels: tuple) -> str:
-    weather = " + ".join(f"{_COEF[i]} * u{k - 1 + i}" for i in range(3))
-    return f"{_B} + {weather} + " + " + ".join(f"{_COEF[3 + i]} * {levels[i]}" for i in range(3))
-
-
-@query("recursive_linear", f"""
-WITH p1 AS (SELECT *, {_step(1, ('h0', 'h1', 'h2'))} AS p1 FROM roll_axis),
-p2 AS (SELECT *, {_step(2, ('h1', 'h2', 'p1'))} AS p2 FROM p1),
-p3 AS (SELECT *, {_step(3, ('h2', 'p1', 'p2'))} AS p3 FROM p2)
-SELECT station_id, origin, {r('p1', 'lead_1')}, {r('p2', 'lead_2')}, {r('p3', 'lead_3')}, {r('p4', 'lead_4')} FROM (SELECT *, {_step(4, ('p1', 'p2', 'p3'))} AS p4 FROM p3)""")
-def _(spark, sf):
-    rows = _rolling(spark, sf, 4)
-    w = F.array(*[F.lit(c) for c in _COEF])
-    out = linear.recursive_linear(rows, 4, "weather", "history", w, F.lit(_B))
-    return out.select("station_id", "origin", *[F.get("predictions", F.lit(i)).alias(f"lead_{i + 1}") for i in range(4)])
-
-
-def _rolling(spark, sf, leads: int):
-    """Rolling origins with 3 levels before and mean wind from 3 hours before to leads - 2 after."""
-    from tidewright.functions.blocks import halo_window
-
-    wind = views.field(spark, sf).where(F.col("variable") == "U10").groupBy("ts").agg(F.avg("value").alias("u"))
-    rows = views.surge_dense(spark, sf).join(wind, "ts", "left").withColumns({"_h": hour_number("ts"), "_w": F.array("u")})
-    columns = {
-        "history": samples.ordered_values("surge_m", -3, -1), "weather": samples.ordered_values("_w", -3, leads - 2),
-        "known": lambda w: F.count("surge_m").over(w.rangeBetween(-3, -1)), "forced": lambda w: F.count("u").over(w.rangeBetween(-3, leads - 2)),
-        "targets": samples.ordered_values("surge_m", 0, leads - 1),
-    }
-    made = halo_window(rows, ["station_id"], "_h", columns, before=3, after=leads - 1)
-    return made.where((F.col("known") == 3) & (F.col("forced") == leads + 2)).withColumnRenamed("ts", "origin")
-
-
-@query("recursive_from", f"""
-WITH ok AS (SELECT r.*, row_number() OVER (PARTITION BY station_id ORDER BY origin) AS pick FROM roll_axis r WHERE
-  (SELECT count(*) FROM surge s WHERE s.station_id = r.station_id AND s.ts BETWEEN r.origin AND r.origin + INTERVAL 11 HOUR) = 12
-  AND (SELECT count(DISTINCT ts) FROM field x WHERE x.ts BETWEEN r.origin - INTERVAL 3 HOUR AND r.origin + INTERVAL 10 HOUR) = 14),
-u AS (SELECT ts, avg(value) AS u FROM field WHERE variable = 'U10' GROUP BY 1),
-p AS (SELECT o.station_id, o.origin, 1 AS lead, h1 AS l0, h2 AS l1, {_step(1, ('h0', 'h1', 'h2'))} AS l2 FROM ok o WHERE pick = 1),
-z AS (WITH RECURSIVE q AS (SELECT * FROM p UNION ALL
-  SELECT q.station_id, q.origin, lead + 1, l1, l2, {_B} + {_COEF[0]} * a.u + {_COEF[1]} * b.u + {_COEF[2]} * c.u + {_COEF[3]} * l0 + {_COEF[4]} * l1 + {_COEF[5]} * l2
-  FROM q JOIN u a ON a.ts = q.origin + (lead - 3) * INTERVAL 1 HOUR JOIN u b ON b.ts = q.origin + (lead - 2) * INTERVAL 1 HOUR JOIN u c ON c.ts = q.origin + (lead - 1) * INTERVAL 1 HOUR
-  WHERE lead < 12) SELECT * FROM q)
-SELECT z.station_id, z.origin, {n('lead', 'lead_hours')}, {r('l2', 'predicted_m')}, {r('s.surge_m', 'observed_m')}, {r('(l2 - s.surge_m) * 100', 'error_cm')}, {r('abs(l2 - s.surge_m) * 100', 'absolute_error_cm')}
-FROM z JOIN surge s ON s.station_id = z.station_id AND s.ts = z.origin + (lead - 1) * INTERVAL 1 HOUR""")
-def _(spark, sf):
-    rows = _rolling(spark, sf, 12)
-    complete = rows.where((F.size("targets") == 12) & ~F.exists("targets", lambda v: v.isNull()))
-    first = complete.groupBy("station_id").agg(F.min("origin").alias("origin"))
-    w = F.array(*[F.lit(c) for c in _COEF])
-    return linear.recursive_from(complete.join(first, ["station_id", "origin"]), None, 12, "weather", "history", "targets", w, F.lit(_B))
-
-
 # --- tide ------------------------------------------------------------------------------------------------------
 
 
