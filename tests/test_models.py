@@ -290,3 +290,12 @@ def test_step_samples_need_every_hour(spark):
     assert set(rows) == {start + dt.timedelta(hours=t) for t in range(3, 60) if t not in (20, 21, 22, 23)}
     one = rows[start + dt.timedelta(hours=40)]
     assert np.allclose(one.features, [*weather[37:40].ravel(), *levels[37:40]]) and one.labels == [pytest.approx(levels[40])]
+
+
+def test_constant_columns_are_no_features(spark):
+    x = np.array([[0.1, 1.0], [0.1, 2.0], [0.1, 4.0]])  # three times 0.1 does not add up exactly
+    y = np.array([[1.0], [3.0], [2.0]])
+    origins = [T0 + dt.timedelta(hours=i) for i in range(3)]
+    model = linear.ridge_fit(frame(spark, x, y, origins), ["station_id"], (1,), 0.01).first()
+    w, b = closed_form(x[:, 1:], y, 0.01)
+    assert abs(model.coefficients[0]) < 1e-9 and model.coefficients[1] == pytest.approx(w[0, 0]) and model.intercept == pytest.approx(b[0])

@@ -83,7 +83,9 @@ def _ridge(matrix: np.ndarray, p: int, alpha: float, columns: Sequence[int], tar
     mean = matrix[index, p] / n
     cross = matrix[np.ix_(index, index)] - n * np.outer(mean, mean)
     scale = np.sqrt(np.maximum(np.diag(cross), 0.0) / n)
-    scale[scale <= 1e-12 * np.maximum(1.0, np.abs(mean))] = 1.0
+    # below this share of its sum of squares a spread is rounding: the column is constant
+    constant = np.diag(cross) <= 1e-13 * np.diag(matrix)[index]
+    scale[constant | (scale <= 1e-12 * np.maximum(1.0, np.abs(mean)))] = 1.0
     y_mean = matrix[p, p + 1 + target] / n
     moment = matrix[index, p + 1 + target] - n * mean * y_mean
     weights = np.linalg.solve(cross / np.outer(scale, scale) + alpha * np.eye(len(index)), moment / scale)
