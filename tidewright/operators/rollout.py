@@ -11,13 +11,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewright.functions.blocks import halo_window, hour_number
 from tidewright.functions.storage import stored
-from tidewright.operators.linear import dot
+from tidewright.operators.linear import dot, ridge_select
 from tidewright.operators.samples import ordered_values
 
 STATION = ("station_id",)
@@ -43,6 +43,15 @@ def step_samples(
     return rows.select(*keys, F.col(ts).alias("origin"), F.concat("_forced", "_past").alias("features"), F.array(value).alias("labels"))
 
 
+def fit_step_model(samples: DataFrame, width: int, early: Column, tuning: Column, keys: Sequence[str] = STATION) -> DataFrame:
+    """The one-step ridge of each key over ``width`` features, taken from their means so that columns of small spread keep their digits."""
+    means = F.array(*[F.avg(F.get("features", F.lit(i))) for i in range(width)])
+    middle = stored(samples.where(early | tuning).groupBy(*keys).agg(means.alias("_middle")), "means")  # one row per key
+    centred = samples.join(middle, list(keys)).withColumn("features", F.zip_with("features", "_middle", lambda x, m: x - m))
+    models = ridge_select(centred, keys, (1,), early, tuning)
+    return models.join(middle, list(keys)).withColumn("intercept", F.col("intercept") - dot(F.col("coefficients"), F.col("_middle"))).drop("_middle")
+
+
 def companion_powers(models: DataFrame, n: int, leads: int, keys: Sequence[str] = STATION) -> DataFrame:
     """Per key: ``carry``, what each start level adds to every lead, and ``echo``, what an addition still adds 0 .. leads - 1 hours on, latest first."""
     schema = T.StructType(

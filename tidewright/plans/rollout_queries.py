@@ -24,7 +24,7 @@ def _hours(spark, sf):
 
 def _models(hours):
     day = F.dayofmonth("origin")
-    return linear.ridge_select(rollout.step_samples(hours, WEATHER, HOURS), ["station_id"], (1,), day <= 15, day.between(16, 25))
+    return rollout.fit_step_model(rollout.step_samples(hours, WEATHER, HOURS), _WIDTH, day <= 15, day.between(16, 25))
 
 
 def _rolled(spark, sf, leads: int):
