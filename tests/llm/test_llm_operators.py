@@ -403,6 +403,15 @@ def test_jaccard_cases(spark):
     assert jaccard_join.classes(docs.limit(0)).collect() == []
 
 
+def test_tokens_of_one_posting_leave_before_the_joins(spark):
+    rng = np.random.default_rng(6)
+    once, twice = np.split(rng.choice(2**62, 30_000, False) - 2**61, [29_000])
+    rows = spark.createDataFrame([(int(t), k) for k, t in enumerate(once)] + [(int(t), k) for k in (1, 2) for t in twice], "token long, cls long")
+    left = Counter(r.token for r in jaccard_join._repeated(rows).collect())
+    assert all(left[int(t)] == 2 for t in twice)
+    assert len(left) < 1000 + 29_000 // 8
+
+
 def test_jaccard_classes_of_the_tables(spark, documents):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.QUERIES["op7_jaccard_join"](spark, SF).collect()}
     assert got == linked([(r.doc_id, r.text) for r in documents.collect()], 4, 85)
