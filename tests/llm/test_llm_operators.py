@@ -538,6 +538,22 @@ def test_embedding_classes_equal_brute_force(spark, monkeypatch):
     assert embedding_join.near_duplicates(frame.where("vec_id >= 800 and vec_id < 803")).count() == 3
 
 
+def test_intervals_travel_once_to_each_tile(spark, monkeypatch):
+    pairs = [(a << 32, b << 32) for a in range(12) for b in range(a, 12)]
+    frame = spark.createDataFrame(pairs, "a long, b long")
+    sent = [tuple(r) for r in embedding_join._sent(frame, 4).collect()]
+    assert len(sent) == len(set(sent)) == 12 * 3  # two for each of 78 pairs otherwise
+    assert {(t, u) for t, u, _ in sent} == {(t, u) for t in range(3) for u in range(t, 3)}
+    assert embedding_join._run(10, 272) == 1 and embedding_join._run(10**9, 272) == embedding_join.TILE_BYTES // 272 // (4 * embedding_join.INTERVAL)
+    monkeypatch.setattr(embedding_join, "INTERVAL", 8)  # tiles of several partitions
+    monkeypatch.setattr(embedding_join, "TILES", 3)
+    x = np.random.default_rng(8).normal(size=(200, 6))
+    x = np.concatenate((x, x + 0.01))
+    got = {r.vec_id: r.n_links for r in embedding_join.near_duplicates(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).collect()}
+    u = x / np.sqrt((x * x).sum(1, keepdims=True))
+    assert got == dict(enumerate(((u @ u.T >= 0.95).sum(1) - 1).tolist()))
+
+
 def test_embeddings_of_every_length_are_joined(spark):
     rng = np.random.default_rng(6)
     rows = [(i, rng.normal(size=16).tolist()) for i in range(12)] + [(20 + i, [3.0, 4.0, 0.01 * i]) for i in range(4)] + [(30, [1.0, 0.0]), (31, [0.0, 1.0]), (32, [2.0, 0.0])]

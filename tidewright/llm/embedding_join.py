@@ -5,6 +5,8 @@ the cells of an epsilon grid over their leading principal dimensions (from summe
 into sequence intervals of bounded size. Pairs of intervals are found by descending a tree: pairs of large runs of
 intervals first, then of their parts, dropping every pair whose boxes lie further apart than epsilon. Inside a pair the
 task goes on halving both sides the same way and compares what is left by matrix products in double precision.
+Intervals travel in tiles: a task gets two runs of intervals and compares all their pairs, so an interval is sent once
+to each tile it may meet, not once to each interval.
 
 Equal vectors are one vector with a weight, so copies are never compared. A pair of intervals returns link counts and
 a spanning forest of its links, not the links themselves.
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.functions.storage import stored
+from tidewright.functions.storage import scratch, stored
 from tidewright.llm.components import components
 
 INTERVAL = 1024
 LEAF = 128
 LEADING = 8
 FAN = 32
+TILES = 24  # tiles at least, where there are enough vectors: tasks enough for the pairs
+TILE_BYTES = 16 << 20  # vectors of a tile at most
 SLACK = 1e-9
 
 
@@ -165,14 +170,26 @@ def _descend(p, q, i, j, limit):
         yield from _descend(p, q, i, (m, d), limit)
 
 
-def _compared(x: tuple, y: tuple, same: bool, axes: np.ndarray, cosine: float, epsilon: float) -> tuple[list, list]:
+def _run(n: int, width: int) -> int:
+    """Partitions of intervals in a tile, for ``n`` vectors of ``width`` bytes."""
+    return max(1, min(TILE_BYTES // width, math.ceil(n / TILES)) // (4 * INTERVAL))
+
+
+def _sent(pairs: DataFrame, run: int) -> DataFrame:
+    """(tile, tile2, block): each block once for every pair of tiles in which it is near another block."""
+    tile = {c: F.floor(F.shiftright(c, 32) / run) for c in ("a", "b")}
+    sides = [pairs.select(tile["a"].alias("tile"), tile["b"].alias("tile2"), F.col(c).alias("block")) for c in ("a", "b")]
+    return sides[0].unionByName(sides[1]).distinct()
+
+
+def _compared(x: tuple, y: tuple, same: bool, cosine: float, epsilon: float) -> tuple[list, list]:
     """Weighted link counts by class and a spanning forest of the links of two intervals (or of one with itself)."""
-    (ids, wx, ux), (ids2, wy, uy) = x, y
+    (ids, wx, ux, px), (ids2, wy, uy, py) = x, y
     counts, counts2 = np.zeros(len(ids), np.int64), np.zeros(len(ids2), np.int64)
     label = np.arange(len(ids) + len(ids2))
     label2 = label[:len(ids)] if same else label[len(ids):]
     forest = []
-    for (a, b), (c, d) in _descend(ux @ axes, uy @ axes, (0, len(ids)), (0, len(ids2)), epsilon ** 2 + SLACK):
+    for (a, b), (c, d) in _descend(px, py, (0, len(ids)), (0, len(ids2)), epsilon ** 2 + SLACK):
         if same and c >= b:
             continue  # the mirror image, below the diagonal, stands for both
         near = ux[a:b] @ uy[c:d].T >= cosine
@@ -222,25 +239,35 @@ def _linked(usable: DataFrame, size: int, named, exact: str, cosine: float, epsi
     members = stored(rows.select("vec_id", "cls"), "members")
     weights = members.groupBy("cls").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"))
     first = rows.select("cls", "v").dropDuplicates(["cls"])
-    distinct = stored(first.join(weights, "cls"), "distinct")
-    axes = _axes(distinct, size)
-    blocks = stored(_intervals(distinct, axes, epsilon, exact), "intervals")
-    pairs = stored(_block_pairs(blocks, epsilon), "interval_pairs")
-    left = blocks.select(F.col("block").alias("a"), F.col("ids").alias("i1"), F.col("weights").alias("w1"), F.col("vectors").alias("v1"))
-    right = blocks.select(F.col("block").alias("b"), F.col("ids").alias("i2"), F.col("weights").alias("w2"), F.col("vectors").alias("v2"))
-
-    def compare(batches):
-        for batch in batches:
-            for a, b, i1, w1, v1, i2, w2, v2 in zip(*(c.to_pylist() for c in batch.columns)):
-                x, y = ((np.frombuffer(i, np.int64), np.frombuffer(w, np.int64), _unit(np.frombuffer(v, exact).astype(np.float64).reshape(-1, size)))
-                        for i, w, v in ((i1, w1, v1), (i2, w2, v2)))
-                counts, forest = _compared(x, y, a == b, axes, cosine, epsilon)
-                rows = [(k, None, n) for k, n in counts] + [(v, w, 0) for v, w in forest]
-                columns = list(zip(*rows)) or [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["cls", "other", "n"])
-
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "i1", "w1", "v1", "i2", "w2", "v2")
-    found = stored(met.mapInArrow(compare, "cls long, other long, n long"), "links")
+    with scratch():
+        distinct = stored(first.join(weights, "cls"), "distinct")
+        run = _run(distinct.count(), size * np.dtype(exact).itemsize + 16)
+        axes = _axes(distinct, size)
+        blocks = stored(_intervals(distinct, axes, epsilon, exact), "intervals")
+        pairs = stored(_block_pairs(blocks, epsilon), "interval_pairs")
+
+        def compare(key, group):
+            tile, tile2 = (k.as_py() for k in key)
+            known = []
+            for block, i, w, v in zip(*(group.column(c).to_pylist() for c in ("block", "ids", "weights", "vectors"))):
+                u = _unit(np.frombuffer(v, exact).astype(np.float64).reshape(-1, size))
+                known.append((block, (np.frombuffer(i, np.int64), np.frombuffer(w, np.int64), u, u @ axes)))
+            total, links = Counter(), []
+            for a, x in known:
+                for b, y in known:
+                    if a <= b and (a >> 32) // run == tile and (b >> 32) // run == tile2:
+                        counts, forest = _compared(x, y, a == b, cosine, epsilon)
+                        links += forest
+                        for cls, n in counts:
+                            total[cls] += n
+            rows = [(k, None, n) for k, n in total.items()] + [(v, w, 0) for v, w in links]
+            columns = list(zip(*rows)) or [[]] * 3
+            return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["cls", "other", "n"])
+
+        tiles = 1 + (blocks.agg(F.max(F.shiftright("block", 32))).first()[0] or 0) // run
+        met = _sent(pairs, run).join(blocks.select("block", "ids", "weights", "vectors"), "block")
+        met = met.repartition(min(tiles * (tiles + 1) // 2, 2000), "tile", "tile2")  # little to send, much to compare
+        found = stored(met.groupBy("tile", "tile2").applyInArrow(compare, "cls long, other long, n long"), "links", out=True)
     counts = found.where("other is null").groupBy("cls").agg(F.sum("n").alias("others"))
     parts = components(found.where("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b")), "a", "b")
     classes = (
