@@ -139,3 +139,22 @@ def test_nearest_sites_equal_brute_force_on_the_globe(spark):
     near = spatial.nearest_sites(a, b, 7, max_km=900.0)
     assert sorted((r.storm_id, r.station_id) for r in near.collect()) == sorted((w[0], w[1]) for w in want if w[3] <= 900.0)
     assert spatial.nearest_sites(a, b, 100).count() == 41 * 7
+
+
+def test_nearest_sites_join_few_positions_and_keep_ties(spark, monkeypatch):
+    sites = [(f"s{i:02}", 10.0 + 0.25 * i, 5.0) for i in range(40)] + [("a1", 9.75, 5.0), ("a0", 10.25, 5.0), ("z", 9.75, 5.0)]
+    a = spark.createDataFrame(sites, "station_id string, lat double, lon double")
+    b = spark.createDataFrame([("t", 0, 10.0, 5.0)], "storm_id string, lead_hour int, lat double, lon double")
+    joined, best = [], spatial._nearest_within
+
+    def ranked(*args, **more):
+        return best(*args, **more).transform(lambda df: (joined.append(df.count()), df)[1])
+
+    written = []
+    monkeypatch.setattr(spatial, "_nearest_within", ranked)
+    store = spatial.stored
+    monkeypatch.setattr(spatial, "stored", lambda df, name, out=False: (written.append(name), store(df, name, out))[1])
+    got = [(r.station_id, r.min_distance_km) for r in spatial.nearest_sites(a, b, 3).orderBy("min_distance_km", "station_id").collect()]
+    assert got == [("s00", 0.0), ("a0", 27.8), ("a1", 27.8)]
+    assert written.count("points") == 1 and "sites" in written and "unsettled" in written  # one ring settles the storm
+    assert len(joined) == 1
