@@ -1,6 +1,7 @@
 """Spelling variants, source divergence and robust outliers against brute force and SQL, on small fixtures."""
 
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -100,6 +101,20 @@ def test_chains_of_forms_end_at_the_root(spark):
     assert got == variants(df.select("doc_id", "text").collect(), 0) and {r[-1] for r in got} == {"aaaaaaa"}
 
 
+def test_comparing_a_region_holds_little_memory():
+    rng = np.random.default_rng(5)
+    texts = sorted({"".join(w) for w in rng.choice(list("etaonird"), (20_000, 8))})
+    mine = np.arange(len(texts)) < 2_000
+    tracemalloc.start()
+    try:
+        w = spelling.Spelled(texts)
+        a, _ = spelling.near_pairs(w, mine, 8)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(a) == 71 and peak < 40e6  # the letter counts alone are 14 MB as 64-bit numbers
+
+
 def test_moves_lead_to_different_blocks():
     moves = spelling._moves(spelling.MOST_GROUPS)
     assert len({m & spelling._WIDE for m in [0, *moves, *(-m for m in moves)]}) == 2 * len(moves) + 1

@@ -21,6 +21,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,11 @@ MOST_GROUPS = 12
 _WIDE = (1 << 61) - 1  # block keys are sums of these marks, one for each group, modulo 2 ** 61
 _MARKS = [int(x) for x in np.random.default_rng(77).integers(1 << 50, 1 << 60, 2 * MOST_GROUPS)]
 REGION = 4096
-HELD = 400_000  # words a task counts before it hands them on
-CELLS = 1 << 22  # of a product or a comparison held at once
+HELD = 100_000  # words a task counts before it hands them on
+SENT = 10_000  # words in one Arrow batch
+CELLS = 1 << 20  # of a product, a comparison or a table of counts held at once
+ROWS = CELLS // LETTERS
+PAIRS = 1 << 17  # candidates collected before they are verified
 
 
 def spoil(doc_id, word: str, every: int) -> str:
@@ -63,22 +68,23 @@ def words(docs: DataFrame, shortest: int = 7, least: int = 2, every: int = 31) -
                 found = Counter(runs.findall(text.as_buffer().to_pybytes().translate(_LOWER).decode()))
                 for word, n in found.items():
                     held[spoil(doc, word, every) if every else word] += n
-            if len(held) > HELD:
-                yield _counted(held, shortest)
-                held = Counter()
-        yield _counted(held, shortest)
+                if len(held) > HELD:
+                    yield from _counted(held, shortest)
+                    held = Counter()
+        yield from _counted(held, shortest)
 
     rows = docs.select(F.col("doc_id").alias("doc"), "text").mapInArrow(fold, "word string, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
-def _counted(held: Counter, shortest: int) -> pa.RecordBatch:
-    kept = [(w, n) for w, n in held.items() if len(w) >= shortest]
-    return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
+def _counted(held: Counter, shortest: int) -> Iterator[pa.RecordBatch]:
+    kept = ((w, n) for w, n in held.items() if len(w) >= shortest)
+    while part := list(islice(kept, SENT)):
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], names=["word", "n"])
 
 
 class Spelled:
-    """Words as arrays: letter places one after the other, and letter counts."""
+    """Words as arrays: letter places one after the other, and letter counts, as narrow as the longest word lets them be."""
 
     def __init__(self, texts):
         codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
@@ -88,13 +94,21 @@ class Spelled:
         self.letters = table[codes]
         self.size = np.array([len(t) for t in texts], np.int64)
         self.first = np.concatenate(([0], np.cumsum(self.size)))[:-1]
-        owner = np.repeat(np.arange(len(texts)), self.size)
-        self.counts = np.bincount(owner * LETTERS + self.letters, minlength=len(texts) * LETTERS).reshape(-1, LETTERS)
+        self.counts = np.empty((len(texts), LETTERS), np.min_scalar_type(self.size.max(initial=0)))
+        ends = np.append(self.first, len(self.letters))
+        for at in range(0, len(texts), ROWS):
+            size = self.size[at:at + ROWS]
+            owner = np.repeat(np.arange(len(size)), size)
+            cells = owner * LETTERS + self.letters[ends[at]:ends[at + len(size)]]
+            self.counts[at:at + ROWS] = np.bincount(cells, minlength=len(size) * LETTERS).reshape(-1, LETTERS)
 
     def keys(self, groups: int) -> np.ndarray:
         """The block of each word: group counts folded into one number, so that neighbours differ by known amounts."""
         marks = np.array(_MARKS, np.int64)[np.arange(LETTERS) % groups]
-        return (self.counts * marks).sum(1) & _WIDE
+        out = np.empty(len(self.counts), np.int64)
+        for at in range(0, len(out), ROWS):
+            out[at:at + ROWS] = (self.counts[at:at + ROWS] * marks).sum(1)
+        return out & _WIDE
 
     def row(self, k: np.ndarray, length: int) -> np.ndarray:
         return self.letters[self.first[k][:, None] + np.arange(length)]
@@ -139,7 +153,8 @@ def _verified(w: Spelled, a: np.ndarray, b: np.ndarray) -> np.ndarray:
                 x, y = w.row(a[part], length), w.row(b[part], length - shorter)
                 if shorter:  # the letters before the first difference, then those after the letter too many
                     same, shifted = x[:, :-1] == y, x[:, 1:] == y
-                    out[part] = (np.cumprod(same, axis=1).sum(1) + np.cumprod(shifted[:, ::-1], axis=1).sum(1)) >= length - 1
+                    run = np.logical_and.accumulate
+                    out[part] = (run(same, axis=1).sum(1) + run(shifted[:, ::-1], axis=1).sum(1)) >= length - 1
                 else:
                     out[part] = (x != y).sum(1) == 1
     return out
@@ -153,31 +168,45 @@ def near_pairs(w: Spelled, mine: np.ndarray, groups: int) -> tuple[np.ndarray, n
     blocks, starts = np.unique(ranked, return_index=True)
     ends = np.append(starts[1:], len(ranked))
     exact = np.float32 if w.size.max(initial=0) <= 4000 else np.float64  # sums of squares below 2 ** 24
-    vectors = w.counts[order].astype(exact)
-    squares = (vectors * vectors).sum(1)
+    vectors = w.counts[order]
     own = mine[order]
     moves = np.array(_moves(groups), np.int64)
     wanted = (blocks[:, None] + np.concatenate(([0], moves, -moves))) & _WIDE
     at = np.minimum(np.searchsorted(blocks, wanted), max(len(blocks) - 1, 0))
     there = blocks[at] == wanted
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    found, waiting, held = [(np.zeros(0, np.int64),) * 2], [], 0
     for k in range(len(blocks)):
         centre = np.arange(starts[k], ends[k])
         centre = centre[own[centre]]
         if not len(centre):
             continue
         near = np.concatenate([np.arange(starts[j], ends[j]) for j in at[k, there[k]]])
-        width = max(1, CELLS // len(centre))
-        for cut in range(0, len(near), width):
-            part = near[cut:cut + width]
-            gram = vectors[centre] @ vectors[part].T
-            gram *= -2
-            gram += squares[centre][:, None]
-            gram += squares[part]
-            i, j = np.nonzero((gram <= 2) & (gram > 0))
-            left.append(centre[i])
-            right.append(part[j])
-    a, b = order[np.concatenate(left)], order[np.concatenate(right)]
+        for top in range(0, len(centre), ROWS):
+            some = centre[top:top + ROWS]
+            mine_here = vectors[some].astype(exact)
+            squares = (mine_here * mine_here).sum(1)[:, None]
+            width = max(1, CELLS // max(len(some), LETTERS))
+            for cut in range(0, len(near), width):
+                part = near[cut:cut + width]
+                others = vectors[part].astype(exact)
+                gram = mine_here @ others.T
+                gram *= -2
+                gram += squares
+                gram += (others * others).sum(1)
+                i, j = np.nonzero((gram <= 2) & (gram > 0))
+                waiting.append((order[some[i]], order[part[j]]))
+                held += len(i)
+                if held > PAIRS:
+                    found.append(_edits(w, mine, waiting))
+                    waiting, held = [], 0
+    if waiting:
+        found.append(_edits(w, mine, waiting))
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
+def _edits(w: Spelled, mine: np.ndarray, waiting: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the waiting pairs that differ by exactly one edit, the longer word first."""
+    a, b = np.concatenate([a for a, _ in waiting]), np.concatenate([b for _, b in waiting])
     # each pair once: two words of mine meet from both sides
     keep = ~mine[b] | (a < b)
     a, b = a[keep], b[keep]
