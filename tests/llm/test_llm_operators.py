@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
@@ -394,6 +395,32 @@ def test_jaccard_near_copies_around_the_limit(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.classes(frame, 4, 85).collect()} == want
 
 
+def test_jaccard_hands_python_bounded_batches(spark, monkeypatch):
+    largest = {}
+
+    def sizes_of_batches(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["bytes"])
+
+    def seen(name):
+        step = getattr(jaccard_join, name)
+
+        def measured(*args):
+            rows = args[0] if name == "_sized" else step(*args)
+            found = rows.mapInArrow(sizes_of_batches, "bytes long").agg({"bytes": "max"}).first()[0]
+            largest[name] = max(largest.get(name, 0), found or 0)
+            return step(*args) if name == "_sized" else rows
+
+        monkeypatch.setattr(jaccard_join, name, measured)
+
+    seen("_sized")
+    seen("_met")
+    text = "concat_ws(' ', transform(sequence(1, 400), i -> concat(if(i = 3, cast(id as string), 'word'), i)))"
+    frame = spark.range(0, 3000, 1, 1).selectExpr("id as doc_id", f"{text} as text")
+    assert {r.component_id for r in jaccard_join.classes(frame, 4, 85).collect()} == {0}
+    assert all(0 < found < 2 * jaccard_join.BATCH for found in largest.values()) and set(largest) == {"_sized", "_met"}, largest
+
+
 def test_jaccard_cases(spark):
     docs = odd_documents(spark)
     got = Counter(tuple(r) for r in jaccard_join.classes(docs).collect())
