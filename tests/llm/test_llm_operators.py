@@ -12,7 +12,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tidewright.llm import (
-    chat, components, decontaminate, embedding_join, html_wrappers, jaccard_join, language_id, license_scan, packing, quality, queries, secret_scan, textscan,
+    chat, components, decontaminate, embedding_join, html_wrappers, jaccard_join, language_id, license_scan, packing, quality, queries, secret_scan, slots, textscan,
 )
 
 SF = "/root/testdata/sf0.001"
@@ -439,6 +439,44 @@ def test_tokens_of_one_posting_leave_before_the_joins(spark):
     assert len(left) < 1000 + 29_000 // 8
 
 
+def test_jaccard_copies_are_counted_once(spark):
+    docs = [(i, " ".join(f"w{i % 40}x{k}" for k in range(30))) for i in range(400)] + [(None, "a b c d e"), (None, "a b c d e")]
+    texts = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    rows = jaccard_join._sized(texts, 4).cache()
+    least = rows.groupBy("cls").agg({"doc_id": "min"}).toDF("cls", "doc_id")
+    others = rows.join(least.withColumnRenamed("doc_id", "least"), "cls").where("not (doc_id <=> least)")
+    copies = spark.sparkContext.broadcast(jaccard_join.Apart(least, others))
+
+    def classes(batches):
+        for sets in jaccard_join._sets(batches, 4, copies):
+            yield pa.RecordBatch.from_arrays([pa.array([c for _, c in sets], pa.int64())], names=["cls"])
+
+    got = Counter(r.cls for r in texts.mapInArrow(classes, "cls long").collect())
+    assert set(got) == {r.cls for r in least.collect()} and sum(got.values()) <= 41 + 1 + 4
+    rows.unpersist()
+
+
+def test_slots_count_hashes_in_packed_blocks(spark):
+    rng = np.random.default_rng(3)
+    values = np.concatenate((rng.integers(0, 2**64, 60_000, np.uint64), np.repeat(rng.integers(0, 2**64, 50, np.uint64), 400)))
+    rng.shuffle(values)
+    rows = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "token long").repartition(5)
+
+    def hashes(batches):
+        for batch in batches:
+            yield batch.column(0).to_numpy()
+
+    found, width = slots.counts(rows, hashes, len(values), 100)
+    want = Counter((values >> np.uint64(64 - width)).tolist())
+    assert {r.slot: r.k for r in found.collect()} == {s: k for s, k in want.items() if k >= 100}
+    blocks = slots._blocks(rows, hashes, *slots.sizes(len(values))).collect()
+    assert sum(len(r.data) for r in blocks) < 4 * len(values) and len({r.part for r in blocks}) == 64
+    marks = slots.marks(rows, hashes, len(values), 2)
+    again = np.array([want[s] > 1 for s in (values >> np.uint64(64 - width)).tolist()])
+    assert marks.holds(values)[again].all() and marks.holds(values)[~again].mean() < 0.05
+    assert not slots.marks(rows.limit(0), hashes, 0).holds(values).any()
+
+
 def test_jaccard_classes_of_the_tables(spark, documents):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.QUERIES["op7_jaccard_join"](spark, SF).collect()}
     assert got == linked([(r.doc_id, r.text) for r in documents.collect()], 4, 85)
