@@ -1,6 +1,7 @@
 """The operators for training text against brute force, on small fixtures and the smallest tables."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -11,6 +12,7 @@ import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
+from tidewright.functions import storage
 from tidewright.llm import (
     chat, components, decontaminate, embedding_join, html_wrappers, jaccard_join, language_id, license_scan, packing, quality, queries, secret_scan, slots, textscan,
 )
@@ -439,6 +441,31 @@ def test_tokens_of_one_posting_leave_before_the_joins(spark):
     assert len(left) < 1000 + 29_000 // 8
 
 
+def test_jaccard_moves_less_than_the_texts(spark, monkeypatch, tmp_path):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {f: os.path.getsize(f) for f in files if "shuffle_" in f and f.endswith(".data") and os.path.exists(f)}
+
+    monkeypatch.setattr(storage, "CLEANUP", "spark.sql.kept")  # shuffle files stay, so that they can be counted
+    rng, before = random.Random(13), shuffled()
+    docs = [" ".join(f"w{rng.randrange(50_000)}" for _ in range(rng.randrange(150, 250))) for _ in range(2000)]
+    docs += [f"{d} end" for d in docs[:100]] + docs[100:400]
+    rng.shuffle(docs)
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(8).persist()
+    frame.count()
+    before = shuffled()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        jaccard_join.keep_first(frame, 5, 80).write.parquet(f"{tmp_path}/kept")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = sum(size for f, size in shuffled().items() if f not in before)
+    assert moved < sum(map(len, docs)) / 2, moved
+    kept = {r.doc_id for r in spark.read.parquet(f"{tmp_path}/kept").collect()}
+    frame.unpersist()
+    assert kept == {min(i for i, d in enumerate(docs) if d.removesuffix(" end") == x) for x in {d.removesuffix(" end") for d in docs}}
+
+
 def test_jaccard_copies_are_counted_once(spark):
     docs = [(i, " ".join(f"w{i % 40}x{k}" for k in range(30))) for i in range(400)] + [(None, "a b c d e"), (None, "a b c d e")]
     texts = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
